@@ -1,0 +1,33 @@
+"""Connected components of an edge table, by alternating large and small stars."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessera.llm.runtime import cut
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) for every node of ``edges`` (u long, v long); the root is the component's least node.
+
+    Every round points each node at the least neighbour it knows, in two aggregations with map-side combine and two
+    joins; the number of rounds grows with the logarithm of the longest path.  A hub's edges may be split over tasks.
+    Each round is checkpointed, so a lost executor repeats one round at most.  Loops and repeated edges are allowed;
+    rows with a null end are ignored.
+    """
+    e = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    state = None
+    while True:
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.groupBy("u").agg(F.min("v").alias("m"))
+        down = large.join(small, "u")
+        e = cut(down.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(small.select("u", F.col("m").alias("v"))).distinct())
+        row = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_000_007).alias("h")).first()
+        if (row["n"], row["h"]) == state:
+            break
+        state = (row["n"], row["h"])
+    roots = e.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
+    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)

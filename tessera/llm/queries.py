@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.near_dedup import near_dedup
 from tessera.llm.substring_dedup import substring_dedup
 from tessera.llm.suffix_dedup import suffix_dedup
 
@@ -23,8 +24,13 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(_table(spark, sf_dir, "documents"), shingle=4, percent=80)
+
+
 QUERIES = {
     "op3_substring_dedup": op3_substring_dedup,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op8_minhash_near_dedup": op8_minhash_near_dedup,
 }
 ORACLES: dict[str, str] = {}
