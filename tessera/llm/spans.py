@@ -125,21 +125,27 @@ def chunks(batches: Iterable[pa.RecordBatch], columns: list[str], text: str, lim
 
 
 class Words:
-    """The words of many texts: joined by single spaces, with each word's span and each text's first word."""
+    """The words of many texts: joined by one separator each, with each word's span and each text's first word."""
+
+    separator = 0x20
+
+    @staticmethod
+    def parts(text: bytes) -> list[bytes]:
+        return text.split()
 
     def __init__(self, texts: list[bytes]):
-        parts = [t.split() for t in texts]
+        parts = [self.parts(t) for t in texts]
+        sep = bytes([self.separator])
         self.n = np.fromiter((len(p) for p in parts), dtype=np.int64, count=len(parts))
-        self.joined = [b" ".join(p) for p in parts]
         self.first = np.concatenate(([0], np.cumsum(self.n)))
-        self.data = np.frombuffer(b" ".join(j for j in self.joined if j), dtype=np.uint8)
-        spaces = np.flatnonzero(self.data == 0x20)
+        self.data = np.frombuffer(sep.join([sep.join(p) for p in parts if p]), dtype=np.uint8)
+        between = np.flatnonzero(self.data == self.separator)
         total = int(self.first[-1])
         self.start = np.zeros(total, dtype=np.int64)
         self.end = np.full(total, len(self.data), dtype=np.int64)
         if total:
-            self.start[1:] = spaces + 1
-            self.end[:-1] = spaces
+            self.start[1:] = between + 1
+            self.end[:-1] = between
         self.text_of = np.repeat(np.arange(len(texts)), self.n)
 
     def grams(self, k: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -149,3 +155,13 @@ class Words:
             return np.zeros(0, dtype=U64), np.zeros(0, dtype=np.int64)
         at = np.flatnonzero(self.text_of[: total - k + 1] == self.text_of[k - 1 :])
         return SpanHash(self.data, which).of(self.start[at], self.end[at + k - 1]), at
+
+
+class Lines(Words):
+    """Lines with a word, without white space at their ends."""
+
+    separator = 0x0A
+
+    @staticmethod
+    def parts(text: bytes) -> list[bytes]:
+        return [x for line in text.split(b"\n") if (x := line.strip())]
