@@ -1,13 +1,79 @@
-"""The training-data pipeline: ``STAGES`` in order, each over all that its predecessor kept."""
+"""The training-data pipeline: ``STAGES`` in order, each over all that its predecessor kept.
+
+Every stage but the last returns the columns of ``documents``; ``run`` writes each result as Parquet to the shared
+folder and reads it again, so a lost executor never repeats an earlier stage.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm.language_id import language_id
+from tessera.llm.line_dedup import line_dedup
+from tessera.llm.mixing import mix_sources
+from tessera.llm.near_dedup import near_dedup
+from tessera.llm.packing import pack
+from tessera.llm.runtime import checkpoint_dir
+
+#: Documents whose language is told with less confidence than this go, as do those without a letter.
+LEAST_SCORE = 0.3
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in one of the learned languages."""
+    told = language_id(docs, keep_text=True)
+    return told.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without later repeated runs of lines; what has no line left goes."""
+    carry = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+    cut = line_dedup(docs, carry=carry).where("n_removed = 0 or n_removed < n_lines")
+    return cut.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one of the smallest doc_id."""
+    kept = near_dedup(docs).where("kept and doc_id is not null").select("doc_id").distinct()
+    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return one.unionByName(docs.where("doc_id is null"))
+
+
+def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's target takes it."""
+    copies = mix_sources(docs).groupBy(F.col("doc_id").alias("id")).agg(F.max("copies").cast("int").alias("copies")).where("copies > 0")
+    rows = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("id")))
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+
+
+def pack_along_curve(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of packed sequences."""
+    out = pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("line_dedup", drop_repeated_lines),
+    ("minhash_near_dedup", drop_near_copies),
+    ("mix_sources", mix_to_targets),
+    ("curve_packing", pack_along_curve),
+]
+
+#: Language ID, mixing and packing can't be expressed in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for i, (name, stage) in enumerate(STAGES):
+        path = f"{folder}/{i}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs
