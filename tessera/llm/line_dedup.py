@@ -28,7 +28,7 @@ def _later_runs(lines: list[bytes], run: int) -> np.ndarray:
     return mask
 
 
-def _cut_lines(run: int):
+def _cut_lines(run: int, carry: list[str]):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, spans = as_binary(batch.column("text")), batch.column("spans").to_pylist()
@@ -47,14 +47,14 @@ def _cut_lines(run: int):
                 removed.append(sorted(drop))
                 kept.append(None if nulls[i] else t if not drop else b"\n".join([x for j, x in enumerate(lines) if j not in drop]))
             yield pa.record_batch(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(removed, pa.list_(pa.int32())), pa.array(kept, pa.binary()).cast(pa.string())],
-                names=["doc_id", "n_lines", "n_removed", "removed", "kept_text"],
+                [*(batch.column(c) for c in carry), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(removed, pa.list_(pa.int32())), pa.array(kept, pa.binary()).cast(pa.string())],
+                names=[*carry, "doc_id", "n_lines", "n_removed", "removed", "kept_text"],
             )
 
     return cut
 
 
-def line_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", run: int = 3) -> DataFrame:
+def line_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", run: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
     """Removes each line covered by ``run`` consecutive lines whose sequence also starts earlier: in a document of smaller doc_id,
     or further up in the same one.
 
@@ -64,7 +64,9 @@ def line_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", r
     0), kept_text (other lines, as they were).
 
     Null text: no lines, kept_text null.  Null doc_id: compared with itself alone.  Repeated rows of one doc_id don't
-    remove each other.  Other columns are ignored, an empty table gives none.
+    remove each other.  Of the other columns those in ``carry`` are handed on; an empty table gives none.
     """
     form = Form(run, run - 1, Lines, extend_both_ways)
-    return with_spans(only(docs, doc_id, text).toDF("doc_id", "text"), form).mapInArrow(_cut_lines(run), OUT)
+    rows = only(docs, doc_id, text, *carry).toDF("doc_id", "text", *carry)
+    kinds = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in carry)
+    return with_spans(rows, form).mapInArrow(_cut_lines(run, list(carry)), kinds + OUT)

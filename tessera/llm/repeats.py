@@ -1,14 +1,15 @@
-"""Exact repeated spans across documents, shared by the word and the byte form of substring removal.
+"""Exact repeated spans across documents, shared by the word, line and byte forms of removal.
 
-A unit (word or byte) is removed where it is covered by a window of L consecutive units whose content also starts
+A unit (word, line or byte) is removed where it is covered by a window of L consecutive units whose content also starts
 in a document with a smaller doc_id.  Both forms run the same five steps:
 
 1. *Anchors.*  Winnowing over k-unit grams with window L - k + 1 selects at least one gram in every L-window, by the
-   window's content alone, so equal windows share an anchor at the same offset.  An anchor travels as (gram hash,
-   hash of its whole context of up to L - k units on both sides).  Before the shuffle each task collapses equal
-   (gram, context) pairs: later documents are settled there, one row for the first document goes on.
+   window's content alone.  Each window has one owner, its least gram (the leftmost of equals), so equal windows have
+   equal owners at the same offset, and a gram's context is the text of the windows that it owns.  An anchor travels as
+   (gram hash, context hash).  Before the shuffle each task collapses equal (gram, context) pairs: later documents are
+   settled there, one row for the first document goes on.
 2. *Join on anchors.*  Rows are dealt by gram.  A document whose context equals that of a smaller document is settled
-   at once (all L-windows around the anchor repeat).  First documents of grams with two or more different contexts
+   at once (all windows that the anchor owns repeat).  First documents of grams with two or more different contexts
    remain open.
 3. *Contexts.*  Open anchors meet their text again and send their context to the gram's partition.
 4. *Extension.*  The ``resolve`` function of the form finds every L-window of those contexts that an earlier document
@@ -29,11 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.runtime import cut, parts_for, text_bytes
-from tessera.llm.spans import U64, SpanHash, Words, chunks, mix64, winnowed
+from tessera.llm.runtime import cut, parts_for, release, text_bytes
+from tessera.llm.spans import U64, SpanHash, Words, chunks, mix64, owned, winnowed
 
-SPANS = "doc_id long, th long, open boolean, spans binary"
-FLUSH = 1_200_000
+ANSWERS = "bucket int, open boolean, blob binary"
+FLUSH = 600_000
 
 
 @dataclass(frozen=True)
@@ -42,10 +43,14 @@ class Form:
 
     window: int  # L
     gram: int  # k
-    by_word: bool
+    units: type[Words] | None  # None: bytes
     #: (gram hash, document order, context rows) -> (row, first unit of a repeated window within the context)
     resolve: Callable
 
+    @property
+    def by_word(self) -> bool:
+        return self.units is not None
+
     @property
     def reach(self) -> int:
         return self.window - self.gram
@@ -55,10 +60,10 @@ class Form:
 
 
 def _anchors_of(form: Form, texts: list[bytes]):
-    """Of a chunk: text index, position in the text, gram hash, context hash, units per text."""
+    """Of a chunk: text index, position in the text, gram hash, context hash, units of the context before the anchor and from it on."""
     L, k = form.window, form.gram
     if form.by_word:
-        words = Words(texts)
+        words = form.units(texts)
         n, of, first, total = words.n, words.text_of, words.first[:-1], len(words.start)
         data = words.data
     else:
@@ -68,7 +73,7 @@ def _anchors_of(form: Form, texts: list[bytes]):
         of = np.repeat(np.arange(len(texts), dtype=np.int32), n)
     none = np.zeros(0, dtype=np.int64)
     if total < L:
-        return none, none, none.astype(U64), none.astype(U64), n
+        return none, none, none.astype(U64), none.astype(U64), none, none
     h = SpanHash(data)
     if form.by_word:
         g = h.of(words.start[: total - k + 1], words.end[k - 1 :])
@@ -78,14 +83,17 @@ def _anchors_of(form: Form, texts: list[bytes]):
     ok[: total - L + 1] = of[: total - L + 1] == of[L - 1 :]
     at = winnowed(g, ok, L - k + 1)
     t = of[at]
-    lo = np.maximum(first[t], at - form.reach)
-    hi = np.minimum(first[t] + n[t], at + L)
-    left = (at - lo).astype(U64)
+    before, after = owned(g, at, L - k + 1)
+    lo = np.maximum(first[t], at - before)
+    hi = np.minimum(first[t] + n[t], at + after + k)
+    mine = hi - lo >= L  # else equal grams further left own all its windows
+    t, at, lo, hi = t[mine], at[mine], lo[mine], hi[mine]
+    left = at - lo
     if form.by_word:
         c = h.of(words.start[lo], words.end[hi - 1])
     else:
         c = h.of(lo, hi)
-    return t, at - first[t], g[at], mix64(c + left * U64(0x9E3779B97F4A7C15)), n
+    return t, at - first[t], g[at], mix64(c + left.astype(U64) * U64(0x9E3779B97F4A7C15)), left, hi - at
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -101,39 +109,48 @@ def _unpack(blob: bytes, *types) -> list[np.ndarray]:
     return out
 
 
-_ROW = (np.uint64, np.uint64, np.uint32, np.uint32, np.int64, np.int64, np.uint32)
+def _planes(a: np.ndarray, width: int) -> np.ndarray:
+    """The low ``width`` bytes of each value, first bytes first: high bytes are then runs that the shuffle compresses."""
+    return np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).reshape(-1)
+
+
+def _from_planes(b: np.ndarray, width: int) -> np.ndarray:
+    out = np.zeros((len(b) // width, 8), dtype=np.uint8)
+    out[:, :width] = b.reshape(width, -1).T
+    return out.reshape(-1).view("<u8")
+
+
+#: Bytes of a gram that travel, besides the bits that its partition stands for.
+_GRAM = 5
+_ROW = (np.uint8, np.uint64, *[np.uint8] * 8, np.int64, np.int32)
 
 
 class _Gathered:
     """Anchors of many chunks with the documents they stand in."""
 
     def __init__(self):
-        self.g, self.c, self.pos, self.d, self.id, self.th, self.n = ([] for _ in range(7))
+        self.parts: list[tuple] = []
         self.docs = self.rows = 0
 
-    def add(self, g, c, pos, d, ids, th, n):
-        self.g.append(g), self.c.append(c), self.pos.append(pos.astype(np.uint32)), self.d.append((d + self.docs).astype(np.uint32))
-        self.id.append(ids), self.th.append(th), self.n.append(n.astype(np.uint32))
+    def add(self, g, c, pos, d, left, right, ids, th):
+        self.parts.append((g, c, pos.astype(np.int64), d.astype(np.int64) + self.docs, left.astype(np.int64), right.astype(np.int64), ids, th))
         self.docs += len(ids)
-        self.rows += len(g)
+        self.rows += len(pos)
 
-    def sorted(self):
-        """All rows by gram, context, document and position, without repeats; then group starts of (gram, context)."""
-        g, c, pos, d = (np.concatenate(x) for x in (self.g, self.c, self.pos, self.d))
-        ids, th, n = (np.concatenate(x) for x in (self.id, self.th, self.n))
-        o = np.lexsort((pos, th[d], ids[d], c, g))
-        g, c, pos, d = g[o], c[o], pos[o], d[o]
-        if len(g):
-            keep = np.ones(len(g), dtype=bool)
-            keep[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1]) | (ids[d[1:]] != ids[d[:-1]]) | (th[d[1:]] != th[d[:-1]]) | (pos[1:] != pos[:-1])
-            g, c, pos, d = g[keep], c[keep], pos[keep], d[keep]
-        new = np.ones(len(g), dtype=bool)
-        new[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1])
-        return g, c, pos, d, ids, th, n, new
+    def all(self):
+        return [np.concatenate(x) for x in zip(*self.parts)]
 
 
-def _starts(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.flatnonzero(new), np.cumsum(new) - 1
+def _grouped(g: np.ndarray, c: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order by gram (its low ``bits`` bits count) that mostly puts equal contexts together, and where a new (gram, context) starts.
+
+    One sort on gram and the context's first bits: different contexts with equal first bits may alternate, which splits
+    a group but never joins two; a split group is extended like different contexts.
+    """
+    o = np.argsort((g << U64(64 - bits)) | (c >> U64(bits)))
+    new = np.ones(len(o), dtype=bool)
+    new[1:] = (g[o][1:] != g[o][:-1]) | (c[o][1:] != c[o][:-1])
+    return o, new
 
 
 def _anchor_rows(form: Form, buckets: int):
@@ -141,27 +158,29 @@ def _anchor_rows(form: Form, buckets: int):
         held = _Gathered()
 
         def flush():
-            g, c, pos, d, ids, th, n, new = held.sorted()
-            if not len(g):
-                return
-            at, group = _starts(new)
-            known = ids[d] > ids[d[at]][group]
-            bucket = np.where(known, (mix64(d) % U64(buckets)).astype(np.int64), (mix64(g) % U64(buckets)).astype(np.int64))
-            o = np.lexsort((pos, d, bucket))
+            g, c, pos, d, left, right, ids, th = held.all()
+            o, new = _grouped(g, c, 40)
+            least = np.minimum.reduceat(ids[d[o]], np.flatnonzero(new))[np.cumsum(new) - 1]
+            known = np.zeros(len(g), dtype=bool)
+            known[o] = ids[d[o]] > least
+            bucket = np.where(known, mix64(d) % U64(buckets), g % U64(buckets)).astype(np.int64)
+            o = np.argsort((bucket << 1) | known, kind="stable")  # rows came by document and position
             edges = np.flatnonzero(np.diff(bucket[o], prepend=-1))
             out_b, out = [], []
             for lo, hi in zip(edges, np.append(edges[1:], len(o))):
                 r = o[lo:hi]
-                own, d_own = np.unique(d[r], return_inverse=True)
+                own, at = np.unique(d[r], return_inverse=True)
                 k = known[r]
+                rows, told = r[~k], r[k]
                 out_b.append(int(bucket[r[0]]))
-                out.append(_pack(np.where(k, U64(0), g[r]), np.where(k, U64(0), c[r]), pos[r], d_own.astype(np.uint32), ids[own], th[own], n[own]) + k.astype(np.uint8).tobytes())
+                spans = [x for r in (rows, told) for x in (_planes(pos[r], 4), left[r].astype(np.uint8), right[r].astype(np.uint8))]
+                out.append(_pack(_planes(g[rows] // U64(buckets), _GRAM), c[rows], *spans[:3], _planes(at[~k], 4), *spans[3:], _planes(at[k], 4), ids[own], th[own].astype(np.int32)))
             yield pa.record_batch([pa.array(out_b, pa.int32()), pa.array(out, pa.binary())], names=["bucket", "blob"])
 
-        for (ids, th), texts in chunks(batches, ["doc_id", "th"], "text"):
-            t, pos, g, c, n = _anchors_of(form, texts)
+        for (ids, th), texts in chunks(batches, ["doc_id", "th"], "text", 1 << 19):
+            t, pos, g, c, left, right = _anchors_of(form, texts)
             if len(g):
-                held.add(g, c, pos, t, np.array(ids, dtype=np.int64), np.array(th, dtype=np.int64), n)
+                held.add(g, c, pos, t, left, right, np.array(ids, dtype=np.int64), np.array(th, dtype=np.int64))
             if held.rows >= FLUSH:
                 yield from flush()
                 held = _Gathered()
@@ -174,10 +193,10 @@ def _anchor_rows(form: Form, buckets: int):
 # ---------------------------------------------------------------- step 2
 
 
-def _spans_out(d, lo, hi, ids, th, is_open: bool) -> pa.RecordBatch | None:
-    """One row per document with its (start, end) pairs, touching ones joined."""
+def _answers(d, lo, hi, ids, th, is_open: bool, buckets: int) -> Iterator[pa.RecordBatch]:
+    """(start, end) pairs, touching ones joined, dealt by document: one blob for each partition of documents."""
     if not len(d):
-        return None
+        return
     o = np.lexsort((lo, d))
     d, lo, hi = d[o], lo[o].astype(np.int64), hi[o].astype(np.int64)
     if not is_open:
@@ -188,42 +207,61 @@ def _spans_out(d, lo, hi, ids, th, is_open: bool) -> pa.RecordBatch | None:
         at = np.flatnonzero(new)
         hi = (reach - base)[np.append(at[1:], len(d)) - 1]
         d, lo = d[at], lo[at]
-    edges = np.flatnonzero(np.diff(d.astype(np.int64), prepend=-1))
-    pairs = np.stack([lo, hi], axis=1).astype("<u4")
-    blobs = [pairs[a:b].tobytes() for a, b in zip(edges, np.append(edges[1:], len(d)))]
-    u = d[edges]
-    return pa.record_batch([pa.array(ids[u]), pa.array(th[u]), pa.array([is_open] * len(u)), pa.array(blobs, pa.binary())], names=["doc_id", "th", "open", "spans"])
-
-
-def _join_anchors(form: Form):
+    bucket = (mix64(ids[d].astype(U64) ^ (th[d].astype(np.int64).astype(U64) << U64(17))) % U64(buckets)).astype(np.int64)
+    o = np.argsort(bucket, kind="stable")
+    bucket, d, lo, hi = bucket[o], d[o], lo[o], hi[o]
+    edges = np.flatnonzero(np.diff(bucket, prepend=-1))
+    blobs = []
+    for x, y in zip(edges, np.append(edges[1:], len(d))):
+        first = np.flatnonzero(np.diff(d[x:y], prepend=-1)) + x
+        own = d[first]
+        blobs.append(_pack(ids[own], th[own].astype(np.int32), np.diff(np.append(first, y)).astype(np.uint32), lo[x:y].astype(np.uint32), (hi - lo)[x:y].astype(np.uint32)))
+    yield pa.record_batch([pa.array(bucket[edges].astype(np.int32)), pa.array([is_open] * len(blobs)), pa.array(blobs, pa.binary())], names=["bucket", "open", "blob"])
+
+
+def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per document with all its (start, end) pairs."""
+    parts = [_unpack(b, np.int64, np.int32, np.uint32, np.uint32, np.uint32) for batch in batches for b in batch.column("blob").to_pylist()]
+    if not parts:
+        return
+    ids, th, n, lo, size = (np.concatenate(x) for x in zip(*parts))
+    own = np.repeat(np.arange(len(ids)), n)
+    o = np.lexsort((lo, th[own], ids[own]))
+    pairs = np.stack([lo[o], lo[o] + size[o]], axis=1).astype("<u4")
+    i, t = ids[own[o]], th[own[o]]
+    first = np.flatnonzero(np.concatenate(([True], (i[1:] != i[:-1]) | (t[1:] != t[:-1]))))
+    yield pa.record_batch([pa.array(i[first]), pa.array(t[first]), pa.array([pairs[x:y].tobytes() for x, y in zip(first, np.append(first[1:], len(o)))], pa.binary())], names=["doc_id", "th", "spans"])
+
+
+def _join_anchors(form: Form, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, known = _Gathered(), _Gathered()
         for batch in batches:
             for blob in batch.column("blob").to_pylist():
-                g, c, pos, d, ids, th, n = _unpack(blob, *_ROW)
-                k = np.frombuffer(blob, dtype=np.uint8, offset=len(blob) - len(g)).astype(bool)
-                for to, m in ((held, ~k), (known, k)):
-                    if m.any():
-                        to.add(g[m], c[m], pos[m], d[m], ids, th, n)
-        span = lambda pos, d, n: (np.maximum(0, pos.astype(np.int64) - form.reach), np.minimum(n[d].astype(np.int64), pos.astype(np.int64) + form.window))
-        if known.rows:
-            pos, d, ids, th, n = (np.concatenate(x) for x in (known.pos, known.d, known.id, known.th, known.n))
-            if (out := _spans_out(d, *span(pos, d, n), ids, th, False)) is not None:
-                yield out
+                g, c, pos, left, right, d, pos_k, left_k, right_k, d_k, ids, th = _unpack(blob, *_ROW)
+                none = np.zeros(0, dtype=U64)
+                if len(c):
+                    held.add(_from_planes(g, _GRAM), c, _from_planes(pos, 4), _from_planes(d, 4), left, right, ids, th)
+                if len(left_k):
+                    known.add(none, none, _from_planes(pos_k, 4), _from_planes(d_k, 4), left_k, right_k, ids, th)
+        if known.docs:
+            _, _, pos, d, left, right, ids, th = known.all()
+            yield from _answers(d, pos - left, pos + right, ids, th, False, buckets)
         if not held.rows:
             return
-        g, c, pos, d, ids, th, n, new = held.sorted()
-        at, group = _starts(new)
-        least = ids[d[at]][group]
-        settled = ids[d] > least
-        if (out := _spans_out(d[settled], *span(pos[settled], d[settled], n), ids, th, False)) is not None:
-            yield out
-        gram, gram_of = _starts(np.concatenate(([True], g[1:] != g[:-1])))
-        contexts = np.add.reduceat(new.astype(np.int64), gram)
-        lo_doc, hi_doc = np.minimum.reduceat(ids[d], gram), np.maximum.reduceat(ids[d], gram)
-        wide = ((contexts > 1) & (hi_doc > lo_doc))[gram_of] & ~settled
-        if (out := _spans_out(d[wide], pos[wide], pos[wide] + 1, ids, th, True)) is not None:
-            yield out
+        g, c, pos, d, left, right, ids, th = held.all()
+        o, new = _grouped(g, c, 8 * _GRAM)
+        g, pos, d, left, right = g[o], pos[o], d[o], left[o], right[o]
+        doc = ids[d]
+        starts = np.flatnonzero(new)
+        settled = doc > np.minimum.reduceat(doc, starts)[np.cumsum(new) - 1]
+        yield from _answers(d[settled], (pos - left)[settled], (pos + right)[settled], ids, th, False, buckets)
+        first = np.concatenate(([True], g[1:] != g[:-1]))
+        gram = np.flatnonzero(first)
+        several = (np.add.reduceat(new.astype(np.int64), gram) > 1) & (np.maximum.reduceat(doc, gram) > np.minimum.reduceat(doc, gram))
+        wide = several[np.cumsum(first) - 1] & ~settled
+        # an open anchor's end also tells where in its context it stands
+        yield from _answers(d[wide], (pos - left)[wide], (pos + right + (left << 16))[wide], ids, th, True, buckets)
 
     return run
 
@@ -231,8 +269,8 @@ def _join_anchors(form: Form):
 # ---------------------------------------------------------------- steps 3 and 4
 
 
-def _pairs(blobs: list[bytes]) -> np.ndarray:
-    return np.concatenate([np.frombuffer(b, dtype="<u4").reshape(-1, 2) for b in blobs]).astype(np.int64)
+def _pairs(spans: bytes) -> np.ndarray:
+    return np.frombuffer(spans, dtype="<u4").reshape(-1, 2).astype(np.int64)
 
 
 def _contexts(form: Form, buckets: int):
@@ -241,28 +279,30 @@ def _contexts(form: Form, buckets: int):
     kind = np.uint64 if form.by_word else np.uint8
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (ids, th, lists), texts in chunks(batches, ["doc_id", "th", "lists"], "text"):
+        for (ids, th, spans), texts in chunks(batches, ["doc_id", "th", "spans"], "text"):
             if form.by_word:
-                words = Words(texts)
+                words = form.units(texts)
                 first, n, total, data = words.first[:-1], words.n, len(words.start), words.data
                 units = SpanHash(data).of(words.start, words.end) if total else np.zeros(0, dtype=U64)
             else:
                 units = data = np.frombuffer(b"".join(texts), dtype=np.uint8)
                 n = np.fromiter((len(t) for t in texts), dtype=np.int64, count=len(texts))
                 first = np.concatenate(([0], np.cumsum(n)))[:-1]
-            pos = [np.unique(_pairs(x)[:, 0]) for x in lists]
-            d = np.repeat(np.arange(len(pos)), [len(p) for p in pos])
-            at = np.concatenate(pos) + first[d]
+            told = [np.unique(_pairs(x), axis=0) for x in spans]
+            d = np.repeat(np.arange(len(told)), [len(p) for p in told])
+            lo, size = np.concatenate(told).T
+            size = size - lo
+            lo, left = lo + first[d], size >> 16
+            at, hi = lo + left, lo + (size & 0xFFFF)
             h = SpanHash(data)
             if form.by_word:
                 g = h.of(words.start[at], words.end[at + form.gram - 1])
             else:
                 g = h.of(at, at + form.gram)
-            lo, hi = np.maximum(first[d], at - form.reach), np.minimum(first[d] + n[d], at + form.window)
-            bucket = (mix64(g) % U64(buckets)).astype(np.int64)
+            bucket = (g % U64(buckets)).astype(np.int64)
             o = np.argsort(bucket, kind="stable")
             edges = np.flatnonzero(np.diff(bucket[o], prepend=-1))
-            ids_a, th_a = np.array(ids, dtype=np.int64), np.array(th, dtype=np.int64)
+            ids_a, th_a = np.array(ids, dtype=np.int64), np.array(th, dtype=np.int32)
             out_b, out = [], []
             for a, b in zip(edges, np.append(edges[1:], len(o))):
                 r = o[a:b]
@@ -278,12 +318,12 @@ def _contexts(form: Form, buckets: int):
     return run
 
 
-def _extend(form: Form):
+def _extend(form: Form, buckets: int):
     kind = np.uint64 if form.by_word else np.uint8
     width = form.window + form.reach
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [_unpack(b, np.uint64, np.int64, np.int64, np.uint32, np.uint8, np.uint8, kind) for batch in batches for b in batch.column("blob").to_pylist()]
+        parts = [_unpack(b, np.uint64, np.int64, np.int32, np.uint32, np.uint8, np.uint8, kind) for batch in batches for b in batch.column("blob").to_pylist()]
         if not parts:
             return
         g, ids, th, pos, left, right, rows = (np.concatenate(x) for x in zip(*parts))
@@ -291,11 +331,9 @@ def _extend(form: Form):
         if not len(row):
             return
         lo = pos[row].astype(np.int64) - form.reach + start
-        key = np.stack([ids, th], axis=1)
+        key = np.stack([ids, th.astype(np.int64)], axis=1)
         own, d = np.unique(key, axis=0, return_inverse=True)
-        out = _spans_out(d.reshape(-1)[row], lo, lo + form.window, own[:, 0], own[:, 1], False)
-        if out is not None:
-            yield out
+        yield from _answers(d.reshape(-1)[row], lo, lo + form.window, own[:, 0], own[:, 1].astype(np.int32), False, buckets)
 
     return run
 
@@ -304,24 +342,27 @@ def _extend(form: Form):
 
 
 def with_spans(docs: DataFrame, form: Form) -> DataFrame:
-    """docs (doc_id long, text) with ``lists``: packed spans of repeated units, null where there are none."""
+    """docs (doc_id long, text, others) with ``spans``: packed spans of repeated units, null where there are none."""
     spark = docs.sparkSession
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
+    keyed = docs.withColumn("th", F.hash("text"))
     nb = parts_for(spark, text_bytes(docs), 16 << 20)
-    sent = keyed.where("doc_id is not null and text is not null").mapInArrow(_anchor_rows(form, nb), "bucket int, blob binary")
-    joined = cut(sent.repartitionById(nb, F.col("bucket")).select("blob").mapInArrow(_join_anchors(form), SPANS))
-    opened = joined.where("open").groupBy("doc_id", "th").agg(F.collect_list("spans").alias("lists"))
-    contexts = keyed.join(opened, ["doc_id", "th"]).select("doc_id", "th", "lists", "text").mapInArrow(_contexts(form, nb), "bucket int, blob binary")
-    extended = contexts.repartitionById(nb, F.col("bucket")).select("blob").mapInArrow(_extend(form), SPANS)
-    spans = joined.where("not open").unionByName(extended).groupBy("doc_id", "th").agg(F.collect_list("spans").alias("lists"))
-    return keyed.join(spans, ["doc_id", "th"], "left").select("doc_id", "text", "lists")
-
-
-def cover(blobs: list[bytes] | None, n: int) -> np.ndarray:
+    of_documents = lambda answers: answers.repartitionById(nb, F.col("bucket")).select("blob").mapInArrow(_by_document, "doc_id long, th int, spans binary")
+    sent = keyed.where("doc_id is not null and text is not null").select("doc_id", "th", "text").mapInArrow(_anchor_rows(form, nb), "bucket int, blob binary")
+    joined = cut(sent.repartitionById(nb, F.col("bucket")).select("blob").mapInArrow(_join_anchors(form, nb), ANSWERS))
+    release(spark)
+    opened = of_documents(joined.where("open"))
+    contexts = keyed.join(opened, ["doc_id", "th"]).select("doc_id", "th", "spans", "text").mapInArrow(_contexts(form, nb), "bucket int, blob binary")
+    extended = cut(contexts.repartitionById(nb, F.col("bucket")).select("blob").mapInArrow(_extend(form, nb), ANSWERS))
+    release(spark)
+    spans = of_documents(joined.where("not open").unionByName(extended))
+    return keyed.join(spans, ["doc_id", "th"], "left").select(*docs.columns, "spans")
+
+
+def cover(spans: bytes | None, n: int) -> np.ndarray:
     """Which of n units the packed spans cover."""
-    if not blobs:
+    if not spans:
         return np.zeros(n, dtype=bool)
-    pairs = _pairs(blobs)
+    pairs = _pairs(spans)
     edge = np.zeros(n + 1, dtype=np.int64)
     np.add.at(edge, pairs[:, 0], 1)
     np.add.at(edge, pairs[:, 1], -1)

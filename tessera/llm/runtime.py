@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,3 +39,9 @@ def parts_for(spark: SparkSession, size: int, each: int) -> int:
 def only(docs: DataFrame, *columns: str) -> DataFrame:
     """The named columns; with names that clash (or other columns) left behind."""
     return docs.select(*[F.col(f"`{c}`") for c in columns])
+
+
+def release(spark: SparkSession) -> None:
+    """Lets the driver free shuffle files of finished steps, which else stay until it happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

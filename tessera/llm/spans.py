@@ -94,6 +94,30 @@ def winnowed(g: np.ndarray, valid_window: np.ndarray, w: int) -> np.ndarray:
     return np.flatnonzero((most == g) & (most > 0))
 
 
+def owned(g: np.ndarray, at: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many values before each position are greater than its own in a row, and after it not less; w - 1 at most each.
+
+    A window of w values belongs to its leftmost minimum: the windows of a position span just these values.
+    """
+    steps, mins = [1], [g]
+    while steps[-1] * 2 < w:
+        mins.append(np.minimum(mins[-1][: -steps[-1]], mins[-1][steps[-1] :]) if len(mins[-1]) > steps[-1] else mins[-1][:0])
+        steps.append(steps[-1] * 2)
+    own = g[at]
+    before, after = np.zeros(len(at), dtype=np.int64), np.zeros(len(at), dtype=np.int64)
+    for step, least in zip(steps[::-1], mins[::-1]):
+        for _ in range(2 if step == steps[-1] else 1):
+            a = at - before - step
+            ok = (a >= 0) & (before + step < w)
+            ok[ok] = least[a[ok]] > own[ok]
+            before[ok] += step
+            b = at + after + 1
+            ok = (b < len(least)) & (after + step < w)
+            ok[ok] = least[b[ok]] >= own[ok]
+            after[ok] += step
+    return before, after
+
+
 def as_binary(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     """A text column's UTF-8 bytes; null becomes empty."""
     if isinstance(column, pa.ChunkedArray):

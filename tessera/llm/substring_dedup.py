@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 
 from tessera.llm.repeats import Form, cover, runs, with_spans
 from tessera.llm.runtime import only
-from tessera.llm.spans import as_binary
+from tessera.llm.spans import Words, as_binary
 
 OUT = "doc_id long, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept_text string"
 
@@ -58,15 +58,15 @@ def extend_both_ways(g, doc, left, right, rows, form):
 
 def _cut_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        raw, lists = as_binary(batch.column("text")), batch.column("lists").to_pylist()
+        raw, lists = as_binary(batch.column("text")), batch.column("spans").to_pylist()
         n, gone, spans, kept = [], [], [], []
-        for i, blobs in enumerate(lists):
+        for i, packed in enumerate(lists):
             words = raw[i].as_py().split()
             n.append(len(words))
-            if not blobs:
+            if not packed:
                 gone.append(0), spans.append([]), kept.append(b" ".join(words))
                 continue
-            mask = cover(blobs, len(words))
+            mask = cover(packed, len(words))
             gone.append(int(mask.sum()))
             spans.append([{"start": int(a), "end": int(b)} for a, b in runs(mask)])
             kept.append(b" ".join([w for w, m in zip(words, mask.tolist()) if not m]))
@@ -85,5 +85,5 @@ def substring_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     Null text: no words.  Fewer words than the window: kept as they are.  Null doc_id: kept whole and never a
     source.  Repeated rows of one doc_id don't remove each other.  Other columns are ignored, an empty table gives none.
     """
-    form = Form(window, seed, True, extend_both_ways)
+    form = Form(window, seed, Words, extend_both_ways)
     return with_spans(only(docs, doc_id, text).toDF("doc_id", "text"), form).mapInArrow(_cut_words, OUT)
