@@ -6,8 +6,10 @@ each chunk is looked up with each of its 4 values left out: 48 keys a document,
 At Jaccard 0.8 a place differs with probability 0.2, so more than 23 of 48 are 5.2 standard deviations away.  All 128
 values test the distance of a pair before its full sets are compared; links rest on full sets alone.
 
-Groups of copies need no pairs: equal sets are collapsed first, each key links its members to its least one (a
-star), and only members of *different* components that still share a key are compared with each other.
+Groups of copies need no pairs: equal sets are collapsed first; then each document is compared with one leader only, the
+document that heads most of its keys, and after that, in keys of many members, with the nearest by signature of a few
+leaders.  Links so found join documents into components, and only members of *different* components that still share a key are compared with each other, each pair
+once, in blocks of bounded size.  No pair within the distance is skipped, whatever the leaders were.
 """
 
 from __future__ import annotations
@@ -24,8 +26,10 @@ from tessera.llm.runtime import cut, only, parts_for
 from tessera.llm.spans import U64, SpanHash, Words, chunks, mix64
 
 PLACES, INDEXED, CHUNK = 128, 48, 4
-#: Of 128 places, at Jaccard 0.8: 25.6 differ, with a standard deviation of 4.5; 5.4 of these more are allowed.
-FARTHEST = 50
+#: Of 128 places, at Jaccard 0.8: 25.6 differ, with a standard deviation of 4.5; 5 of these more are allowed.
+FARTHEST = 48
+#: Members of a key, and their shingles, that make a block; leaders of a block; members from which a key counts as large.
+BLOCK, BLOCK_SHINGLES, LEADERS, MANY = 2048, 2_000_000, 16, 64
 
 _MUL = mix64(np.arange(1, PLACES + 1, dtype=U64)) | U64(1)
 _XOR = mix64(np.arange(1001, PLACES + 1001, dtype=U64))
@@ -135,37 +139,143 @@ def _sets(n_words: int):
     return run
 
 
-def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of one key's members in different components whose signatures are near enough.  Rows come sorted by key."""
-    held: list[tuple] = []
-
-    def pairs():
-        comp = np.array([x[1] for x in held], dtype=np.int64)
-        o = np.argsort(comp, kind="stable")
-        comp, rep = comp[o], np.array([x[0] for x in held], dtype=np.int64)[o]
-        sig = np.frombuffer(b"".join(held[i][2] for i in o), dtype="<u2").reshape(len(o), PLACES)
-        found_a, found_b = [], []
-        for i in range(len(o)):
-            j0 = int(np.searchsorted(comp, comp[i], side="right"))
-            for j in range(j0, len(o), 4096):
-                near = np.flatnonzero((sig[j : j + 4096] != sig[i]).sum(axis=1) <= FARTHEST) + j
-                found_a.append(np.minimum(rep[i], rep[near])), found_b.append(np.maximum(rep[i], rep[near]))
-        if found_a:
-            a, b = np.concatenate(found_a), np.concatenate(found_b)
-            if len(a):
-                yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    at = None
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple]:
+    """Whole groups, many at a time: (keys, rep, comp, side, signatures, group starts and ends).  Rows come sorted by key."""
+    names, held = [*keys, "rep", "comp", "side"], None
     for batch in batches:
-        rows = zip(*(batch.column(c).to_pylist() for c in ("key", "rep", "comp", "sig")))
-        for key, rep, comp, sig in rows:
-            if key != at:
-                if len(held) > 1:
-                    yield from pairs()
-                held, at = [], key
-            held.append((rep, comp, sig))
-    if len(held) > 1:
-        yield from pairs()
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(c).to_numpy().astype(np.int64) for c in names]
+        columns.append(np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype="<u2").reshape(-1, PLACES))
+        if held is not None:
+            columns = [np.concatenate(x) for x in zip(held, columns)]
+        n = len(columns[0])
+        new = np.ones(n, dtype=bool)
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns[: len(keys)]])
+        at = np.flatnonzero(new)
+        last = at[-1]  # may go on in the next batch
+        if last:
+            yield [c[:last] for c in columns[: len(keys)]], *[c[:last] for c in columns[len(keys) :]], at[:-1], at[1:]
+        held = [c[last:] for c in columns]
+    if held is not None:
+        yield held[: len(keys)], *held[len(keys) :], np.array([0]), np.array([len(held[0])])
+
+
+def _lead(seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For members of a key's block: the nearest, by signature, of its leaders in other components."""
+        for _, rep, comp, _, sig, starts, ends in _groups(batches, ["key", "i"]):
+            out: list[list[np.ndarray]] = [[], [], []]
+            for a, b in zip(starts, ends):
+                if b - a < MANY:
+                    continue
+                r, c, s = rep[a:b], comp[a:b], sig[a:b]
+                best, who = np.full(b - a, PLACES), np.zeros(b - a, dtype=np.int64)
+                for x in np.argsort(mix64(r.astype(U64) + U64(seed)), kind="stable")[:LEADERS]:
+                    far = (s != s[x]).sum(axis=1)
+                    far[c == c[x]] = PLACES
+                    closer = far < best
+                    best[closer], who[closer] = far[closer], r[x]
+                near = np.flatnonzero(best <= FARTHEST)
+                for o, v in zip(out, (r[near], who[near], best[near])):
+                    o.append(v)
+            if out[0]:
+                yield pa.record_batch([pa.array(np.concatenate(o).astype(np.int64)) for o in out], names=["rep", "leader", "far"])
+
+    return run
+
+
+def _first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The number of the first of the 48 keys that two signatures share."""
+    miss = (a[:, :INDEXED] != b[:, :INDEXED]).reshape(len(a), INDEXED // CHUNK, CHUNK)
+    chunk = (miss.sum(axis=2) <= 1).argmax(axis=1)
+    return chunk * CHUNK + miss[np.arange(len(a)), chunk].argmax(axis=1)
+
+
+def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of one small key's members in different components whose signatures are near enough, at the first key they share."""
+    for (key,), rep, comp, _, sig, starts, ends in _groups(batches, ["key"]):
+        size, pairs = ends - starts, []
+        for n in np.unique(size[size > 1]):  # groups of one size at once
+            x, y = np.triu_indices(int(n), 1)
+            at = starts[size == n][:, None]
+            pairs.append(((at + x).reshape(-1), (at + y).reshape(-1)))
+        if not pairs:
+            continue
+        x, y = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
+        fit = comp[x] != comp[y]
+        x, y = x[fit], y[fit]
+        for at in range(0, len(x), 1 << 16):
+            u, v = x[at : at + (1 << 16)], y[at : at + (1 << 16)]
+            near = (sig[u] != sig[v]).sum(axis=1) <= FARTHEST
+            u, v = u[near], v[near]
+            own = keys_of(sig[u])[np.arange(len(u)), _first_shared(sig[u], sig[v])].view(np.int64) == key[u] if len(u) else np.zeros(0, dtype=bool)
+            if own.any():
+                yield pa.record_batch([pa.array(np.minimum(rep[u], rep[v])[own]), pa.array(np.maximum(rep[u], rep[v])[own])], names=["a", "b"])
+
+
+def _settle(percent: int):
+    """Links between components within blocks of a large key: full sets are compared here, and a link that joins two components is told."""
+
+    def links(key: int, rep, comp, side, sig, sets: list[np.ndarray], one_block: bool) -> list[tuple[int, int]]:
+        out, comp = [], comp.copy()
+        n = np.array([len(x) for x in sets])
+        for x in range(len(rep) - 1):
+            y = np.flatnonzero(comp[x + 1 :] != comp[x]) + x + 1
+            if not one_block:
+                y = y[side[y] != side[x]]
+            y = y[100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x])]
+            y = y[(sig[y] != sig[x]).sum(axis=1) <= FARTHEST] if len(y) else y
+            if not len(y):
+                continue
+            y = y[keys_of(sig[x : x + 1])[0][_first_shared(sig[y], np.broadcast_to(sig[x], (len(y), PLACES)))].view(np.int64) == key]
+            if not len(y):
+                continue
+            every = np.concatenate([sets[i] for i in y])
+            at = np.minimum(np.searchsorted(sets[x], every), n[x] - 1)
+            both = np.add.reduceat((sets[x][at] == every).astype(np.int64), np.cumsum(n[y]) - n[y])
+            for i in y[100 * both >= percent * (n[x] + n[y] - both)]:
+                if comp[i] != comp[x]:
+                    comp[comp == comp[i]] = comp[x]
+                    out.append((min(rep[x], rep[i]), max(rep[x], rep[i])))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at = [], None
+        for batch in batches:
+            shingles = batch.column("shingles")
+            offsets, values = shingles.offsets.to_numpy(), shingles.values.to_numpy().view(U64)
+            columns = [batch.column(c).to_pylist() for c in ("key", "i", "j", "rep", "comp", "side", "sig")]
+            for r, (key, i, j, *row) in enumerate(zip(*columns)):
+                if (key, i, j) != at:
+                    yield from done(held, at)
+                    held, at = [], (key, i, j)
+                held.append((*row, values[offsets[r] : offsets[r + 1]].copy()))
+        yield from done(held, at)
+
+    def done(held: list[tuple], at) -> Iterator[pa.RecordBatch]:
+        if len(held) < 2:
+            return
+        rep, comp, side = (np.array([x[c] for x in held], dtype=np.int64) for c in range(3))
+        sig = np.frombuffer(b"".join(x[3] for x in held), dtype="<u2").reshape(-1, PLACES)
+        found = links(at[0], rep, comp, side, sig, [x[4] for x in held], at[1] == at[2])
+        if found:
+            yield pa.record_batch([pa.array([int(a) for a, _ in found]), pa.array([int(b) for _, b in found])], names=["a", "b"])
+
+    return run
+
+
+def _open_members(met: DataFrame, near: DataFrame, reps: DataFrame, most: int | None = None, least: int = 2) -> DataFrame:
+    """(key, rep, comp, sig, n, blocks) of the members of keys of ``least`` to ``most`` members that still hold more than one component.
+
+    blocks: so many that each has about BLOCK members and BLOCK_SHINGLES shingles at most.
+    """
+    member = met.join(near.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("comp"))
+    size = member.join(reps.select("rep", "n_shingles"), "rep") if most is None else member.withColumn("n_shingles", F.lit(0))
+    keys = size.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.sum("n_shingles").alias("s")).where("lo < hi")
+    keys = keys.where(F.col("n") >= least) if most is None else keys.where(F.col("n").between(least, most))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int")
+    return member.join(keys.select("key", blocks.alias("blocks")), "key").join(reps.select("rep", "sig"), "rep")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -183,7 +293,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def near_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+def _star(near: DataFrame) -> DataFrame:
+    return near.where("node <> root").select(F.col("root").alias("u"), F.col("node").alias("v"))
+
+
+def near_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, leader_rounds: int = 1) -> DataFrame:
     """Groups of near copies: documents are linked if 100 * |A and B| >= percent * |A or B| for their shingle sets.
 
     Words are runs of non-white characters after lower-casing A-Z; a set holds the distinct ``shingle``-word runs, or the whole
@@ -200,21 +314,30 @@ def near_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", s
     docs = only(docs, doc_id, text).toDF("doc_id", "text")
     signed = cut(docs.mapInArrow(_sign(shingle), "doc_id long, n_shingles long, s1 long, s2 long, sig binary"))
     linked = signed.where("n_shingles > 0 and doc_id is not null")
-    reps = cut(linked.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")))
+    reps = cut(linked.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")))
     nb = parts_for(spark, reps.count() * INDEXED * 16, 16 << 20)
     met = cut(reps.select("rep", "sig").mapInArrow(_deal(nb), "bucket int, blob binary").repartitionById(nb, F.col("bucket")).select("blob").mapInArrow(_meet, "key long, rep long, head long"))
     wanted = met.select("rep").distinct()
     sets = cut(docs.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep").dropDuplicates(["rep"]).mapInArrow(_sets(shingle), "rep long, shingles array<long>"))
-    star = met.where("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
-    links = cut(_verified(star, sets, percent))
+    headed = met.where("rep <> head").groupBy("rep", "head").agg(F.count("*").alias("n")).groupBy("rep").agg(F.max(F.struct("n", (-F.col("head")).alias("h"))).alias("x"))
+    links = cut(_verified(headed.select((-F.col("x.h")).alias("a"), F.col("rep").alias("b")), sets, percent))
     near = components(links.toDF("u", "v"))
-    # what shares a key but not yet a component
-    member = met.join(near.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("comp"))
-    open_keys = member.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    again = member.join(open_keys, "key").join(reps.select("rep", "sig"), "rep").repartition(nb, "key").sortWithinPartitions("key", "rep")
-    rest = again.select("key", "rep", "comp", "sig").mapInArrow(_cross, "a long, b long").distinct().join(star, ["a", "b"], "left_anti")
-    more = cut(_verified(rest, sets, percent))
-    final = components(near.where("node <> root").select(F.col("root").alias("u"), F.col("node").alias("v")).unionByName(more.toDF("u", "v")))
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    for turn in range(leader_rounds):
+        sided = _open_members(met, near, reps, least=MANY).select("key", block.alias("i"), "rep", "comp", F.lit(0).alias("side"), "sig")
+        led = sided.repartition(nb, "key", "i").sortWithinPartitions("key", "i").mapInArrow(_lead(turn), "rep long, leader long, far long")
+        best = led.groupBy("rep").agg(F.min(F.struct("far", "leader")).alias("x"))
+        more = cut(_verified(best.select(F.least("rep", "x.leader").alias("a"), F.greatest("rep", "x.leader").alias("b")).distinct(), sets, percent))
+        near = components(_star(near).unionByName(more.toDF("u", "v")))
+    # keys of few members: their pairs, each once, then compared
+    few = _open_members(met, near, reps, MANY - 1).select("key", "rep", "comp", F.lit(0).alias("side"), "sig")
+    rest = few.repartition(nb, "key").sortWithinPartitions("key", "rep").mapInArrow(_cross, "a long, b long").distinct()
+    # keys of many: compared in place, and told only where components join.  A row goes to every pair of blocks that its own is in
+    at = _open_members(met, near, reps, least=MANY).withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sided = at.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "comp", F.col("own").alias("side"), "sig").join(sets, "rep")
+    joined = sided.repartition(nb, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_settle(percent), "a long, b long")
+    more = cut(_verified(rest, sets, percent).unionByName(joined))
+    final = components(_star(near).unionByName(more.toDF("u", "v")))
     rep_of = reps.select("s1", "s2", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", F.coalesce("root", "rep").alias("root"))
     out = signed.select("doc_id", "n_shingles", "s1", "s2").join(rep_of, ["s1", "s2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("root"))).otherwise(F.col("doc_id"))
