@@ -1,0 +1,140 @@
+"""Set selection per entity, and tuning of its thresholds."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from itertools import product
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+CAPS = {2: 5, 3: 6}
+
+
+def addition_threshold(k: int) -> float:
+    """The least probability at which a further record raises the expected F0.5 of k sure ones (of k true ones in all)."""
+    wrong = 1.25 * k / (k + 1 + 0.25 * k)  # it is taken and false
+    miss = 1.25 * k / (k + 0.25 * (k + 1))  # it is true and not taken
+    # taking it is better if p * 1 + (1 - p) * wrong >= p * miss + (1 - p) * 1
+    return (1 - wrong) / ((1 - miss) + (1 - wrong))
+
+
+def member_arrays(edges: DataFrame, gates: DataFrame, *, score: str = "q_own", most: int = 11) -> DataFrame:
+    """(gates.*, list): each entity's best ``most`` owned records as an array of (q, src, rec_uid), best first; empty without any."""
+    e = edges.where(F.col(score) > 0).withColumn("__n", F.row_number().over(Window.partitionBy("s1_uid").orderBy(F.desc(score), "rec_uid"))).where(F.col("__n") <= most)
+    per = e.groupBy("s1_uid").agg(F.sort_array(F.collect_list(F.struct("__n", F.col(score).cast("double").alias("q"), F.col("src").cast("int").alias("src"), "rec_uid"))).alias("list"))
+    out = gates.join(per, "s1_uid", "left")
+    return out.withColumn("list", F.coalesce(F.transform("list", lambda x: F.struct(x["q"].alias("q"), x["src"].alias("src"), x["rec_uid"].alias("rec_uid"))), F.array().cast("array<struct<q:double,src:int,rec_uid:bigint>>")))
+
+
+def select_heuristic(arrays: DataFrame, *, kappa: Column | float = 0.9, t_min: Column | float = 0.4, delta: Column | float = 0.0, caps: dict[int, int] | None = None, most: int = 11, gate: str = "g") -> DataFrame:
+    """arrays with picked: the records that the sequential rule takes.
+
+    The first needs q > 0, q * kappa > 1 - g and q >= t_min.  Each further one needs the threshold for the number taken so far
+    plus delta; the first that fails ends the list, one over its source's cap is passed over.  A fold over the array, in
+    the JVM: no shuffle and no Python.
+    """
+    caps = CAPS if caps is None else caps
+    c = lambda x: x if isinstance(x, Column) else F.lit(float(x))
+    kappa, t_min, delta = c(kappa), c(t_min), c(delta)
+    steps = F.array(*[F.lit(addition_threshold(k)) for k in range(1, most + 1)])
+    names = [f"n{s}" for s in caps]
+    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("k"), F.lit(True).alias("on"), *[F.lit(0).alias(n) for n in names], F.array().cast("array<bigint>").alias("ids"))
+
+    def step(a: Column, x: Column) -> Column:
+        first = (x["q"] > 0) & (x["q"] * kappa > 1 - F.col(gate)) & (x["q"] >= t_min)
+        later = (x["q"] > 0) & (x["q"] >= F.element_at(steps, F.least(F.greatest(a["k"], F.lit(1)), F.lit(most))) + delta)
+        above = a["on"] & F.when(a["at"] == 0, first).otherwise(later)
+        full = F.lit(False)
+        for s, cap in caps.items():
+            full = full | ((x["src"] == s) & (a[f"n{s}"] >= cap))
+        take = above & ~full
+        n = {s: F.when(take & (x["src"] == s), a[f"n{s}"] + 1).otherwise(a[f"n{s}"]).alias(f"n{s}") for s in caps}
+        return F.struct((a["at"] + 1).alias("at"), (a["k"] + take.cast("int")).alias("k"), above.alias("on"), *n.values(), F.when(take, F.concat(a["ids"], F.array(x["rec_uid"]))).otherwise(a["ids"]).alias("ids"))
+
+    return arrays.withColumn("picked", F.aggregate("list", zero, step, lambda a: a["ids"]))
+
+
+def expected_f_half(p: np.ndarray, g: float, u: float = 0.0, conditioned: bool = True, extra: int = 3) -> np.ndarray:
+    """Expected F0.5 of taking the k best of independent members of probability p, for k = 0 .. len(p).
+
+    ``g``: probability that the entity has a match at all; ``conditioned``: p are then given that.  ``u``: mean of a Poisson
+    number (``extra`` at most) of true records outside the list.
+    """
+    n, g = len(p), min(max(g, 1e-6), 1.0)
+    p = np.clip(p / g, 0, 1) if conditioned else p
+    outside = np.array([u**i for i in range(extra + 1)]) / np.cumprod([1.0, *range(1, extra + 1)])
+    outside /= outside.sum()
+    # rest[k]: distribution of the number of true records beyond the first k, listed or not
+    rest: list[np.ndarray] = [outside]
+    for x in p[::-1]:
+        rest.append(np.convolve(rest[-1], [1 - x, x]))
+    rest = rest[::-1]
+    none = float(np.prod(1 - p)) * outside[0]
+    out, hit = np.zeros(n + 1), np.ones(1)
+    out[0] = 1 - g
+    for k in range(1, n + 1):
+        hit = np.convolve(hit, [1 - p[k - 1], p[k - 1]])
+        t, r = np.arange(k + 1)[:, None], np.arange(len(rest[k]))[None, :]
+        f = 1.25 * t / (k + 0.25 * (t + r))
+        out[k] = float(hit @ f @ rest[k])
+    if conditioned:
+        out[1:] *= g / max(1 - none, 1e-12)
+    return out
+
+
+def _expected(a: float, b: float, u: float, conditioned: bool, caps: dict[int, int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            picked, value = [], []
+            for g, rows in zip(batch.column("g").to_pylist(), batch.column("list").to_pylist()):
+                room, can = dict(caps), []
+                for x in rows:
+                    if x["q"] > 0 and room.get(x["src"], 1) > 0:
+                        room[x["src"]] = room.get(x["src"], 10**9) - 1
+                        can.append(x)
+                q = np.clip(np.array([x["q"] for x in can], dtype=float), 1e-6, 1 - 1e-6)
+                e = expected_f_half(1 / (1 + np.exp(-(a * np.log(q / (1 - q)) + b))), g, u, conditioned)
+                k = int(e.argmax())
+                picked.append([x["rec_uid"] for x in can[:k]])
+                value.append(float(e[k]))
+            yield pa.record_batch([batch.column("s1_uid"), pa.array(picked, pa.list_(pa.int64())), pa.array(value)], names=["s1_uid", "picked", "expected"])
+
+    return run
+
+
+def select_expected(arrays: DataFrame, *, a: float = 1.0, b: float = 0.0, u: float = 0.0, conditioned: bool = True, caps: dict[int, int] | None = None) -> DataFrame:
+    """(s1_uid, picked, expected): the prefix of an entity's records, under the caps, of the largest expected F0.5; the shorter one on ties."""
+    return arrays.select("s1_uid", F.col("g").cast("double").alias("g"), "list").mapInArrow(_expected(a, b, u, conditioned, CAPS if caps is None else caps), "s1_uid long, picked array<bigint>, expected double")
+
+
+def picked_pairs(selected: DataFrame) -> DataFrame:
+    return selected.select("s1_uid", F.explode("picked").alias("rec_uid"))
+
+
+def grid_search(arrays: DataFrame, truth: DataFrame, entities: DataFrame, grid: dict[str, list[float]], *, caps: dict[int, int] | None = None, gate: str = "g") -> DataFrame:
+    """(prof, the grid's columns, macro_f05): the best thresholds per profile; ties go to the first in grid order.
+
+    arrays: of ``member_arrays`` with prof.  Every entity's array is judged under each setting by the fold of ``select_heuristic``; the
+    true records travel with the array, so there is one shuffle for them and one for the averages.
+    """
+    from tessera.operators.metrics import f_half
+
+    names = list(grid)
+    settings = F.array(*[F.struct(F.lit(i).alias("i"), *[F.lit(float(v)).alias(n) for n, v in zip(names, values)]) for i, values in enumerate(product(*grid.values()))])
+    true = truth.groupBy("s1_uid").agg(F.collect_set("rec_uid").alias("true"))
+    a = arrays.join(true, "s1_uid", "left").join(entities.select("s1_uid", "n_true"), "s1_uid").withColumn("true", F.coalesce("true", F.array().cast("array<bigint>")))
+    a = a.withColumn("set", F.explode(settings))
+    use = {n: F.col(f"set.{n}") for n in names}
+    judged = select_heuristic(a, caps=caps, gate=gate, **use)
+    f = f_half(F.size(F.array_intersect("picked", "true")), F.size("picked"), F.col("n_true"))
+    mean = judged.groupBy("prof", "set").agg(F.avg(f).alias("macro_f05"))
+    return mean.groupBy("prof").agg(F.max(F.struct(F.round("macro_f05", 12).alias("f"), (-F.col("set.i")).alias("i"), "set")).alias("x")).select("prof", *[F.col(f"x.set.{n}").alias(n) for n in names], F.col("x.f").alias("macro_f05"))
+
+
+def logit_shift(p: Column, shift: Column | float) -> Column:
+    """Moves a probability by ``shift`` on the logit scale; zero stays zero."""
+    c = F.greatest(F.lit(1e-9), F.least(p, F.lit(1 - 1e-9)))
+    return F.when(p > 0, 1 / (1 + F.exp(-(F.log(c / (1 - c)) - shift)))).otherwise(F.lit(0.0))

@@ -1,6 +1,649 @@
-"""The library's registered queries and their SQL."""
+"""Registered queries, one or more for each operator, over the driver's tables in their linkage roles (``tessera.tables``), with SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.functions import compare, similarity, text
+from tessera.operators import blocking, collective, context, decide, graph, metrics, mining, models
+from tessera.sources import validate as checks
+from tessera.tables import EDGES, ENTITIES, PART_KEYS, PREDICTED, RECORDS, edges, entities, part_keys, predicted, records, table, truth
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+# ---------------------------------------------------------------- blocking
+
+_PAIRS = """size as (select kt, key, count(*) filter (ref) as n1, count(*) filter (not ref) as n2 from keys group by 1, 2),
+pairs as (select a.uid as s1_uid, b.uid as rec_uid, a.kt, n1 * n2 as block from keys a join keys b using (kt, key) join size using (kt, key)
+  where a.ref and not b.ref and n1 <= 4 and n1 * n2 <= 60)"""
+
+
+@query(f"with {PART_KEYS}, {_PAIRS} select s1_uid, rec_uid, kt, block from pairs")
+def block_key_pairs(spark, sf_dir):
+    return blocking.key_pairs(part_keys(spark, sf_dir), max_refs=4, max_pairs=60)
+
+
+def _price_hits(spark, sf_dir):
+    """Parts of one type and size with near prices, as hits of two channels in both directions."""
+    from pyspark.sql import Window
+
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size", "p_retailprice")
+    a, b = p.where("p_partkey % 4 = 0"), p.where("p_partkey % 4 <> 0").withColumnsRenamed({"p_partkey": "o", "p_retailprice": "op"})
+    sim = F.round(1 / (1 + F.abs(F.col("p_retailprice") - F.col("op"))), 9)
+    near = a.join(b, ["p_type", "p_size"]).select(F.col("p_partkey").alias("s1_uid"), F.col("o").alias("rec_uid"), sim.alias("sim"))
+    out = []
+    for channel, direction, key, other, k in (("n1", "f", "s1_uid", "rec_uid", 2), ("n1", "r", "rec_uid", "s1_uid", 1), ("a1", "f", "s1_uid", "rec_uid", 1)):
+        r = near.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("sim"), other))).where(F.col("rank") <= k)
+        out.append(r.select(F.lit(channel).alias("channel"), F.lit(direction).alias("direction"), "s1_uid", "rec_uid", "rank", "sim"))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query(f"""with {PART_KEYS}, {_PAIRS},
+near as (select a.p_partkey as s1_uid, b.p_partkey as rec_uid, round(1 / (1 + abs(a.p_retailprice - b.p_retailprice)), 9) as sim from part a join part b using (p_type, p_size) where a.p_partkey % 4 = 0 and b.p_partkey % 4 <> 0),
+f as (select *, row_number() over (partition by s1_uid order by sim desc, rec_uid) as rank from near), r as (select *, row_number() over (partition by rec_uid order by sim desc, s1_uid) as rank from near),
+hits as (select s1_uid, rec_uid, case when rank <= 1 then rank end as a1f, rank as n1f, null as n1r, sim from f where rank <= 2 union all select s1_uid, rec_uid, null, null, rank, sim from r where rank <= 1),
+h as (select s1_uid, rec_uid, min(a1f) as a1f_rank, null::int as a1r_rank, max(sim) filter (a1f is not null) as a1_sim, min(n1f) as n1f_rank, min(n1r) as n1r_rank, max(sim) as n1_sim, null::int as d1f_rank, null::int as d1r_rank, null::double as d1_sim from hits group by 1, 2),
+k as (select s1_uid, rec_uid, bit_or(1 << kt) as key_mask, min(block) as key_block, count(distinct kt) as key_n from pairs group by 1, 2)
+select * from h full join k using (s1_uid, rec_uid)""")
+def block_mask_union(spark, sf_dir):
+    return blocking.candidate_union(_price_hits(spark, sf_dir), block_key_pairs(spark, sf_dir))
+
+
+def _doc_tokens(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.col("doc_id").alias("uid"), F.col("lang").alias("country"), F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda t: t != "").alias("addr_tokens"))
+
+
+_TOK = "tok as (select distinct doc_id as uid, lang as country, t as tok from (select doc_id, lang, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) as t from documents) where t <> '')"
+
+
+@query(f"with {_TOK}, n as (select country, count(distinct uid) as n from tok group by 1), df as (select country, tok, count(*) as df from tok group by 1, 2) select country, tok, df, round(ln((1 + n)::double / (1 + df)) + 1, 6) as idf from df join n using (country)")
+def token_df_idf(spark, sf_dir):
+    t = _doc_tokens(spark, sf_dir).select("country", "uid", F.explode("addr_tokens").alias("tok"))
+    n = t.groupBy("country").agg(F.countDistinct("uid").alias("n"))
+    df = blocking.document_frequency(t, by=("country",)).join(F.broadcast(n), "country")  # one row a language
+    return df.select("country", "tok", "df", F.round(blocking.smooth_idf(F.col("df"), F.col("n")), 6).alias("idf"))
+
+
+_WORD = f"{_TOK}, df as (select country, tok, count(*) as df from tok where length(tok) >= 3 group by 1, 2), word as (select country, uid, tok, df from tok join df using (country, tok))"
+
+
+@query(f"with {_WORD} select uid, tok, df from (select *, row_number() over (partition by uid order by df, tok) as n from word) where n <= 2")
+def rare_tokens_per_record(spark, sf_dir):
+    return blocking.token_classes(_doc_tokens(spark, sf_dir)).where("kind = 'rare'").select("uid", "tok", "df")
+
+
+@query(f"with {_WORD} select uid, tok, df from (select *, row_number() over (partition by uid order by df desc, tok) as n from word where df between 30 and 200) where n <= 2")
+def admin_tokens_per_record(spark, sf_dir):
+    return blocking.token_classes(_doc_tokens(spark, sf_dir), admin=(30, 200)).where("kind = 'admin'").select("uid", "tok", "df")
+
+
+def _tfidf_sql(name: str, rows: str) -> str:
+    return f"""{name}_w as (select uid, ' ' || w || ' ' as w from (select uid, unnest(regexp_split_to_array(lower(t), '[ \\t\\n\\r\\f\\v]+')) as w from ({rows})) where w <> ''),
+{name}_tf as (select uid, gram, 1 + ln(count(*)) as tf from (select uid, substr(w, i::int, 3) as gram from {name}_w, unnest(range(1, greatest(length(w) - 2, 1) + 1)) x(i)) group by 1, 2),
+{name}_idf as (select gram, ln((1 + (select count(distinct uid) from ({rows})))::double / (1 + count(*))) + 1 as idf from {name}_tf group by 1),
+{name}_x as (select uid, gram, tf * idf as w from {name}_tf join {name}_idf using (gram)), {name} as (select uid, gram, w / sqrt(sum(w * w) over (partition by uid)) as w from {name}_x)"""
+
+
+@query(f"""with {_tfidf_sql("g", "select 1000000000 + item_id as uid, text as t from benchmark union all select doc_id, text from documents")},
+dot as (select a.uid - 1000000000 as query, b.uid as item, sum(a.w * b.w) as sim from g a join g b using (gram) where a.uid >= 1000000000 and b.uid < 1000000000 group by 1, 2)
+select query, item, round(sim, 6) as sim, rank from (select *, row_number() over (partition by query order by round(sim, 9) desc, item) as rank from dot) where rank <= 5 and sim >= 0.15""")
+def char3_tfidf_topk(spark, sf_dir):
+    b, d = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
+    rows = blocking.tfidf(b.select((F.lit(1_000_000_000) + F.col("item_id")).alias("uid"), "text").unionByName(d.select(F.col("doc_id").alias("uid"), "text")), "uid", "text")
+    hits = blocking.sparse_topk(rows.where("uid >= 1000000000"), rows.where("uid < 1000000000"), 5, 0.15)
+    return hits.select((F.col("query") - 1_000_000_000).alias("query"), "item", F.round("sim", 6).alias("sim"), "rank")
+
+
+_DENSE = """v as (select vec_id as uid, embedding::double[] as vec from embeddings), q as (select * from v where uid % 10 = 0), i as (select * from v where uid % 10 <> 0)"""
+
+
+def _dense(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("uid"), F.col("embedding").alias("vec"))
+    return v.where("uid % 10 = 0"), v.where("uid % 10 <> 0")
+
+
+@query(f"with {_DENSE} select query, item, round(sim, 6) as sim, rank from (select *, row_number() over (partition by query order by round(sim, 9) desc, item) as rank from (select q.uid as query, i.uid as item, list_cosine_similarity(q.vec, i.vec) as sim from q, i)) where rank <= 10 and sim >= 0.15")
+def dense_topk_fwd(spark, sf_dir):
+    q, i = _dense(spark, sf_dir)
+    return blocking.dense_topk(q, i, 10, min_sim=0.15).select("query", "item", F.round("sim", 6).alias("sim"), "rank")
+
+
+@query(f"with {_DENSE} select query, item, round(sim, 6) as sim, rank from (select *, row_number() over (partition by query order by round(sim, 9) desc, item) as rank from (select i.uid as query, q.uid as item, list_cosine_similarity(q.vec, i.vec) as sim from q, i)) where rank <= 3 and sim >= 0.15")
+def dense_topk_rev(spark, sf_dir):
+    q, i = _dense(spark, sf_dir)
+    return blocking.dense_topk(i, q, 3, min_sim=0.15).select("query", "item", F.round("sim", 6).alias("sim"), "rank")
+
+
+@query(f"""with {_DENSE}, sim as (select q.uid as s1_uid, i.uid as rec_uid, list_cosine_similarity(q.vec, i.vec) as s from q, i),
+cand as (select s1_uid, rec_uid, s from (select *, row_number() over (partition by s1_uid order by round(s, 9) desc, rec_uid) as n from sim) where n <= 5),
+nb as (select a.uid as m, b.uid as n, list_cosine_similarity(a.vec, b.vec) as s from i a, i b where a.uid <> b.uid),
+nb5 as (select m, n, round(s, 9) as s from (select *, row_number() over (partition by m order by round(s, 9) desc, n) as r from nb) where r <= 5 and s >= 0.2),
+add_ as (select c.s1_uid, n as rec_uid, max(nb5.s) as hop_sim from cand c join nb5 on m = c.rec_uid where c.s >= 0.3 group by 1, 2),
+new as (select * from add_ anti join cand using (s1_uid, rec_uid))
+select s1_uid, rec_uid, round(hop_sim, 6) as hop_sim from (select *, row_number() over (partition by s1_uid order by hop_sim desc, rec_uid) as r from new) where r <= 4""")
+def two_hop_expand(spark, sf_dir):
+    q, i = _dense(spark, sf_dir)
+    cand = blocking.dense_topk(q, i, 5).select(F.col("query").alias("s1_uid"), F.col("item").alias("rec_uid"), "sim")
+    near = blocking.dense_topk(i, i, 5, min_sim=0.2).select(F.col("query").alias("m"), F.col("item").alias("n"), F.round("sim", 9).alias("sim"))
+    return blocking.two_hop(cand, near, score="sim", confident=0.3, min_sim=0.2, max_add=4).select("s1_uid", "rec_uid", F.round("hop_sim", 6).alias("hop_sim"))
+
+
+# ---------------------------------------------------------------- context and rank rules
+
+
+@query(f"""with {EDGES}, r as (select *, row_number() over (partition by s1_uid order by p desc, rec_uid) as c_s1_rank, row_number() over (partition by rec_uid order by p desc, s1_uid) as c_rec_rank from edges),
+x as (select *, max(p) over s as ms, max(p) over c as mc, coalesce(max(case when c_s1_rank > 1 then p end) over s, 0) as s2, coalesce(max(case when c_rec_rank > 1 then p end) over c, 0) as c2, sum(p) over s as ss, sum(p) over c as sc,
+  count(*) over s as c_s1_n, count(*) over c as c_rec_n, count(*) filter (p >= 0.5) over s as c_s1_n50, count(*) filter (p >= 0.5) over c as c_rec_n50 from r window s as (partition by s1_uid), c as (partition by rec_uid))
+select s1_uid, rec_uid, c_s1_rank, c_rec_rank, round(ms - p, 9) as c_s1_gap, round(mc - p, 9) as c_rec_gap, case when c_s1_rank = 1 then s2 else ms end as c_s1_other, case when c_rec_rank = 1 then c2 else mc end as c_rec_comp,
+  round(p / (ss + 1e-6), 6) as c_s1_share, round(p / (sc + 1e-6), 6) as c_rec_share, c_s1_n, c_rec_n, c_s1_n50, c_rec_n50, round(p - case when c_rec_rank = 1 then c2 else mc end, 9) as c_rec_margin from x""")
+def score_context(spark, sf_dir):
+    out = context.score_context(edges(spark, sf_dir).select("s1_uid", "rec_uid", "p"), "p", "c")
+    return out.drop("p").withColumns({c: F.round(c, n) for c, n in (("c_s1_gap", 9), ("c_rec_gap", 9), ("c_s1_share", 6), ("c_rec_share", 6), ("c_rec_margin", 9))})
+
+
+@query("""with n as (select c_nationkey as nation, o_custkey as cust, count(*)::double as n from orders join customer on c_custkey = o_custkey group by 1, 2), m as (select nation, greatest(median(n), 1) as m from n group by 1)
+select nation, cust, round(n / m, 6) as n from n join m using (nation)""")
+def density_normalize(spark, sf_dir):
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    n = o.join(c, F.col("c_custkey") == F.col("o_custkey")).groupBy(F.col("c_nationkey").alias("nation"), F.col("o_custkey").alias("cust")).agg(F.count("*").cast("double").alias("n"))
+    return context.density_normalize(n, ["n"], by="nation").select("nation", "cust", F.round("n", 6).alias("n"))
+
+
+@query(f"with {EDGES}, n as (select s1_uid, count(*)::double as n from edges group by 1) select s1_uid, round(n * 10.0 / greatest((select median(n) from n), 1), 6) as n from n")
+def density_match(spark, sf_dir):
+    n = edges(spark, sf_dir).groupBy("s1_uid").agg(F.count("*").cast("double").alias("n"))
+    return context.density_match(n, {"n": 10.0}).select("s1_uid", F.round("n", 6).alias("n"))
+
+
+@query(f"""with {EDGES}, r as (select *, row_number() over (partition by rec_uid order by p desc, s1_uid) as rr from edges), k as (select *, row_number() over (partition by s1_uid order by p desc, rec_uid) as sr from r where p >= 0.7 or (rr <= 2 and p >= 0.3))
+select s1_uid, rec_uid, p from k where sr <= 3""")
+def prerank_select(spark, sf_dir):
+    return context.keep_rule(edges(spark, sf_dir), "p", 0.7, 0.3, 2, 3).select("s1_uid", "rec_uid", "p")
+
+
+_FLOORS = [0.1, 0.3, 0.5, 0.7, 0.9]
+
+
+@query(f"""with {EDGES}, {ENTITIES}, f as (select unnest({_FLOORS}::double[]) as floor), hit as (select floor, s1_uid, count(*) as tp from edges, f where label = 1 and floor <= p group by 1, 2),
+s as (select floor, e.s1_uid, n_true, coalesce(tp, 0) as tp from f cross join entities e left join hit using (floor, s1_uid))
+select floor, (select count(*) from edges where p >= floor) as pairs, round(avg(case when n_true = 0 and tp = 0 then 1.0 when tp = 0 then 0.0 else 1.25 * tp / (tp + 0.25 * n_true) end), 9) as ceiling from s group by floor""")
+def floor_tuning(spark, sf_dir):
+    return context.floor_tuning(edges(spark, sf_dir), entities(spark, sf_dir), "p", "label", _FLOORS).withColumn("ceiling", F.round("ceiling", 9))
+
+
+@query(f"with {EDGES}, r as (select *, row_number() over (partition by rec_uid order by p desc, s1_uid) = 1 as owner from edges) select s1_uid, rec_uid, owner, case when owner then p else 0.0 end as q_own from r")
+def one_owner(spark, sf_dir):
+    return context.one_owner(edges(spark, sf_dir), "p").select("s1_uid", "rec_uid", "owner", "q_own")
+
+
+@query(f"with {EDGES} select s1_uid, rec_uid, p from (select *, row_number() over (partition by s1_uid order by p desc, rec_uid) as n from edges) where (p > 0.45 and p < 0.55) or n <= 2")
+def uncertainty_band(spark, sf_dir):
+    return context.uncertain(edges(spark, sf_dir), "p", 0.45, 0.55).select("s1_uid", "rec_uid", "p")
+
+
+_HASH = "('0x' || substr(md5(concat_ws('|', '{seed}', {cols})), 1, 8))::bigint"
+
+
+@query(f"""with {EDGES}, b as (select s1_uid, rec_uid, floor(p * 6)::int as bucket, {_HASH.format(seed=3, cols="s1_uid, rec_uid")} as h from edges where label = 0)
+select s1_uid, rec_uid, bucket from (select *, row_number() over (partition by bucket order by h, s1_uid, rec_uid) as n from b) where n <= 50""")
+def stratified_negatives(spark, sf_dir):
+    return context.stratified(edges(spark, sf_dir).where("label = 0"), F.floor(F.col("p") * 6).cast("int"), 50, seed=3).select("s1_uid", "rec_uid", "bucket")
+
+
+@query(f"select o_orderkey as s1_uid, ({_HASH.format(seed=0, cols='o_orderkey')} % 4)::int as fold from orders")
+def fold_assignment(spark, sf_dir):
+    return context.folds(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("s1_uid")), 4, key="s1_uid")
+
+
+@query(f"with {EDGES} select s1_uid, rec_uid from edges where {_HASH.format(seed=9, cols='s1_uid')} < {int(0.25 * (1 << 32))}")
+def entity_hash_sample(spark, sf_dir):
+    return context.hash_sample(edges(spark, sf_dir), ["s1_uid"], 0.25, 9).select("s1_uid", "rec_uid")
+
+
+@query(f"""with {EDGES}, c as (select greatest(1e-9, least(p, 1 - 1e-9)) as c, * from edges) select s1_uid, rec_uid, case when p > 0 then round(1 / (1 + exp(-(ln(c / (1 - c)) - 0.5))), 9) else 0.0 end as q from c""")
+def logit_shift(spark, sf_dir):
+    return edges(spark, sf_dir).select("s1_uid", "rec_uid", F.round(decide.logit_shift(F.col("p"), 0.5), 9).alias("q"))
+
+
+# ---------------------------------------------------------------- collective features
+
+_MEM = f"{EDGES}, {RECORDS}, m as (select *, p >= 0.6 and row_number() over (partition by s1_uid order by p desc, rec_uid) <= 3 as mem from edges)"
+_LEV = "case when greatest(length({a}), length({b})) = 0 then 1.0 else 1 - levenshtein({a}, {b})::double / greatest(length({a}), length({b})) end"
+
+
+@query(f"""with {_MEM}, mv as (select s1_uid, num_hit, num, pin from m join records on uid = rec_uid where mem),
+cnt as (select s1_uid, count(*) as n, sum(num_hit) as hits from mv group by 1),
+nums_ as (select s1_uid, arg_min(num, (-c, num)) as maj_num from (select s1_uid, num, count(*) as c from mv where num <> '' group by 1, 2) group by 1),
+pins as (select s1_uid, arg_min(pin, (-c, pin)) as maj_pin from (select s1_uid, pin, count(*) as c from mv where pin <> '' group by 1, 2) group by 1),
+base as (select m.*, (p >= 0.6)::int as own, coalesce(n, 0) as n, coalesce(hits, 0) as hits, maj_num, maj_pin, nums, pin from m left join cnt using (s1_uid) left join nums_ using (s1_uid) left join pins using (s1_uid) left join records on uid = rec_uid),
+sim as (select a.s1_uid, a.rec_uid, {_LEV.format(a="x.name", b="y.name")} as ns, {_LEV.format(a="x.addr", b="y.addr")} as ad from m a join m b on a.s1_uid = b.s1_uid and b.mem and a.rec_uid <> b.rec_uid join records x on x.uid = a.rec_uid join records y on y.uid = b.rec_uid),
+sims as (select s1_uid, rec_uid, max(ns) as nm, avg(ns) as na, max(ad) as am, avg(ad) as aa from sim group by 1, 2)
+select s1_uid, rec_uid, own as cons_is_member, n - own as cons_n, case when n - own > 0 then round((hits - own * num_hit)::double / (n - own), 6) end as cons_numhit_rate,
+  case when maj_num is not null and len(nums) > 0 then list_contains(nums, maj_num)::int end as cons_num_agree, case when maj_pin is not null and pin <> '' then (pin = maj_pin)::int end as cons_pin_agree,
+  round(nm, 6) as cons_name_max, round(na, 6) as cons_name_mean, round(am, 6) as cons_addr_max, round(aa, 6) as cons_addr_mean from base left join sims using (s1_uid, rec_uid)""")
+def consensus_features(spark, sf_dir):
+    out = collective.consensus(edges(spark, sf_dir), records(spark, sf_dir), similarity.levenshtein_sim, score="p", sure=0.6, top=3)
+    return out.withColumns({c: F.round(c, 6) for c in ("cons_numhit_rate", "cons_name_max", "cons_name_mean", "cons_addr_max", "cons_addr_mean")})
+
+
+@query(f"""with {_MEM}, c as (select s1_uid, count(*) as n, count(*) filter (src = 2) as n2, count(*) filter (src = 3) as n3 from m where mem group by 1),
+r as (select *, row_number() over (partition by rec_uid order by p desc, s1_uid) as pos, max(p) over (partition by rec_uid) as pmax from m),
+t as (select rec_uid, max(s1_uid) filter (pos = 1) as t1, max(s1_uid) filter (pos = 2) as t2, count(*) filter (p >= pmax - 0.1) as cm_n_close from r group by 1),
+d as (select r.*, case when r.s1_uid = t1 then t2 else t1 end as comp, cm_n_close from r join t using (rec_uid)),
+e as (select d.*, coalesce(a.n, 0) as n, case when d.src = 2 then coalesce(a.n2, 0) else coalesce(a.n3, 0) end as ns, coalesce(b.n, 0) as cn, case when d.src = 2 then coalesce(b.n2, 0) else coalesce(b.n3, 0) end as cns, coalesce(x.mem, false)::int as cm, case when d.src = 2 then 5 else 6 end as cap
+  from d left join c a on a.s1_uid = d.s1_uid left join c b on b.s1_uid = d.comp left join m x on x.s1_uid = d.comp and x.rec_uid = d.rec_uid)
+select s1_uid, rec_uid, ns - mem::int as cm_own_src_n, cap - (ns - mem::int) as cm_own_cap_left, (n - mem::int = 0)::int as cm_own_empty, (comp is not null)::int as cm_comp_has, case when comp is not null then cn - cm end as cm_comp_n,
+  case when comp is not null then cns - cm end as cm_comp_src_n, case when comp is not null then cap - (cns - cm) end as cm_comp_cap_left, case when comp is not null then (cn - cm = 0)::int end as cm_comp_empty, cm_n_close, case when comp is not null then (n - mem::int) - (cn - cm) end as cm_n_diff from e""")
+def competition_features(spark, sf_dir):
+    return collective.competition(edges(spark, sf_dir), score="p", sure=0.6, top=3)
+
+
+@query(f"""with {EDGES}, r as (select *, row_number() over (partition by rec_uid order by p desc, s1_uid) as rr, max(p) over (partition by rec_uid) as mp from edges),
+c as (select *, case when rr = 1 then p else 0.0 end as q, case when rr = 1 then coalesce(max(case when rr > 1 then p end) over (partition by rec_uid), 0) else mp end as comp from r),
+o as (select *, row_number() over (partition by s1_uid order by q desc, rec_uid) as n from c)
+select s1_uid, round(sum(q), 6) as g_sum, count(*) filter (q >= 0.3) as g_n03, count(*) filter (q >= 0.5) as g_n05, count(*) filter (q >= 0.8) as g_n08, count(*) filter (q > 0) as g_n_owned, count(*) as g_ncand, max(num_hit) as g_best_numhit,
+  coalesce(max(q) filter (n = 1), 0) as g_top1, coalesce(max(q) filter (n = 2), 0) as g_top2, coalesce(max(q) filter (n = 3), 0) as g_top3, max(comp) filter (n = 1) as g_top1_comp, round(coalesce(max(q) filter (n = 1), 0) - coalesce(max(q) filter (n = 2), 0), 9) as g_gap12 from o group by 1""")
+def gate_profile(spark, sf_dir):
+    out = collective.gate_profile(edges(spark, sf_dir), score="p", extra={"g_best_numhit": "num_hit"})
+    return out.withColumn("g_sum", F.round("g_sum", 6)).withColumn("g_gap12", F.round("g_gap12", 9))
+
+
+# ---------------------------------------------------------------- decisions
+
+_T_ADD = ", ".join(repr(decide.addition_threshold(k)) for k in range(1, 12))
+
+
+def _arrays(spark, sf_dir):
+    gates = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("s1_uid"), F.col("o_orderpriority").alias("prof"), (0.5 + (F.col("o_orderkey") % 50) / 100).alias("g"))
+    return decide.member_arrays(context.one_owner(edges(spark, sf_dir), "p"), gates)
+
+
+@query(f"""with recursive {EDGES}, o as (select *, row_number() over (partition by rec_uid order by p desc, s1_uid) as rr from edges),
+l as (select s1_uid, rec_uid, p as q, src, row_number() over (partition by s1_uid order by p desc, rec_uid) as n from o where rr = 1 and p > 0),
+ent as (select o_orderkey as s1_uid, 0.5 + (o_orderkey % 50) / 100.0::double as g from orders),
+step(s1_uid, g, n, k, n2, n3, live, ids) as (select s1_uid, g, 0::bigint, 0, 0, 0, true, []::bigint[] from ent
+ union all select s1_uid, g, n, k + take::int, n2 + (take and src = 2)::int, n3 + (take and src = 3)::int, above, case when take then list_append(ids, rec_uid) else ids end
+ from (select *, above and not ((src = 2 and n2 >= 1) or (src = 3 and n3 >= 2)) as take from (
+   select s.s1_uid, g, l.n, k, n2, n3, ids, l.src, l.rec_uid, live and case when l.n = 1 then l.q * 0.9 > 1 - g and l.q >= 0.4 else l.q >= ([{_T_ADD}])[least(greatest(k, 1), 11)] end as above
+   from step s join l on l.s1_uid = s.s1_uid and l.n = s.n + 1 where l.n <= 11)))
+select s1_uid, array_to_string(arg_max(ids, n), ',') as picked from step group by 1""")
+def select_heuristic(spark, sf_dir):
+    return decide.select_heuristic(_arrays(spark, sf_dir), caps={2: 1, 3: 2}).select("s1_uid", F.array_join("picked", ",").alias("picked"))
+
+
+@query()
+def select_expected(spark, sf_dir):
+    return decide.select_expected(_arrays(spark, sf_dir)).select("s1_uid", F.array_join("picked", ",").alias("picked"), F.round("expected", 9).alias("expected"))
+
+
+@query()
+def threshold_grid(spark, sf_dir):
+    return decide.grid_search(_arrays(spark, sf_dir), truth(spark, sf_dir), entities(spark, sf_dir), {"kappa": [0.8, 0.9], "t_min": [0.3, 0.5], "delta": [0.0, 0.1]})
+
+
+# ---------------------------------------------------------------- metrics
+
+_F = "case when n_pred = 0 and n_true = 0 then 1.0 when tp = 0 then 0.0 else 1.25 * tp / (n_pred + 0.25 * n_true) end"
+_SCORES = f"""{EDGES}, {ENTITIES}, {PREDICTED}, np as (select s1_uid, count(*) as n_pred from pred group by 1), tps as (select s1_uid, count(*) as tp from pred join truth using (s1_uid, rec_uid) group by 1),
+s0 as (select e.*, coalesce(n_pred, 0) as n_pred, coalesce(tp, 0) as tp from entities e left join np using (s1_uid) left join tps using (s1_uid)), scores as (select *, {_F} as f05 from s0)"""
+
+
+def _scores(spark, sf_dir):
+    return metrics.entity_scores(entities(spark, sf_dir), predicted(spark, sf_dir), truth(spark, sf_dir))
+
+
+@query(f"with {_SCORES} select s1_uid, prof, n_true, n_pred, tp, round(f05, 9) as f05 from scores")
+def entity_f05(spark, sf_dir):
+    return _scores(spark, sf_dir).withColumn("f05", F.round("f05", 9))
+
+
+@query(f"with {_SCORES} select round(avg(f05), 9) as macro_f05, count(*) as entities from scores")
+def macro_f05(spark, sf_dir):
+    return metrics.macro_f05(_scores(spark, sf_dir)).withColumn("macro_f05", F.round("macro_f05", 9))
+
+
+@query(f"""with {_SCORES}, x as (select unnest(['all', 'prof', 'kind', 'size']) as slice, unnest(['', prof, case when n_true = 0 then 'singleton' else 'other' end, least(n_true, 7)::varchar]) as value, * from scores)
+select slice, value, count(*) as entities, round(avg(f05), 9) as macro_f05, round(sum(tp)::double / nullif(sum(n_pred), 0), 9) as precision, round(sum(tp)::double / nullif(sum(n_true), 0), 9) as recall from x group by 1, 2""")
+def f05_report(spark, sf_dir):
+    return metrics.report(_scores(spark, sf_dir)).withColumns({c: F.round(c, 9) for c in ("macro_f05", "precision", "recall")})
+
+
+@query(f"""with {EDGES}, {ENTITIES}, c as (select s1_uid, rec_uid from edges where p >= 0.3), h as (select s1_uid, count(*) as tp from c join truth using (s1_uid, rec_uid) group by 1), s as (select n_true, coalesce(tp, 0) as tp, coalesce(tp, 0) as n_pred from entities left join h using (s1_uid))
+select round(avg({_F}), 9) as macro_f05, count(*) as entities from s""")
+def candidate_ceiling(spark, sf_dir):
+    c = edges(spark, sf_dir).where("p >= 0.3").select("s1_uid", "rec_uid")
+    return metrics.macro_f05(metrics.ceiling(entities(spark, sf_dir), c, truth(spark, sf_dir))).withColumn("macro_f05", F.round("macro_f05", 9))
+
+
+_OWN = "own as (select s1_uid, rec_uid, p as q, row_number() over (partition by rec_uid order by p desc, s1_uid) = 1 as owner from edges where p >= 0.3)"
+
+
+@query(f"""with {EDGES}, {ENTITIES}, {PREDICTED}, {_OWN}, fn as (select * from truth anti join pred using (s1_uid, rec_uid))
+select s1_uid, rec_uid, q, case when q is null then 'not a candidate' when not owner then 'record owned by another entity' when s1_uid not in (select s1_uid from pred) then 'entity predicted empty' else 'candidate, below threshold' end as cause from fn left join own using (s1_uid, rec_uid)""")
+def error_fn_causes(spark, sf_dir):
+    e = edges(spark, sf_dir)
+    scored = context.one_owner(e.where("p >= 0.3"), "p").select("s1_uid", "rec_uid", F.col("p").alias("q"), "owner")
+    return metrics.missed_causes(entities(spark, sf_dir), scored, predicted(spark, sf_dir), truth(spark, sf_dir))
+
+
+@query(f"""with {EDGES}, {ENTITIES}, {PREDICTED}, fp as (select * from pred anti join truth using (s1_uid, rec_uid))
+select cause, count(*) as pairs, round(count(*)::double / (select count(*) from pred), 9) as share from (select case when n_true = 0 then 'entity is a singleton' when rec_uid in (select rec_uid from truth) then 'record belongs to another entity' else 'record has no owner' end as cause from fp join entities using (s1_uid)) group by 1""")
+def error_fp_causes(spark, sf_dir):
+    pred = predicted(spark, sf_dir)
+    return metrics.cause_shares(metrics.wrong_causes(entities(spark, sf_dir), pred, truth(spark, sf_dir)), pred.count()).withColumn("share", F.round("share", 9))
+
+
+@query(f"""with {_SCORES} select least(n_true, 7) as n_true, case when f05 >= 1 then 'correct' when n_true = 0 then 'singleton given matches' when n_pred = 0 then 'has matches, predicted empty' when tp = 0 then 'only wrong records'
+  when n_pred > tp and tp < n_true then 'missed and wrong' when n_pred > tp then 'all found, wrong extra' else 'some missed, none wrong' end as pattern, count(*) as entities, round(count(*)::double / (select count(*) from scores), 9) as share, round(sum(1 - f05) / (select count(*) from scores), 9) as macro_loss from scores group by 1, 2""")
+def loss_patterns(spark, sf_dir):
+    return metrics.loss_table(_scores(spark, sf_dir), by_size=True).withColumns({c: F.round(c, 9) for c in ("share", "macro_loss")})
+
+
+@query("""with v as (select event_type as g, greatest(0, ceil(least(value / 100, 1.5) * 200))::int as cell from events where event_type in ('click', 'purchase')), h as (select cell, count(*) filter (g = 'click') as a, count(*) filter (g = 'purchase') as b from v group by 1),
+c as (select cell, sum(a) over (order by cell)::double / sum(a) over () as ca, sum(b) over (order by cell)::double / sum(b) over () as cb from h) select round(max(abs(ca - cb)), 9) as ks from c where cell <= 200""")
+def ks_distance(spark, sf_dir):
+    v = table(spark, sf_dir, "events").select("event_type", F.least(F.col("value") / 100, F.lit(1.5)).alias("v"))
+    return metrics.ks_distance(v, "event_type", "v", "click", "purchase").select(F.round("ks", 9).alias("ks"))
+
+
+@query(f"""with {EDGES}, x as (select case when s1_uid % 2 = 0 then 'train' else 'test' end as split, o_orderpriority as prof, s1_uid, p as q from edges join orders on o_orderkey = s1_uid), t as (select split, prof, s1_uid, max(q) as top, count(*) as n, count(*) filter (q between 0.3 and 0.9) as mid from x group by 1, 2, 3)
+select split, prof, count(*) as entities, round(avg(n), 9) as cands_per_entity, round(sum(mid)::double / sum(n), 9) as q_mid, round(quantile_cont(top, 0.1), 9) as top_p10, round(quantile_cont(top, 0.5), 9) as top_p50, round(avg((top > 0.2 and top < 0.8)::int), 9) as top_uncertain from t group by 1, 2""")
+def drift_table(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("s1_uid"), F.col("o_orderpriority").alias("prof"))
+    x = edges(spark, sf_dir).join(o, "s1_uid").select(F.when(F.col("s1_uid") % 2 == 0, "train").otherwise("test").alias("split"), "prof", "s1_uid", F.col("p").alias("q"))
+    return metrics.drift(x).withColumns({c: F.round(c, 9) for c in ("cands_per_entity", "q_mid", "top_p10", "top_p50", "top_uncertain")})
+
+
+@query(f"""with {EDGES}, d as (select o_orderkey as s1_uid from orders where {_HASH.format(seed=5, cols='o_orderkey')} < {int(0.19 * (1 << 32))}), b as (select rec_uid, max(p) as best from edges where s1_uid not in (select s1_uid from d) group by 1)
+select p_partkey as rec_uid, coalesce(best, 0.0) as best from part left join b on rec_uid = p_partkey""")
+def stress_best_per_record(spark, sf_dir):
+    dropped = context.hash_sample(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("s1_uid")), ["s1_uid"], 0.19, 5)
+    return metrics.best_per_record(edges(spark, sf_dir), table(spark, sf_dir, "part").select(F.col("p_partkey").alias("rec_uid")), "p", dropped)
+
+
+@query(r"""with r as (select 1 as src, lang as country, source as name_raw, text as addr_raw from documents union all select 2, 'web', url, html from pages)
+select src, country, count(*) as n, avg(regexp_matches(name_raw, '[\x{0900}-\x{0DFF}]')::int)::double as indic_name, round(avg(regexp_matches(lower(name_raw), '(\.com|www\.|\.in\b|\.fr\b|\.net|\.org)')::int), 9) as domain_name,
+  round(avg((trim(addr_raw) = '')::int), 9) as empty_addr, round(avg(regexp_matches(lower(addr_raw), '\b(null|n/a|none)\b')::int), 9) as null_token_addr from r group by 1, 2""")
+def eda_profile(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.lit(1).alias("src"), F.col("lang").alias("country"), F.col("source").alias("name_raw"), F.col("text").alias("addr_raw"))
+    p = table(spark, sf_dir, "pages").select(F.lit(2).alias("src"), F.lit("web").alias("country"), F.col("url").alias("name_raw"), F.col("html").alias("addr_raw"))
+    return metrics.profile(d.unionByName(p)).withColumns({c: F.round(c, 9) for c in ("domain_name", "empty_addr", "null_token_addr")})
+
+
+@query(f"""with {EDGES}, {ENTITIES}, o as (select rec_uid, count(*) as n from truth group by 1), t as (select s1_uid, count(*) filter (src = 2) as n2, count(*) filter (src = 3) as n3 from edges where label = 1 group by 1)
+select (select max(n) from o) as max_owners, (select max(n2) from t) as max_src2, (select max(n3) from t) as max_src3, 0::bigint as cross_country, (select round(avg((n_true = 0)::int), 9) from entities) as singleton_rate, (select count(*) from (select distinct rec_uid, src from edges)) - (select count(*) from o) as unmatched""")
+def integrity_facts(spark, sf_dir):
+    e = edges(spark, sf_dir)
+    rec = e.select("rec_uid", "src", F.lit("x").alias("country")).distinct()
+    # a part may come from suppliers of both parities: its pairs count under their own source
+    t = e.where("label = 1").select("s1_uid", "rec_uid", "src")
+    per = t.groupBy("s1_uid").agg(F.count_if(F.col("src") == 2).alias("n2"), F.count_if(F.col("src") == 3).alias("n3")).agg(F.max("n2").alias("max_src2"), F.max("n3").alias("max_src3"))
+    own = t.groupBy("rec_uid").agg(F.count("*").alias("n")).agg(F.max("n").alias("max_owners"), F.count("*").alias("matched"))
+    single = entities(spark, sf_dir).agg(F.round(F.avg((F.col("n_true") == 0).cast("double")), 9).alias("singleton_rate"))
+    # one row each
+    out = own.crossJoin(per).crossJoin(single).crossJoin(rec.agg(F.count("*").alias("records")))
+    return out.select("max_owners", "max_src2", "max_src3", F.lit(0).cast("long").alias("cross_country"), "singleton_rate", (F.col("records") - F.col("matched")).alias("unmatched"))
+
+
+# ---------------------------------------------------------------- similarities and text
+
+_NAMES = "select distinct a.p_name || ' ' || a.p_type as a, b.p_name || ' ' || b.p_type as b from part a join part b on a.p_brand = b.p_brand and a.p_size = b.p_size and a.p_partkey < b.p_partkey"
+
+
+def _name_pairs(spark, sf_dir):
+    """Distinct pairs of names of parts of one brand and size."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", F.concat_ws(" ", "p_name", "p_type").alias("a"))
+    q = p.withColumnsRenamed({"p_partkey": "k", "a": "b"})
+    return p.join(q, ["p_brand", "p_size"]).where("p_partkey < k").select("a", "b").distinct()
+
+
+@query(f"select a, b, round(1 - levenshtein(a, b)::double / greatest(length(a), length(b)), 9) as sim from ({_NAMES})")
+def levenshtein_sim(spark, sf_dir):
+    return _name_pairs(spark, sf_dir).withColumn("sim", F.round(similarity.levenshtein_sim("a", "b"), 9))
+
+
+@query(f"select a, b, round(jaro_winkler_similarity(a, b), 9) as sim from ({_NAMES})")
+def jaro_winkler_sim(spark, sf_dir):
+    return _name_pairs(spark, sf_dir).withColumn("sim", F.round(similarity.jaro_winkler_sim("a", "b"), 9))
+
+
+@query()
+def fuzzy_ratios(spark, sf_dir):
+    p = _name_pairs(spark, sf_dir)
+    return p.withColumns({n: F.round(f("a", "b"), 9) for n, f in (("ratio", similarity.ratio), ("tsort", similarity.token_sort_ratio), ("tset", similarity.token_set_ratio), ("partial", similarity.partial_ratio))})
+
+
+@query(f"""with p as ({_NAMES}), v as (select distinct a as t from p union select b from p), tk as (select t, unnest(string_split(t, ' ')) as k from v), df as (select k, ln((1 + (select count(*) from v))::double / (1 + count(distinct t))) + 1 as w from tk group by 1),
+x as (select a, b, k, list_contains(string_split(a, ' '), k) and list_contains(string_split(b, ' '), k) as both_ from (select distinct a, b, unnest(list_concat(string_split(a, ' '), string_split(b, ' '))) as k from p))
+select a, b, round(coalesce(sum(w) filter (both_), 0) / sum(w), 6) as sim from x join df using (k) group by 1, 2""")
+def token_idf_jaccard(spark, sf_dir):
+    p = _name_pairs(spark, sf_dir)
+    v = p.select(F.col("a").alias("t")).union(p.select("b")).distinct()
+    df = blocking.document_frequency(v.select(F.col("t").alias("uid"), F.explode(F.split("t", " ")).alias("tok")))
+    w = df.crossJoin(F.broadcast(v.agg(F.count("*").alias("n")))).select("tok", blocking.smooth_idf(F.col("df"), F.col("n")).alias("w"))  # one row
+    idf = w.agg(F.map_from_entries(F.collect_list(F.struct("tok", "w"))).alias("idf"))  # the words of part names: a fixed vocabulary
+    sim = similarity.weighted_jaccard(F.array_distinct(F.split("a", " ")), F.array_distinct(F.split("b", " ")), F.col("idf"))
+    return p.crossJoin(F.broadcast(idf)).select("a", "b", F.round(sim, 6).alias("sim"))
+
+
+@query("select doc_id, lower(strip_accents(replace(text, 'ß', 'ss'))) as clean from documents")
+def text_clean(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.clean_text("text").alias("clean"))
+
+
+@query(r"select doc_id, array_to_string(list_filter(regexp_split_to_array(lower(strip_accents(replace(text, 'ß', 'ss'))), '[^a-z0-9]+'), lambda x: x <> ''), ' ') as tokens from documents")
+def tokenize(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.token_array("text"), " ").alias("tokens"))
+
+
+def _skeleton_sql(c: str) -> str:
+    t = c
+    for a, b in text.DIGRAPHS:
+        t = f"replace({t}, '{a}', '{b}')"
+    t = f"translate({t}, '{text.CLASSES[0]}', '{text.CLASSES[1]}')"
+    cut = f"(substr({t}, 1, 1) || translate(substr({t}, 2), '{text.SILENT}', ''))"
+    for ch in "abcdefghijklmnopqrstuvwxyz0123456789":
+        cut = f"regexp_replace({cut}, '{ch}+', '{ch}', 'g')"
+    return f"case when {c} = '' or regexp_matches({c}, '^[0-9]+$') then {c} else {cut} end"
+
+
+@query(f"with w as (select distinct unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) as word from documents) select word, {_skeleton_sql('word')} as skeleton from w where word <> ''")
+def skeleton_keys(spark, sf_dir):
+    w = table(spark, sf_dir, "documents").select(F.explode(F.split(F.lower("text"), "[^a-z0-9]+")).alias("word")).where("word <> ''").distinct()
+    return w.select("word", text.skeleton_column(F.col("word")).alias("skeleton"))
+
+
+@query(r"""with h as (select distinct regexp_extract(lower(url), '^https?://([^/:?#]+)', 1) as host from pages) select host, nullif(regexp_replace(regexp_extract(host, '^(?:https?://)?(?:www\.)?([a-z0-9][a-z0-9\-]*(?:\.[a-z0-9\-]+)*?)\.(?:co\.in|com|in|net|org|fr|biz|info|io|co|us|uk)/?$', 1), '[^0-9a-z]', '', 'g'), '') as body from h""")
+def domain_body(spark, sf_dir):
+    h = table(spark, sf_dir, "pages").select(F.regexp_extract(F.lower("url"), "^https?://([^/:?#]+)", 1).alias("host")).distinct()
+    return h.select("host", text.domain_body_column(F.col("host")).alias("body"))
+
+
+@query("""select distinct p_size as a, p_size * 7 % 50 as b, (list_contains([(p_size * 7 % 50)::varchar, (p_size % 3)::varchar], p_size::varchar))::int as no_hit,
+  round(len(list_intersect([p_size::varchar, (p_size % 5)::varchar], [(p_size * 7 % 50)::varchar, (p_size % 3)::varchar]))::double / len(list_distinct([p_size::varchar, (p_size % 5)::varchar, (p_size * 7 % 50)::varchar, (p_size % 3)::varchar])), 6) as no_jacc,
+  (list_sort(list_distinct([p_size::varchar, (p_size % 5)::varchar])) = list_sort(list_distinct([(p_size * 7 % 50)::varchar, (p_size % 3)::varchar])))::int as no_eq,
+  round(len(list_intersect([p_size::varchar, (p_size % 5)::varchar], [(p_size * 7 % 50)::varchar, (p_size % 3)::varchar]))::double / len(list_distinct([p_size::varchar, (p_size % 5)::varchar])), 6) as no_cov from part""")
+def number_match(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select(F.col("p_size").alias("a"), (F.col("p_size") * 7 % 50).alias("b")).distinct()
+    s = lambda *c: F.array(*[x.cast("string") for x in c])
+    out = compare.number_match(s(F.col("a"), F.col("a") % 5), s(F.col("b"), F.col("a") % 3), F.col("a").cast("string"))
+    return p.withColumns(out).withColumn("no_jacc", F.round("no_jacc", 6)).withColumn("no_cov", F.round("no_cov", 6))
+
+
+_FORMS = ["", "ltd", "inc", "llc", "pvt_ltd", "inc+ltd", "sas"]
+
+
+@query(f"""with f as (select unnest({_FORMS}) as s), fam as (select * from (values ('ltd', 'ltd'), ('inc', 'inc'), ('llc', 'llc'), ('pvt_ltd', 'ltd'), ('sas', 'sas')) t(k, v)),
+p as (select a.s as a, b.s as b from f a, f b), e as (select a, b, list_filter(string_split(a, '+'), lambda x: x <> '') as x, list_filter(string_split(b, '+'), lambda x: x <> '') as y from p),
+g as (select e.*, exists (select 1 from (select unnest(x) as k) q join fam using (k) where v in (select v from (select unnest(y) as k) r join fam using (k))) as rel from e),
+s as (select *, len(x) > 0 and list_sort(x) = list_sort(y) as same from g)
+select a, b, (len(x) = 0 and len(y) = 0)::int as lg_none, same::int as lg_same, (len(x) > 0 and len(y) > 0 and not same and rel)::int as lg_family, (len(x) > 0 and len(y) = 0)::int as lg_s_only, (len(y) > 0 and len(x) = 0)::int as lg_r_only, (len(x) > 0 and len(y) > 0 and not rel)::int as lg_diff from s""")
+def legal_flags(spark, sf_dir):
+    f = spark.createDataFrame([(x, y) for x in _FORMS for y in _FORMS], "a string, b string")
+    return f.withColumns(compare.legal_match(F.col("a"), F.col("b")))
+
+
+@query()
+def diff_signature(spark, sf_dir):
+    w = compare.Weights({}, 1.0, 2.0)
+    udf = F.udf(lambda a, b: compare.diff_signature(a.lower().split(), b.lower().split(), w), "array<double>")
+    return _name_pairs(spark, sf_dir).withColumn("d", udf("a", "b")).select("a", "b", *[F.get("d", F.lit(i)).alias(n) for i, n in enumerate([*compare.EDITS, "miss_idf", "extra_idf"])])
+
+
+# ---------------------------------------------------------------- mining and classes
+
+
+def _line_norm(spark, sf_dir):
+    """Lines of documents as components; even documents are references."""
+    d = table(spark, sf_dir, "documents")
+    comps = F.filter(F.split("text", "\n"), lambda x: x != "")
+    return d.select(F.col("doc_id").alias("uid"), F.col("lang").alias("country"), F.when(F.col("doc_id") % 2 == 0, 1).otherwise(2).alias("src"), comps.alias("addr_comps"))
+
+
+_ADMIN = """norm as (select doc_id as uid, lang as country, case when doc_id % 2 = 0 then 1 else 2 end as src, list_filter(string_split(text, chr(10)), lambda x: x <> '') as c from documents),
+n as (select country, count(*) filter (src = 1) as n1, count(*) filter (src <> 1) as n2 from norm group by 1),
+la as (select country, c[-1] as comp, count(*) as k from norm where src = 1 and len(c) > 0 group by 1, 2), has as (select country, comp, count(*) filter (src = 1) as k1, count(*) filter (src <> 1) as k2 from (select distinct uid, country, src, unnest(c) as comp from norm) group by 1, 2),
+vocab as (select country, comp from la join n using (country) where n1 > 0 and n2 > 0 and k >= 0.02 * n1 union select country, comp from has join n using (country) where n1 > 0 and n2 > 0 and k2 > 0 and k2 >= 0.005 * n2 and not regexp_matches(comp, '[0-9]') and k1::double / n1 < 0.5 * k2 / n2)"""
+
+
+@query(f"with {_ADMIN} select country, comp from vocab")
+def admin_vocab(spark, sf_dir):
+    return mining.admin_vocabulary(_line_norm(spark, sf_dir), max_ratio=0.5)
+
+
+@query(f"""with {_ADMIN}, v as (select country, list(comp) as v from vocab group by 1), x as (select uid, case when v is null then c else list_filter(c, lambda y: not list_contains(v, y)) end as c from norm left join v using (country))
+select uid, array_to_string(c, ', ') as addr_latin, len(c) = 0 as addr_missing from x""")
+def strip_components(spark, sf_dir):
+    norm = _line_norm(spark, sf_dir)
+    return mining.strip_components(norm, mining.admin_vocabulary(norm, max_ratio=0.5)).select("uid", "addr_latin", "addr_missing")
+
+
+_DOM = "select {k} src, dst, support, round(share, 9) as share from (select *, support::double / sum(support) over (partition by {k} src) as share, row_number() over (partition by {k} src order by support desc, dst) as n from (select {k} src, dst, count(distinct s1_uid) as support from obs group by all)) where n = 1 and support >= 20 and share >= 0.4"
+
+
+@query("with obs as (select l_returnflag as src, l_linestatus as dst, l_orderkey as s1_uid from lineitem) " + _DOM.format(k=""))
+def mine_mappings(spark, sf_dir):
+    obs = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("src"), F.col("l_linestatus").alias("dst"), F.col("l_orderkey").alias("s1_uid"))
+    return mining.dominant(obs, keys=[], min_share=0.4).withColumn("share", F.round("share", 9))
+
+
+@query("select l_linestatus as prof, l_returnflag as tok, count(*) filter (l_discount > 0.04) as n, round(count(*) filter (l_discount > 0.04)::double / count(*), 9) as share from lineitem group by 1, 2 having n >= 20 and share >= 0.3")
+def mine_affixes(spark, sf_dir):
+    extra = table(spark, sf_dir, "lineitem").select(F.col("l_linestatus").alias("prof"), F.col("l_returnflag").alias("tok"), (F.col("l_discount") > 0.04).alias("is_extra"))
+    return mining.affixes(extra, keys=["prof"]).withColumn("share", F.round("share", 9))
+
+
+@query()
+def mine_tables(spark, sf_dir):
+    """All three passes over pairs of suppliers' and customers' names and nations written in short and long forms."""
+    c = table(spark, sf_dir, "customer")
+    seg = F.lower("c_mktsegment")
+    pairs = c.select(
+        F.col("c_custkey").alias("s1_uid"), F.lit("generic").alias("prof"), F.concat_ws(" ", F.lit("acme"), seg, F.lit("manufactory")).alias("sn"), F.concat(F.lit("12 main boulevarde, "), seg, F.lit(" city")).alias("sa"),
+        F.concat_ws(" ", F.lit("acme"), seg, F.lit("mnfy")).alias("rn"), F.concat(F.lit("12 main blvrd, "), seg, F.lit(" town")).alias("ra"),
+    )
+    t = mining.mine(pairs)
+    rows = [("name_short", p, a, b) for p, m in t.name_short.items() for a, b in m.items()] + [("addr_short", p, a, b) for p, m in t.addr_short.items() for a, b in m.items()] + [("component", p, a, b) for p, m in t.components.items() for a, b in m.items()]
+    return spark.createDataFrame(rows, "kind string, prof string, src string, dst string")
+
+
+@query(f"""with recursive {EDGES}, e as (select s1_uid as u, 1000000000 + rec_uid as v from edges where p >= 0.99), b as (select u, v from e union select v, u from e), r(n, m) as (select u, u from b union select b.v, r.m from r join b on b.u = r.n where r.m < b.v)
+select n as node, min(m) as root from r group by 1""")
+def connected_components(spark, sf_dir):
+    e = edges(spark, sf_dir).where("p >= 0.99")
+    return graph.components(e.select(F.col("s1_uid").alias("u"), (F.lit(1_000_000_000) + F.col("rec_uid")).alias("v")))
+
+
+@query()
+def canonical_forms(spark, sf_dir):
+    e = table(spark, sf_dir, "part").select(F.col("p_name").alias("src"), F.concat_ws(" ", F.lit("x"), F.element_at(F.split("p_name", " "), 2)).alias("dst")).distinct()
+    return graph.canonical_groups(e)
+
+
+# ---------------------------------------------------------------- models
+
+
+def _labelled(spark, sf_dir):
+    d, y = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    x = d.join(y, "doc_id").select(
+        F.col("doc_id").alias("s1_uid"), F.col("quality").alias("label"), F.col("lang").alias("prof"), F.log1p("n_chars").alias("f_len"), (F.char_length(F.regexp_replace("text", "[^#*$%&|<>]", "")) / F.col("n_chars")).alias("f_sym"),
+        F.size(F.split("text", "\n")).alias("f_lines"), (F.size(F.array_distinct(F.split("text", " "))) / F.size(F.split("text", " "))).alias("f_distinct"),
+    )
+    return context.folds(x, 3, key="s1_uid")
+
+
+_FEATURES = ["f_len", "f_sym", "f_lines", "f_distinct"]
+
+
+@query()
+def oof_scores(spark, sf_dir):
+    x = _labelled(spark, sf_dir)
+    return models.fit_folds(x, _FEATURES, n_folds=3, trees=5, depth=3).score(x).select("s1_uid", "fold", "label", F.round("p", 9).alias("p"))
+
+
+@query()
+def isotonic_calibrated(spark, sf_dir):
+    x = _labelled(spark, sf_dir).withColumn("p", F.least(F.lit(1.0), 3 * F.col("f_sym")))
+    return models.fit_calibrator(x, "p", min_rows=50).apply(x, "p").select("s1_uid", "prof", "p", F.round("q", 9).alias("q"))
+
+
+@query(f"with {EDGES}, x as (select s1_uid, rec_uid, p as a, case when src = 2 then p / 2 end as b, case when num_hit = 1 then 'nan'::double else 1 - p end as c from edges) select s1_uid, rec_uid, round(list_avg(list_filter([a, b, c], lambda x: x is not null and not isnan(x))), 9) as q from x")
+def bag_mean(spark, sf_dir):
+    x = edges(spark, sf_dir).select("s1_uid", "rec_uid", F.col("p").alias("a"), F.when(F.col("src") == 2, F.col("p") / 2).alias("b"), F.when(F.col("num_hit") == 1, F.lit(float("nan"))).otherwise(1 - F.col("p")).alias("c"))
+    return models.bag_mean(x, ["a", "b", "c"], "q").select("s1_uid", "rec_uid", F.round("q", 9).alias("q"))
+
+
+@query(f"""with {EDGES}, g as (select round(p, 6) as s, sum(label) as p, count(*) as n from edges group by 1), c as (select *, n - p as neg, sum(p) over (order by s desc) as tp, sum(n) over (order by s desc) as al from g)
+select round(sum(neg * (tp - p + p / 2.0)) / (sum(p) * sum(neg)), 9) as auc, round(sum(p * tp::double / al) / sum(p), 9) as average_precision from c""")
+def auc_ap(spark, sf_dir):
+    return models.auc(edges(spark, sf_dir), "p").withColumns({c: F.round(c, 9) for c in ("auc", "average_precision")})
+
+
+# ---------------------------------------------------------------- sources and sinks
+
+
+@query(f"""with {EDGES} select o_orderkey as s1_uid, 'S1-' || o_orderkey as source1_entity_id, coalesce(ids, '') as ids from orders left join (select s1_uid, string_agg(rid, ',' order by p desc, rid) as ids from (select s1_uid, 'S' || (2 + rec_uid % 2) || '-' || rec_uid as rid, p from edges where p >= 0.5) group by 1) t on t.s1_uid = o_orderkey""")
+def id_list_sink(spark, sf_dir):
+    return _lists(spark, sf_dir)
+
+
+def _lists(spark, sf_dir):
+    from tessera.sources.tsv import id_lists
+
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("s1_uid"), F.concat(F.lit("S1-"), F.col("o_orderkey")).alias("eid"))
+    r = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("uid"), F.concat(F.lit("S"), 2 + F.col("p_partkey") % 2, F.lit("-"), F.col("p_partkey")).alias("eid"))
+    return id_lists(edges(spark, sf_dir).where("p >= 0.5"), o, r, "p")
+
+
+@query(f"""with {EDGES}, l as (select o_orderkey as k, coalesce(ids, []) as ids from orders left join (select s1_uid, list('S' || (2 + rec_uid % 2) || '-' || rec_uid) as ids from edges where p >= 0.5 group by 1) t on t.s1_uid = o_orderkey)
+select rule, count(*) as n from (select 'missing entity' as rule from l where k % 97 = 0 union all select 'unknown entity' from l where k % 89 = 0 and k % 97 <> 0 union all select 'foreign prefix' from l where k % 83 = 0 and k % 97 <> 0 union all select 'missing entity' from l where k % 89 = 0 and k % 97 <> 0
+ union all select 'reference id in a list' from l where k % 79 = 0 and k % 97 <> 0 union all select 'duplicate id in a list' from l where k % 73 = 0 and k % 97 <> 0 and len(ids) > 0) group by 1""")
+def validate_output(spark, sf_dir):
+    """Faults planted into the lists by the order's number, found again."""
+    x = _lists(spark, sf_dir).where("s1_uid % 97 <> 0")
+    k = F.col("s1_uid")
+    eid = F.when(k % 89 == 0, F.concat(F.lit("S1-x"), k)).otherwise(F.col("source1_entity_id"))
+    first = F.get(F.split("ids", ","), F.lit(0))
+    extra = F.array(F.when(F.col("ids") != "", F.col("ids")), F.when(k % 83 == 0, F.lit("S9-1")), F.when(k % 79 == 0, F.lit("S1-1")), F.when((k % 73 == 0) & (F.col("ids") != ""), first))
+    body = x.select((k + 2).alias("line"), F.concat_ws("\t", eid, F.array_join(F.array_compact(extra), ",")).alias("text")).select("line", F.when(F.contains("text", F.lit("\t")), F.col("text")).otherwise(F.concat("text", F.lit("\t"))).alias("text"))
+    head = lambda c: spark.createDataFrame([(1, f"source1_entity_id\t{c}")], "line long, text string")
+    ids = table(spark, sf_dir, "orders").select(F.concat(F.lit("S1-"), F.col("o_orderkey")).alias("id"))
+    rows = head("matched_entity_ids").unionByName(body)
+    cands = head("candidate_entity_ids").unionByName(body)
+    return checks.validate(rows, cands, ids).where("file = 'matches' and level = 'error'").select("rule", "n")
