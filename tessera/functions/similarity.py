@@ -65,8 +65,8 @@ def partial(a: str, b: str) -> float:
     n, best, chars = len(a), 0.0, set(a)
     for i in range(1 - n, len(b)):
         lo, hi = max(i, 0), min(i + n, len(b))
-        # a best window starts and ends on a character of a
-        if (hi < len(b) and b[hi - 1] not in chars) or (lo > 0 and b[lo] not in chars):
+        # a window that ends on a foreign character does no worse further left; one cut off at the end, no worse without its first
+        if b[hi - 1 if hi - lo == n or lo == 0 else lo] not in chars:
             continue
         if 2 * (hi - lo) / (n + hi - lo) > best:
             best = max(best, indel(a, b[lo:hi]))
