@@ -64,7 +64,7 @@ select doc_id, coalesce(n, 0)::bigint as n_shingles, min(r)::bigint as component
 from reach left join n using (doc_id) group by doc_id, n
 """
 
-_RULES = {"symbol_share": ("n_symbols::double / word_chars", 0.05), "dup_line_share": ("n_dup_lines::double / n_lines", 0.5), "repeat_share": ("n_repeat_words::double / n_words", 0.4), "mean_word": ("word_chars::double / n_words", 12.0)}
+_RULES = {"symbol_share": ("n_symbols::double / nullif(word_chars, 0)", 0.05), "dup_line_share": ("n_dup_lines::double / nullif(n_lines, 0)", 0.5), "repeat_share": ("n_repeat_words::double / nullif(n_words, 0)", 0.4), "mean_word": ("word_chars::double / nullif(n_words, 0)", 12.0)}
 
 
 def _quality() -> str:

@@ -20,10 +20,10 @@ STATS = "doc_id long, lang string, source string, n_words long, word_chars long,
 
 #: Measured quantities, each a share or a mean that a bad text has too much of, with the least value that may fail a text.
 RULES = {
-    "symbol_share": ("n_symbols / word_chars", 0.05),
-    "dup_line_share": ("n_dup_lines / n_lines", 0.5),
-    "repeat_share": ("n_repeat_words / n_words", 0.4),
-    "mean_word": ("word_chars / n_words", 12.0),
+    "symbol_share": ("n_symbols / nullif(word_chars, 0)", 0.05),
+    "dup_line_share": ("n_dup_lines / nullif(n_lines, 0)", 0.5),
+    "repeat_share": ("n_repeat_words / nullif(n_words, 0)", 0.4),
+    "mean_word": ("word_chars / nullif(n_words, 0)", 12.0),
 }
 
 
