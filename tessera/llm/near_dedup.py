@@ -8,8 +8,10 @@ values test the distance of a pair before its full sets are compared; links rest
 
 Groups of copies need no pairs: equal sets are collapsed first; then each document is compared with one leader only, the
 document that heads most of its keys, and after that, in keys of many members, with the nearest by signature of a few
-leaders.  Links so found join documents into components, and only members of *different* components that still share a key are compared with each other, each pair
-once, in blocks of bounded size.  No pair within the distance is skipped, whatever the leaders were.
+leaders.  Links so found join documents into components, and only members of *different* components that still share a key
+are compared with each other, each pair once: pairs of small keys are listed, members of large keys are compared in place, in
+blocks of bounded size, and tell only the links that join components.  No pair within the distance is skipped, whatever the
+leaders were.
 """
 
 from __future__ import annotations
@@ -21,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.components import components
 from tessera.llm.runtime import cut, only, parts_for
 from tessera.llm.spans import U64, SpanHash, Words, chunks, mix64
+from tessera.operators.graph import components
 
 PLACES, INDEXED, CHUNK = 128, 48, 4
 #: Of 128 places, at Jaccard 0.8: 25.6 differ, with a standard deviation of 4.5; 5 of these more are allowed.

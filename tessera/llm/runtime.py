@@ -3,27 +3,13 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.runtime import checkpoint_dir, cut
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
-    sc = spark.sparkContext
-    here = sc._jsc.sc().getCheckpointDir()
-    if here.isDefined():
-        return here.get()
-    where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-")
-    sc.setCheckpointDir(where)
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The rows as they are now, written to the shared checkpoint folder, so that no later loss recomputes them."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+__all__ = ["checkpoint_dir", "cut", "only", "parts_for", "release", "text_bytes"]
 
 
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
