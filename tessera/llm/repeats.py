@@ -17,7 +17,9 @@ in a document with a smaller doc_id.  Both forms run the same five steps:
 5. *Cover.*  Settled and extended spans are united per document and cut from the text.
 
 Nothing is sampled or capped.  A hot gram (a passage in a third of all documents) costs one row per task and distinct
-context, not one per document.
+context, not one per document.  If a task meets a gram in more than ``split`` different contexts, it deals those rows by gram
+and context instead, over all partitions, and tells the gram's own partition with one row; all contexts of such a gram
+are then compared window by window, dealt by the hash of the window.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ from tessera.llm.spans import U64, SpanHash, Words, chunks, mix64, owned, winnow
 
 ANSWERS = "bucket int, open boolean, blob binary"
 FLUSH = 600_000
+#: Marks the left size of an anchor whose gram is split, and the size of an open context of one.
+HOT, HOT_SPAN = 1 << 7, 1 << 31
 
 
 @dataclass(frozen=True)
@@ -46,6 +50,8 @@ class Form:
     units: type[Words] | None  # None: bytes
     #: (gram hash, document order, context rows) -> (row, first unit of a repeated window within the context)
     resolve: Callable
+    #: Different contexts of one gram in one task from which on the gram is split over partitions.
+    split: int = 64
 
     @property
     def by_word(self) -> bool:
@@ -163,8 +169,23 @@ def _anchor_rows(form: Form, buckets: int):
             least = np.minimum.reduceat(ids[d[o]], np.flatnonzero(new))[np.cumsum(new) - 1]
             known = np.zeros(len(g), dtype=bool)
             known[o] = ids[d[o]] > least
-            bucket = np.where(known, mix64(d) % U64(buckets), g % U64(buckets)).astype(np.int64)
-            o = np.argsort((bucket << 1) | known, kind="stable")  # rows came by document and position
+            # grams in too many contexts: their first documents' rows are dealt by context, and one of them to the gram's partition too
+            first = np.ones(len(o), dtype=bool)
+            first[1:] = g[o][1:] != g[o][:-1]
+            gram = np.cumsum(first) - 1
+            many = np.zeros(len(g), dtype=bool)
+            many[o] = (np.bincount(gram, weights=new) > form.split)[gram]
+            many &= ~known
+            spread = np.where(many, mix64(g ^ (c >> U64(1))), g)
+            if many.any():
+                told = np.flatnonzero(many)
+                told = told[np.unique(g[told], return_index=True)[1]]
+                rows_at = np.concatenate((np.arange(len(g)), told))
+                spread = np.concatenate((spread, g[told]))
+                left = left + HOT * many
+                g, c, pos, d, left, right, known = (x[rows_at] for x in (g, c, pos, d, left, right, known))
+            bucket = np.where(known, mix64(d) % U64(buckets), spread % U64(buckets)).astype(np.int64)
+            o = np.argsort((bucket << 1) | known, kind="stable")  # rows came by document and position, but for the few told twice
             edges = np.flatnonzero(np.diff(bucket[o], prepend=-1))
             out_b, out = [], []
             for lo, hi in zip(edges, np.append(edges[1:], len(o))):
@@ -246,6 +267,7 @@ def _join_anchors(form: Form, buckets: int):
                     known.add(none, none, _from_planes(pos_k, 4), _from_planes(d_k, 4), left_k, right_k, ids, th)
         if known.docs:
             _, _, pos, d, left, right, ids, th = known.all()
+            left &= HOT - 1
             yield from _answers(d, pos - left, pos + right, ids, th, False, buckets)
         if not held.rows:
             return
@@ -255,13 +277,16 @@ def _join_anchors(form: Form, buckets: int):
         doc = ids[d]
         starts = np.flatnonzero(new)
         settled = doc > np.minimum.reduceat(doc, starts)[np.cumsum(new) - 1]
-        yield from _answers(d[settled], (pos - left)[settled], (pos + right)[settled], ids, th, False, buckets)
         first = np.concatenate(([True], g[1:] != g[:-1]))
         gram = np.flatnonzero(first)
+        hot = left >= HOT
+        left = left & (HOT - 1)
+        hot = np.logical_or.reduceat(hot, gram)[np.cumsum(first) - 1]
         several = (np.add.reduceat(new.astype(np.int64), gram) > 1) & (np.maximum.reduceat(doc, gram) > np.minimum.reduceat(doc, gram))
-        wide = several[np.cumsum(first) - 1] & ~settled
-        # an open anchor's end also tells where in its context it stands
-        yield from _answers(d[wide], (pos - left)[wide], (pos + right + (left << 16))[wide], ids, th, True, buckets)
+        yield from _answers(d[settled], (pos - left)[settled], (pos + right)[settled], ids, th, False, buckets)
+        wide = (several[np.cumsum(first) - 1] | hot) & ~settled
+        # an open anchor's end also tells where in its context it stands, and whether its gram is split
+        yield from _answers(d[wide], (pos - left)[wide], (pos + right + (left << 16) + HOT_SPAN * hot)[wide], ids, th, True, buckets)
 
     return run
 
@@ -292,7 +317,10 @@ def _contexts(form: Form, buckets: int):
             d = np.repeat(np.arange(len(told)), [len(p) for p in told])
             lo, size = np.concatenate(told).T
             size = size - lo
-            lo, left = lo + first[d], size >> 16
+            size &= 0xFFFFFFFF
+            hot = size >= HOT_SPAN
+            # an anchor may be told twice, once of them as hot
+            lo, left = lo + first[d], (size >> 16) & 0x7FFF
             at, hi = lo + left, lo + (size & 0xFFFF)
             h = SpanHash(data)
             if form.by_word:
@@ -301,6 +329,7 @@ def _contexts(form: Form, buckets: int):
                 g = h.of(at, at + form.gram)
             bucket = (g % U64(buckets)).astype(np.int64)
             o = np.argsort(bucket, kind="stable")
+            o = o[~hot[o]]
             edges = np.flatnonzero(np.diff(bucket[o], prepend=-1))
             ids_a, th_a = np.array(ids, dtype=np.int64), np.array(th, dtype=np.int32)
             out_b, out = [], []
@@ -313,17 +342,51 @@ def _contexts(form: Form, buckets: int):
                 rows[inside] = units[cols[inside]]
                 out_b.append(int(bucket[r[0]]))
                 out.append(_pack(g[r], ids_a[d[r]], th_a[d[r]], (at - first[d])[r].astype(np.uint32), (at - lo)[r].astype(np.uint8), (hi - at)[r].astype(np.uint8), rows.reshape(-1)))
-            yield pa.record_batch([pa.array(out_b, pa.int32()), pa.array(out, pa.binary())], names=["bucket", "blob"])
+            yield pa.record_batch([pa.array(out_b, pa.int32()), pa.array([False] * len(out), pa.bool_()), pa.array(out, pa.binary())], names=["bucket", "windows", "blob"])
+            if hot.any():
+                yield _windows(form, data, words if form.by_word else None, lo[hot], hi[hot], d[hot], first, ids_a, th_a, buckets)
 
     return run
 
 
+def _windows(form: Form, data, words, lo, hi, d, first, ids, th, buckets: int) -> pa.RecordBatch:
+    """Every window of contexts of split grams, once per document: (hash of 128 bits, document, first unit), dealt by hash."""
+    n = hi - lo - form.window + 1
+    at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum()))
+    d = np.repeat(d, n)
+    at, once = np.unique(at, return_index=True)
+    d = d[once]
+    spans = (words.start[at], words.end[at + form.window - 1]) if form.by_word else (at, at + form.window)
+    h, k = SpanHash(data).of(*spans), SpanHash(data, 1).of(*spans)
+    bucket = (h % U64(buckets)).astype(np.int64)
+    o = np.argsort(bucket, kind="stable")
+    edges = np.flatnonzero(np.diff(bucket[o], prepend=-1))
+    cuts = list(zip(edges, np.append(edges[1:], len(o))))
+    blobs = [_pack(h[r], k[r], ids[d[r]], th[d[r]], (at - first[d])[r].astype(np.uint32)) for r in (o[a:b] for a, b in cuts)]
+    return pa.record_batch([pa.array(bucket[o[edges]].astype(np.int32)), pa.array([True] * len(blobs), pa.bool_()), pa.array(blobs, pa.binary())], names=["bucket", "windows", "blob"])
+
+
+def _later_windows(form: Form, blobs: list[bytes], buckets: int) -> Iterator[pa.RecordBatch]:
+    parts = [_unpack(b, np.uint64, np.uint64, np.int64, np.int32, np.uint32) for b in blobs]
+    h, k, ids, th, at = (np.concatenate(x) for x in zip(*parts))
+    o = np.lexsort((k, h))
+    new = np.concatenate(([True], (h[o][1:] != h[o][:-1]) | (k[o][1:] != k[o][:-1])))
+    later = o[ids[o] > np.minimum.reduceat(ids[o], np.flatnonzero(new))[np.cumsum(new) - 1]]
+    if len(later):
+        own, d = np.unique(np.stack([ids[later], th[later].astype(np.int64)], axis=1), axis=0, return_inverse=True)
+        lo = at[later].astype(np.int64)
+        yield from _answers(d.reshape(-1), lo, lo + form.window, own[:, 0], own[:, 1].astype(np.int32), False, buckets)
+
+
 def _extend(form: Form, buckets: int):
     kind = np.uint64 if form.by_word else np.uint8
     width = form.window + form.reach
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [_unpack(b, np.uint64, np.int64, np.int32, np.uint32, np.uint8, np.uint8, kind) for batch in batches for b in batch.column("blob").to_pylist()]
+        rows = [(w, b) for batch in batches for w, b in zip(batch.column("windows").to_pylist(), batch.column("blob").to_pylist())]
+        if windows := [b for w, b in rows if w]:
+            yield from _later_windows(form, windows, buckets)
+        parts = [_unpack(b, np.uint64, np.int64, np.int32, np.uint32, np.uint8, np.uint8, kind) for w, b in rows if not w]
         if not parts:
             return
         g, ids, th, pos, left, right, rows = (np.concatenate(x) for x in zip(*parts))
@@ -343,6 +406,8 @@ def _extend(form: Form, buckets: int):
 
 def with_spans(docs: DataFrame, form: Form) -> DataFrame:
     """docs (doc_id long, text, others) with ``spans``: packed spans of repeated units, null where there are none."""
+    if form.reach >= HOT or form.window >= 1 << 8:
+        raise ValueError("windows of up to 255 units, with seeds at most 127 shorter")
     spark = docs.sparkSession
     keyed = docs.withColumn("th", F.hash("text"))
     nb = parts_for(spark, text_bytes(docs), 16 << 20)
@@ -351,8 +416,8 @@ def with_spans(docs: DataFrame, form: Form) -> DataFrame:
     joined = cut(sent.repartitionById(nb, F.col("bucket")).select("blob").mapInArrow(_join_anchors(form, nb), ANSWERS))
     release(spark)
     opened = of_documents(joined.where("open"))
-    contexts = keyed.join(opened, ["doc_id", "th"]).select("doc_id", "th", "spans", "text").mapInArrow(_contexts(form, nb), "bucket int, blob binary")
-    extended = cut(contexts.repartitionById(nb, F.col("bucket")).select("blob").mapInArrow(_extend(form, nb), ANSWERS))
+    contexts = keyed.join(opened, ["doc_id", "th"]).select("doc_id", "th", "spans", "text").mapInArrow(_contexts(form, nb), "bucket int, windows boolean, blob binary")
+    extended = cut(contexts.repartitionById(nb, F.col("bucket")).select("windows", "blob").mapInArrow(_extend(form, nb), ANSWERS))
     release(spark)
     spans = of_documents(joined.where("not open").unionByName(extended))
     return keyed.join(spans, ["doc_id", "th"], "left").select(*docs.columns, "spans")

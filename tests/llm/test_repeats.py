@@ -3,9 +3,10 @@ import pytest
 from cases import covered, frame, odd_documents, rows_of
 
 from tessera.llm.line_dedup import line_dedup
-from tessera.llm.spans import SpanHash, owned, winnowed
-from tessera.llm.substring_dedup import substring_dedup
-from tessera.llm.suffix_dedup import END, SEP, repeated_intervals, suffix_dedup
+from tessera.llm.repeats import Form, with_spans
+from tessera.llm.spans import SpanHash, Words, owned, winnowed
+from tessera.llm.substring_dedup import OUT, _cut_words, extend_both_ways, substring_dedup
+from tessera.llm.suffix_dedup import END, SEP, _cut_bytes, expand_intervals, repeated_intervals, suffix_dedup
 
 
 def test_substring_dedup_equals_brute_force(spark):
@@ -22,6 +23,18 @@ def test_substring_dedup_small_windows(spark):
     assert got == sorted(((d, n, m, k.decode()) for d, n, m, k in covered(rows, bytes.split, 6, b" ")), key=repr)
 
 
+@pytest.mark.parametrize("split", [0, 1, 3])
+def test_split_grams(spark, split):
+    """Grams in more than so many contexts are dealt by context and compared by windows."""
+    rows = odd_documents(6) + odd_documents(7)[:40]
+    docs = frame(spark, rows, parts=2).select("doc_id", "text")
+    for units, cut, window, seed, resolve, split_at, join in ((Words, _cut_words, 12, 3, extend_both_ways, bytes.split, b" "), (None, _cut_bytes, 50, 20, expand_intervals, lambda t: t, b"")):
+        out = OUT if units else "doc_id long, n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept binary"
+        got = with_spans(docs, Form(window, seed, units, resolve, split)).mapInArrow(cut, out).collect()
+        want = covered(rows, split_at, window, join)
+        assert sorted(((r[0], r[1], r[2]) for r in got), key=repr) == sorted(((d, n, m) for d, n, m, _ in want), key=repr)
+
+
 def test_suffix_dedup_equals_brute_force(spark):
     rows = odd_documents()
     got = [(d, n, m, bytes(k)) for d, n, m, k in rows_of(suffix_dedup(frame(spark)), "doc_id", "n_bytes", "n_removed", "kept")]
