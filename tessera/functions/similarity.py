@@ -7,6 +7,7 @@ once.  Null counts as the empty string.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -79,6 +80,7 @@ def partial(a: str, b: str) -> float:
     return best
 
 
+@lru_cache(maxsize=1 << 16)
 def jaro(a: str, b: str) -> float:
     if a == b:
         return 1.0

@@ -124,14 +124,15 @@ def tfidf(docs: DataFrame, uid: str, text: str, by: tuple[str, ...] = ()) -> Dat
     return w.join(norm, [*by, "uid"]).select(*by, "uid", "gram", (F.col("w") / F.col("norm")).alias("w"))
 
 
-def sparse_topk(queries: DataFrame, index: DataFrame, k: int, min_sim: float | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+def sparse_topk(queries: DataFrame, index: DataFrame, k: int, min_sim: float | None = None, by: tuple[str, ...] = (), exclude_self: bool = False) -> DataFrame:
     """(query, item, sim, rank): the k largest inner products of sparse rows (by, uid, gram, w); rank counts before ``min_sim``.
 
     Exact: an inverted-index join on grams and a sum with map-side combine.  Grams of one side alone drop out in the join.
     """
     q = queries.select(*by, F.col("uid").alias("query"), "gram", F.col("w").alias("wq"))
     i = index.select(*by, F.col("uid").alias("item"), "gram", F.col("w").alias("wi"))
-    dots = q.join(i, [*by, "gram"]).groupBy("query", "item").agg(F.sum(F.col("wq") * F.col("wi")).alias("sim"))
+    met = q.join(i, [*by, "gram"])
+    dots = (met.where("query <> item") if exclude_self else met).groupBy("query", "item").agg(F.sum(F.col("wq") * F.col("wi")).alias("sim"))
     best = dots.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("sim", 9)), "item"))).where(F.col("rank") <= k)
     return best if min_sim is None else best.where(F.col("sim") >= min_sim)
 

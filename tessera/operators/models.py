@@ -62,9 +62,13 @@ def fit_folds(df: DataFrame, features: list[str], *, label: str = "label", entit
         if n > max_entities:
             df = df.where(hash_order(entity, seed=seed) < int(max_entities / n * (1 << 32)))
     x = assembled(df, features).select(entity, "fold", F.col(label).cast("double").alias("label"), "__x").withColumn("stop", hash_order(entity, seed=seed + 1) % 20 == 0).cache()
-    gbt = GBTClassifier(featuresCol="__x", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, seed=seed, validationIndicatorCol="stop", validationTol=0.001)
+    gbt = GBTClassifier(featuresCol="__x", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, seed=seed)
+    stopping = gbt.copy({gbt.validationIndicatorCol: "stop", gbt.validationTol: 0.001})
     try:
-        return FoldModels(features, [gbt.fit(x.where(F.col("fold") != k)) for k in range(n_folds)])
+        # a fold of few entities may have none to stop on
+        held = {r["fold"]: r["n"] for r in x.groupBy("fold").agg(F.count_if("stop").alias("n")).collect()}  # one row a fold
+        some = [sum(n for f, n in held.items() if f != k) > 0 for k in range(n_folds)]
+        return FoldModels(features, [(stopping if some[k] else gbt).fit(x.where(F.col("fold") != k)) for k in range(n_folds)])
     finally:
         x.unpersist()
 

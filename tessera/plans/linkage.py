@@ -36,6 +36,16 @@ class Settings:
     n_folds: int = 4
     trees: int = 20
     depth: int = 5
+    rounds: int = 3  # of scoring; from the second on with collective features of the round before
+    bags: int = 3  # models that a round's score is the mean of, from the second round on
+    expand: bool = False  # two-hop expansion, where it lifts the ceiling
+    sure_member: float = 0.9
+    neighbours: int = 5
+    neighbour_sim: float = 0.6
+    per_entity_added: int = 10
+    overrides: dict[str, dict[str, float]] = field(default_factory=dict)  # by profile, in place of tuned thresholds
+    empty: tuple[str, ...] = ()  # profiles whose entities get no record: a probe
+    shift: dict[str, float] = field(default_factory=dict)  # by profile, on the logit scale, before selection
     caps: dict[int, int] = field(default_factory=lambda: {2: 5, 3: 6})
     grid: dict[str, list[float]] = field(default_factory=lambda: {"kappa": [0.8, 0.9, 1.0], "t_min": [0.3, 0.4, 0.5], "delta": [-0.1, 0.0, 0.1]})
 
@@ -48,7 +58,7 @@ class Bundle:
     name: Weights = Weights()
     addr: Weights = Weights()
     pre: models.FoldModels | None = None
-    rounds: list[models.FoldModels] = field(default_factory=list)
+    rounds: list[list[models.FoldModels]] = field(default_factory=list)
     calibrator: models.Calibrator | None = None
     gate: models.FoldModels | None = None
     thresholds: dict[str, dict[str, float]] = field(default_factory=dict)
@@ -77,6 +87,19 @@ def candidates(norm: DataFrame, s: Settings) -> DataFrame:
     return cut(B.candidate_union(B.union_all(hits), B.key_pairs(B.linkage_keys(norm))))
 
 
+def expanded(scored: DataFrame, norm: DataFrame, entities: DataFrame, truth: DataFrame | None, s: Settings) -> DataFrame:
+    """scored candidates with records near their confident members; with truth only if that lifts the ceiling.  hop2 tells them apart."""
+    by = ("country",)
+    sure = scored.where(F.col("p_pre") >= s.sure_member).select(F.col("rec_uid").alias("uid")).distinct()
+    docs = norm.where("src <> 1").select("country", "uid", F.concat_ws(" ", "name_core", F.regexp_replace("addr_latin", ",", " ")).alias("t"))
+    rows = cut(B.tfidf(docs, "uid", "t", by))
+    near = B.sparse_topk(rows.join(sure, "uid", "left_semi"), rows, s.neighbours + 1, s.neighbour_sim, by).select(F.col("query").alias("m"), F.col("item").alias("n"), "sim")
+    added = cut(B.two_hop(scored, near, score="p_pre", confident=s.sure_member, min_sim=s.neighbour_sim, max_add=s.per_entity_added))
+    if truth is not None and not B.worth_expanding(entities, scored, added, truth):
+        return scored.withColumn("hop2", F.lit(0))
+    return B.union_all([scored.withColumn("hop2", F.lit(0)), added.select("s1_uid", "rec_uid", F.lit(1).alias("hop2"))])
+
+
 def labelled(pairs: DataFrame, entities: DataFrame, truth: DataFrame | None) -> DataFrame:
     out = pairs.join(entities.select("s1_uid", "prof", "fold"), "s1_uid")
     if truth is None:
@@ -114,20 +137,34 @@ def link(records: DataFrame, entities: DataFrame, truth: DataFrame | None, bundl
     pairs = cut(B.cheap_features(labelled(candidates(norm, s), entities, truth), norm))
     if learn:
         b.pre = models.fit_folds(pairs, CHEAP, n_folds=s.n_folds, trees=s.trees, depth=s.depth)
-    kept = cut(context.keep_rule(b.pre.score(pairs, "p_pre"), "p_pre", s.floor, s.floor_low, s.record_top, s.per_entity))
-    full = cut(pair_features(kept, norm, b.name, b.addr))
-    first = list(dict.fromkeys(CHEAP + ["p_pre", "nm_lev", *NAMES]))
-    if learn:
-        b.rounds = [models.fit_folds(full, first, n_folds=s.n_folds, trees=s.trees, depth=s.depth)]
-    scored = cut(collective_features(b.rounds[0].score(full, "p1"), norm, s, "p1"))
-    second = [*first, "p1", *CONTEXT, *CONSENSUS, *COMPETITION]
-    if learn:
-        b.rounds.append(models.fit_folds(scored, second, n_folds=s.n_folds, trees=s.trees, depth=s.depth))
-    scored = b.rounds[1].score(scored, "p2")
+    pre = b.pre.score(pairs, "p_pre")
+    kept = cut(context.keep_rule(pre, "p_pre", s.floor, s.floor_low, s.record_top, s.per_entity))
+    if s.expand:
+        base = ["s1_uid", "rec_uid", "n1f_rank", "n1r_rank", "n1_sim", "a1f_rank", "a1r_rank", "a1_sim", "d1f_rank", "d1r_rank", "d1_sim", "key_mask", "key_block", "key_n"]
+        grown = expanded(kept.select(*base, "p_pre"), norm, entities, truth if learn else None, s).drop("p_pre")
+        kept = cut(b.pre.score(B.cheap_features(labelled(grown, entities, truth), norm), "p_pre"))
+    scored = cut(pair_features(kept, norm, b.name, b.addr))
+    columns = list(dict.fromkeys(CHEAP + ["p_pre", "nm_lev", *NAMES]))
+    for k in range(s.rounds):
+        score, before = f"p{k + 1}", f"p{k}"
+        if k:
+            scored = cut(collective_features(scored.drop(*CONTEXT, *CONSENSUS, *COMPETITION), norm, s, before))
+            columns = [c for c in columns if c not in {*CONTEXT, *CONSENSUS, *COMPETITION}] + [before, *CONTEXT, *CONSENSUS, *COMPETITION]
+        if learn:
+            b.rounds.append([models.fit_folds(scored, columns, n_folds=s.n_folds, trees=s.trees, depth=s.depth, seed=1 + i) for i in range(s.bags if k else 1)])
+        for i, m in enumerate(b.rounds[k]):
+            scored = m.score(scored, f"__b{i}")
+        bag = [f"__b{i}" for i in range(len(b.rounds[k]))]
+        scored = models.bag_mean(scored, bag, score).drop(*bag)
+    last = f"p{s.rounds}"
     if learn:
         scored = cut(scored)
-        b.calibrator = models.fit_calibrator(scored, "p2")
-    scored = cut(context.one_owner(b.calibrator.apply(scored, "p2"), "q").withColumn("src", F.col("rec_src")))
+        b.calibrator = models.fit_calibrator(scored, last)
+    scored = b.calibrator.apply(scored, last)
+    if s.shift:
+        by = F.create_map(*[F.lit(x) for kv in s.shift.items() for x in kv])
+        scored = scored.withColumn("q", decide.logit_shift(F.col("q"), F.coalesce(F.try_element_at(by, F.col("prof")), F.lit(0.0))))
+    scored = cut(context.one_owner(scored, "q").withColumn("src", F.col("rec_src")))
     extra = {"g_best_name": "nm_tset", "g_best_addr": "ad_tset", "g_best_numhit": "num_hit"}
     gates = collective.gate_profile(scored.select("s1_uid", "rec_uid", "q", *extra.values()), entities, score="q", extra=extra)
     if learn:
@@ -139,6 +176,8 @@ def link(records: DataFrame, entities: DataFrame, truth: DataFrame | None, bundl
         b.thresholds = {r["prof"]: {k: r[k] for k in s.grid} for r in decide.grid_search(arrays, truth, entities, s.grid, caps=s.caps).collect()}  # one row a profile
     use = thresholds(b, s)
     chosen = decide.select_heuristic(arrays.withColumns({f"__{k}": v for k, v in use.items()}), caps=s.caps, **{k: F.col(f"__{k}") for k in use})
+    if s.empty:
+        chosen = chosen.where(~F.col("prof").isin(*s.empty))
     matches = decide.picked_pairs(chosen).join(scored.select("s1_uid", "rec_uid", "q"), ["s1_uid", "rec_uid"])
     return matches, kept.select("s1_uid", "rec_uid", "p_pre"), b
 
@@ -146,10 +185,11 @@ def link(records: DataFrame, entities: DataFrame, truth: DataFrame | None, bundl
 def thresholds(b: Bundle, s: Settings) -> dict:
     """Each profile's own thresholds; a profile without any takes those of the one of most data, the calibrator's fallback."""
     out = {}
-    base = b.thresholds.get(b.calibrator.fallback) or next(iter(b.thresholds.values()))
+    tuned = b.thresholds | s.overrides
+    base = tuned.get(b.calibrator.fallback) or next(iter(tuned.values()))
     for k in s.grid:
         c = None
-        for prof, t in b.thresholds.items():
+        for prof, t in tuned.items():
             c = F.when(F.col("prof") == prof, F.lit(float(t[k]))) if c is None else c.when(F.col("prof") == prof, F.lit(float(t[k])))
         out[k] = c.otherwise(F.lit(float(base[k])))
     return out

@@ -144,6 +144,70 @@ def two_hop_expand(spark, sf_dir):
     return blocking.two_hop(cand, near, score="sim", confident=0.3, min_sim=0.2, max_add=4).select("s1_uid", "rec_uid", F.round("hop_sim", 6).alias("hop_sim"))
 
 
+@query(f"""with {_tfidf_sql("g", "select item_id as uid, text as t from benchmark")}, dot as (select a.uid as query, b.uid as item, sum(a.w * b.w) as sim from g a join g b using (gram) where a.uid <> b.uid group by 1, 2)
+select query, item, round(sim, 6) as sim from (select *, row_number() over (partition by query order by round(sim, 9) desc, item) as n from dot) where n = 1""")
+def reference_neighbours(spark, sf_dir):
+    """The nearest other reference of each: what a false match among references would look like."""
+    g = blocking.tfidf(table(spark, sf_dir, "benchmark"), "item_id", "text")
+    return blocking.sparse_topk(g, g, 1, exclude_self=True).select("query", "item", F.round("sim", 6).alias("sim"))
+
+
+_PAIR_IDS = "pr as (select a.p_partkey as s1_uid, b.p_partkey as rec_uid from part a join part b on a.p_brand = b.p_brand and a.p_size = b.p_size and a.p_partkey < b.p_partkey)"
+
+
+@query(f"""with {_tfidf_sql("g", "select p_partkey as uid, p_name || ' ' || p_type as t from part")}, {_PAIR_IDS},
+d as (select s1_uid, rec_uid, sum(a.w * b.w) as c from pr join g a on a.uid = s1_uid join g b on b.uid = rec_uid and a.gram = b.gram group by 1, 2) select s1_uid, rec_uid, round(coalesce(c, 0), 6) as cos from pr left join d using (s1_uid, rec_uid)""")
+def row_wise_cosine(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    g = blocking.tfidf(p.select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("t")), "p_partkey", "t")
+    a = p.select(F.col("p_partkey").alias("s1_uid"), "p_brand", "p_size")
+    pairs = a.join(a.withColumnRenamed("s1_uid", "rec_uid"), ["p_brand", "p_size"]).where("s1_uid < rec_uid").select("s1_uid", "rec_uid")
+    return blocking.row_cosine(pairs, g).withColumn("cos", F.round("cos", 6))
+
+
+def _parsed(spark, sf_dir):
+    """Documents and pages as records: first lines and hosts as names, second lines and paths as addresses."""
+    from tessera.functions.parse import normalize, profile_column
+
+    line = lambda i: F.coalesce(F.get(F.split("text", "\n"), F.lit(i)), F.lit(""))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("uid"), F.when(F.col("doc_id") % 4 == 0, 1).otherwise(2).alias("src"), F.when(F.col("lang") == "fr", "France").otherwise("US").alias("country"), F.substring(line(0), 1, 60).alias("name_raw"), F.substring(line(1), 1, 80).alias("addr_raw"))
+    p = table(spark, sf_dir, "pages").select((F.lit(1_000_000_000) + F.col("page_id")).alias("uid"), F.lit(3).alias("src"), F.lit("US").alias("country"), F.regexp_extract("url", "^https?://([^/]+)", 1).alias("name_raw"), F.regexp_replace("url", "^https?://[^/]+", "").alias("addr_raw"))
+    return normalize(d.unionByName(p).withColumn("prof", profile_column(F.col("country"))))
+
+
+@query()
+def parsed_records(spark, sf_dir):
+    lists = ("name_alts", "addr_comps", "addr_tokens", "nums")
+    return _parsed(spark, sf_dir).withColumns({c: F.array_join(c, "|") for c in lists})
+
+
+@query()
+def seven_key_kinds(spark, sf_dir):
+    return blocking.linkage_keys(_parsed(spark, sf_dir), admin=(5, 200))
+
+
+@query()
+def cheap_pair_features(spark, sf_dir):
+    norm = _parsed(spark, sf_dir)
+    pairs = blocking.key_union(blocking.key_pairs(blocking.linkage_keys(norm, admin=(5, 200))))
+    return blocking.cheap_features(pairs, norm)
+
+
+@query()
+def full_pair_features(spark, sf_dir):
+    norm = _parsed(spark, sf_dir)
+    pairs = blocking.key_union(blocking.key_pairs(blocking.linkage_keys(norm, admin=(5, 200)))).select("s1_uid", "rec_uid")
+    return compare.pair_features(pairs, norm, compare.Weights(), compare.Weights())
+
+
+@query("select time_bucket(interval '5 minutes', ts) as start, time_bucket(interval '5 minutes', ts) + interval '5 minutes' as \"end\", event_type, count(*) as n, round(sum(value), 6) as total from events group by all")
+def event_windows(spark, sf_dir):
+    from tessera.streaming.incremental import windowed_counts
+
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return windowed_counts(e).select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "event_type", "n", F.round("total", 6).alias("total"))
+
+
 # ---------------------------------------------------------------- context and rank rules
 
 

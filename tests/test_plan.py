@@ -46,8 +46,8 @@ def world(spark, seed=1, n=80):
     return r, e, t
 
 
-def test_train_and_apply(spark):
-    s = Settings(n_folds=2, trees=4, depth=3, grid={"kappa": [0.9, 1.0], "t_min": [0.3], "delta": [-0.2, 0.0]}, top_forward=5, top_reverse=2)
+def test_train_and_apply(spark, tmp_path):
+    s = Settings(n_folds=2, trees=4, depth=3, grid={"kappa": [0.9, 1.0], "t_min": [0.3], "delta": [-0.2, 0.0]}, top_forward=5, top_reverse=2, rounds=2, bags=2, expand=True)
     records, entities, truth = world(spark)
     matches, candidates, bundle = link(records, entities, truth, s=s)
     matches = matches.cache()
@@ -55,7 +55,19 @@ def test_train_and_apply(spark):
     assert all_.macro_f05 > 0.75
     assert matches.groupBy("rec_uid").count().where("count > 1").isEmpty()  # one owner
     assert matches.join(candidates, ["s1_uid", "rec_uid"], "left_anti").isEmpty()
+    from tessera.plans import bundle as bundles
+
+    bundles.save(spark, bundle, str(tmp_path / "bundle"))
+    bundle = bundles.load(spark, str(tmp_path / "bundle"))
     again, fresh, no_truth = world(spark, seed=2)
     found, _, _ = link(again, fresh.withColumn("fold", F.lit(-1)), None, bundle, s)
     unseen = {(r.slice, r.value): r for r in evaluate(found, fresh, no_truth).collect()}[("all", "")]
     assert unseen.macro_f05 > 0.7
+
+
+def test_functions_in_sql(spark):
+    from tessera.functions.registry import register
+
+    assert "t_jaro_winkler" in register(spark, "t_")
+    r = spark.sql("select t_jaro_winkler('martha', 'marhta') a, t_token_set_ratio('a b', 'b') b, t_clean('É') c, t_parse_name('Acme Ltd', 'us').legal d, t_tokens('a-b') e, t_skeleton(null) f").first()
+    assert (round(r.a, 6), r.b, r.c, r.d, r.e, r.f) == (0.961111, 1.0, "e", "ltd", ["a", "b"], None)
