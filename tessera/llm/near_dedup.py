@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.runtime import cut, only, parts_for
+from tessera.llm.runtime import cut, only, parts_for, release
 from tessera.llm.spans import U64, SpanHash, Words, chunks, mix64
 from tessera.operators.graph import components
 
@@ -324,6 +324,7 @@ def near_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", s
     headed = met.where("rep <> head").groupBy("rep", "head").agg(F.count("*").alias("n")).groupBy("rep").agg(F.max(F.struct("n", (-F.col("head")).alias("h"))).alias("x"))
     links = cut(_verified(headed.select((-F.col("x.h")).alias("a"), F.col("rep").alias("b")), sets, percent))
     near = components(links.toDF("u", "v"))
+    release(spark)
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     for turn in range(leader_rounds):
         sided = _open_members(met, near, reps, least=MANY).select("key", block.alias("i"), "rep", "comp", F.lit(0).alias("side"), "sig")
@@ -331,6 +332,7 @@ def near_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", s
         best = led.groupBy("rep").agg(F.min(F.struct("far", "leader")).alias("x"))
         more = cut(_verified(best.select(F.least("rep", "x.leader").alias("a"), F.greatest("rep", "x.leader").alias("b")).distinct(), sets, percent))
         near = components(_star(near).unionByName(more.toDF("u", "v")))
+        release(spark)
     # keys of few members: their pairs, each once, then compared
     few = _open_members(met, near, reps, MANY - 1).select("key", "rep", "comp", F.lit(0).alias("side"), "sig")
     rest = few.repartition(nb, "key").sortWithinPartitions("key", "rep").mapInArrow(_cross, "a long, b long").distinct()
@@ -338,7 +340,10 @@ def near_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", s
     at = _open_members(met, near, reps, least=MANY).withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     sided = at.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "comp", F.col("own").alias("side"), "sig").join(sets, "rep")
     joined = sided.repartition(nb, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_settle(percent), "a long, b long")
-    more = cut(_verified(rest, sets, percent).unionByName(joined))
+    linked_apart = cut(_verified(rest, sets, percent))
+    release(spark)
+    more = linked_apart.unionByName(cut(joined))
+    release(spark)
     final = components(_star(near).unionByName(more.toDF("u", "v")))
     rep_of = reps.select("s1", "s2", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", F.coalesce("root", "rep").alias("root"))
     out = signed.select("doc_id", "n_shingles", "s1", "s2").join(rep_of, ["s1", "s2"], "left")
