@@ -18,6 +18,7 @@ from tessera.llm.mixing import mix_sources
 from tessera.llm.near_dedup import near_dedup
 from tessera.llm.packing import pack
 from tessera.llm.runtime import checkpoint_dir
+from tessera.runtime import ship
 
 #: Documents whose language is told with less confidence than this go, as do those without a letter.
 LEAST_SCORE = 0.3
@@ -25,12 +26,14 @@ LEAST_SCORE = 0.3
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the learned languages."""
+    ship(spark)
     told = language_id(docs, keep_text=True)
     return told.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later repeated runs of lines; what has no line left goes."""
+    ship(spark)
     carry = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
     cut = line_dedup(docs, carry=carry).where("n_removed = 0 or n_removed < n_lines")
     return cut.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
@@ -38,6 +41,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one of the smallest doc_id."""
+    ship(spark)
     kept = near_dedup(docs).where("kept and doc_id is not null").select("doc_id").distinct()
     one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return one.unionByName(docs.where("doc_id is null"))
@@ -45,6 +49,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target takes it."""
+    ship(spark)
     copies = mix_sources(docs).groupBy(F.col("doc_id").alias("id")).agg(F.max("copies").cast("int").alias("copies")).where("copies > 0")
     rows = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("id")))
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
@@ -52,6 +57,7 @@ def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack_along_curve(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of packed sequences."""
+    ship(spark)
     out = pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 

@@ -57,7 +57,7 @@ def _price_hits(spark, sf_dir):
 near as (select a.p_partkey as s1_uid, b.p_partkey as rec_uid, round(1 / (1 + abs(a.p_retailprice - b.p_retailprice)), 9) as sim from part a join part b using (p_type, p_size) where a.p_partkey % 4 = 0 and b.p_partkey % 4 <> 0),
 f as (select *, row_number() over (partition by s1_uid order by sim desc, rec_uid) as rank from near), r as (select *, row_number() over (partition by rec_uid order by sim desc, s1_uid) as rank from near),
 hits as (select s1_uid, rec_uid, case when rank <= 1 then rank end as a1f, rank as n1f, null as n1r, sim from f where rank <= 2 union all select s1_uid, rec_uid, null, null, rank, sim from r where rank <= 1),
-h as (select s1_uid, rec_uid, min(a1f) as a1f_rank, null::int as a1r_rank, max(sim) filter (a1f is not null) as a1_sim, min(n1f) as n1f_rank, min(n1r) as n1r_rank, max(sim) as n1_sim, null::int as d1f_rank, null::int as d1r_rank, null::double as d1_sim from hits group by 1, 2),
+h as (select s1_uid, rec_uid, min(a1f)::int as a1f_rank, null::int as a1r_rank, max(sim) filter (a1f is not null) as a1_sim, min(n1f)::int as n1f_rank, min(n1r)::int as n1r_rank, max(sim) as n1_sim, null::int as d1f_rank, null::int as d1r_rank, null::double as d1_sim from hits group by 1, 2),
 k as (select s1_uid, rec_uid, bit_or(1 << kt) as key_mask, min(block) as key_block, count(distinct kt) as key_n from pairs group by 1, 2)
 select * from h full join k using (s1_uid, rec_uid)""")
 def block_mask_union(spark, sf_dir):
@@ -102,7 +102,7 @@ def _tfidf_sql(name: str, rows: str) -> str:
 
 @query(f"""with {_tfidf_sql("g", "select 1000000000 + item_id as uid, text as t from benchmark union all select doc_id, text from documents")},
 dot as (select a.uid - 1000000000 as query, b.uid as item, sum(a.w * b.w) as sim from g a join g b using (gram) where a.uid >= 1000000000 and b.uid < 1000000000 group by 1, 2)
-select query, item, round(sim, 6) as sim, rank from (select *, row_number() over (partition by query order by round(sim, 9) desc, item) as rank from dot) where rank <= 5 and sim >= 0.15""")
+select query, item, round(sim, 6) as sim, rank::int as rank from (select *, row_number() over (partition by query order by round(sim, 9) desc, item) as rank from dot) where rank <= 5 and sim >= 0.15""")
 def char3_tfidf_topk(spark, sf_dir):
     b, d = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
     rows = blocking.tfidf(b.select((F.lit(1_000_000_000) + F.col("item_id")).alias("uid"), "text").unionByName(d.select(F.col("doc_id").alias("uid"), "text")), "uid", "text")
@@ -118,13 +118,13 @@ def _dense(spark, sf_dir):
     return v.where("uid % 10 = 0"), v.where("uid % 10 <> 0")
 
 
-@query(f"with {_DENSE} select query, item, round(sim, 6) as sim, rank from (select *, row_number() over (partition by query order by round(sim, 9) desc, item) as rank from (select q.uid as query, i.uid as item, list_cosine_similarity(q.vec, i.vec) as sim from q, i)) where rank <= 10 and sim >= 0.15")
+@query(f"with {_DENSE} select query, item, round(sim, 6) as sim, rank::int as rank from (select *, row_number() over (partition by query order by round(sim, 9) desc, item) as rank from (select q.uid as query, i.uid as item, list_cosine_similarity(q.vec, i.vec) as sim from q, i)) where rank <= 10 and sim >= 0.15")
 def dense_topk_fwd(spark, sf_dir):
     q, i = _dense(spark, sf_dir)
     return blocking.dense_topk(q, i, 10, min_sim=0.15).select("query", "item", F.round("sim", 6).alias("sim"), "rank")
 
 
-@query(f"with {_DENSE} select query, item, round(sim, 6) as sim, rank from (select *, row_number() over (partition by query order by round(sim, 9) desc, item) as rank from (select i.uid as query, q.uid as item, list_cosine_similarity(q.vec, i.vec) as sim from q, i)) where rank <= 3 and sim >= 0.15")
+@query(f"with {_DENSE} select query, item, round(sim, 6) as sim, rank::int as rank from (select *, row_number() over (partition by query order by round(sim, 9) desc, item) as rank from (select i.uid as query, q.uid as item, list_cosine_similarity(q.vec, i.vec) as sim from q, i)) where rank <= 3 and sim >= 0.15")
 def dense_topk_rev(spark, sf_dir):
     q, i = _dense(spark, sf_dir)
     return blocking.dense_topk(i, q, 3, min_sim=0.15).select("query", "item", F.round("sim", 6).alias("sim"), "rank")
@@ -214,7 +214,7 @@ def event_windows(spark, sf_dir):
 @query(f"""with {EDGES}, r as (select *, row_number() over (partition by s1_uid order by p desc, rec_uid) as c_s1_rank, row_number() over (partition by rec_uid order by p desc, s1_uid) as c_rec_rank from edges),
 x as (select *, max(p) over s as ms, max(p) over c as mc, coalesce(max(case when c_s1_rank > 1 then p end) over s, 0) as s2, coalesce(max(case when c_rec_rank > 1 then p end) over c, 0) as c2, sum(p) over s as ss, sum(p) over c as sc,
   count(*) over s as c_s1_n, count(*) over c as c_rec_n, count(*) filter (p >= 0.5) over s as c_s1_n50, count(*) filter (p >= 0.5) over c as c_rec_n50 from r window s as (partition by s1_uid), c as (partition by rec_uid))
-select s1_uid, rec_uid, c_s1_rank, c_rec_rank, round(ms - p, 9) as c_s1_gap, round(mc - p, 9) as c_rec_gap, case when c_s1_rank = 1 then s2 else ms end as c_s1_other, case when c_rec_rank = 1 then c2 else mc end as c_rec_comp,
+select s1_uid, rec_uid, c_s1_rank::int as c_s1_rank, c_rec_rank::int as c_rec_rank, round(ms - p, 9) as c_s1_gap, round(mc - p, 9) as c_rec_gap, case when c_s1_rank = 1 then s2 else ms end as c_s1_other, case when c_rec_rank = 1 then c2 else mc end as c_rec_comp,
   round(p / (ss + 1e-6), 6) as c_s1_share, round(p / (sc + 1e-6), 6) as c_rec_share, c_s1_n, c_rec_n, c_s1_n50, c_rec_n50, round(p - case when c_rec_rank = 1 then c2 else mc end, 9) as c_rec_margin from x""")
 def score_context(spark, sf_dir):
     out = context.score_context(edges(spark, sf_dir).select("s1_uid", "rec_uid", "p"), "p", "c")
