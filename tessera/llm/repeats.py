@@ -36,7 +36,10 @@ from tessera.llm.runtime import cut, parts_for, release, text_bytes
 from tessera.llm.spans import U64, SpanHash, Words, chunks, mix64, owned, winnowed
 
 ANSWERS = "bucket int, open boolean, blob binary"
-FLUSH = 600_000
+#: Anchors that a task gathers before it deals them out; more where there are many partitions, so that each gets rows enough.
+FLUSH, MOST_FLUSH = 600_000, 12_000_000
+#: Text that makes a partition of grams, and the most partitions: beyond them partitions grow and want larger executors.
+PART_BYTES, MOST_PARTS = 16 << 20, 100_000
 #: Marks the left size of an anchor whose gram is split, and the size of an open context of one.
 HOT, HOT_SPAN = 1 << 7, 1 << 31
 
@@ -160,6 +163,8 @@ def _grouped(g: np.ndarray, c: np.ndarray, bits: int) -> tuple[np.ndarray, np.nd
 
 
 def _anchor_rows(form: Form, buckets: int):
+    enough = max(FLUSH, min(128 * buckets, MOST_FLUSH))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Gathered()
 
@@ -202,7 +207,7 @@ def _anchor_rows(form: Form, buckets: int):
             t, pos, g, c, left, right = _anchors_of(form, texts)
             if len(g):
                 held.add(g, c, pos, t, left, right, np.array(ids, dtype=np.int64), np.array(th, dtype=np.int64))
-            if held.rows >= FLUSH:
+            if held.rows >= enough:
                 yield from flush()
                 held = _Gathered()
         if held.rows:
@@ -410,7 +415,7 @@ def with_spans(docs: DataFrame, form: Form) -> DataFrame:
         raise ValueError("windows of up to 255 units, with seeds at most 127 shorter")
     spark = docs.sparkSession
     keyed = docs.withColumn("th", F.hash("text"))
-    nb = parts_for(spark, text_bytes(docs), 16 << 20)
+    nb = min(parts_for(spark, text_bytes(docs), PART_BYTES), MOST_PARTS)
     of_documents = lambda answers: answers.repartitionById(nb, F.col("bucket")).select("blob").mapInArrow(_by_document, "doc_id long, th int, spans binary")
     sent = keyed.where("doc_id is not null and text is not null").select("doc_id", "th", "text").mapInArrow(_anchor_rows(form, nb), "bucket int, blob binary")
     joined = cut(sent.repartitionById(nb, F.col("bucket")).select("blob").mapInArrow(_join_anchors(form, nb), ANSWERS))
