@@ -5,10 +5,13 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,36 +108,98 @@ def candidate_union(hits: DataFrame, keyed: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- sparse top-k
 
 
-def char_grams(text: Column, n: int = 3) -> Column:
-    """Character n-grams of each word with one space on both sides (a word shorter than that gives itself, padded)."""
-    words = F.filter(F.split(F.lower(text), r"[ \t\n\r\f\x0B]+"), lambda w: w != "")
-    pad = lambda w: F.concat(F.lit(" "), w, F.lit(" "))
-    grams = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(pad(w)) - (n - 1), F.lit(1))), lambda i: F.substr(pad(w), i, F.lit(n)))
-    return F.flatten(F.transform(words, grams))
+def trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct character trigrams of the words, each with one space on both sides, and how often each occurs.
+
+    A trigram is the number made of its three code points, 21 bits each.
+    """
+    words = [w for w in re.split(r"[ \t\n\r\f\v]+", text.lower()) if w]
+    code = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.int64)
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    gram = (code[:-2] << 42) | (code[1:-1] << 21) | code[2:]
+    return np.unique(gram[code[1:-1] != 0x20], return_counts=True)
 
 
 def tfidf(docs: DataFrame, uid: str, text: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by, uid, gram, w): 1 + ln(tf), times smoothed idf, of unit length per document."""
-    tf = docs.select(*by, F.col(uid).alias("uid"), F.explode(char_grams(F.col(text))).alias("gram")).groupBy(*by, "uid", "gram").agg((1 + F.log(F.count("*"))).alias("tf"))
+    """(by, uid, gram, w): 1 + ln(tf) of trigrams, times smoothed idf, of unit length per document; uid is unique.
+
+    Trigrams are counted within the document's own batch, so no row per occurrence is ever made.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [trigrams(t or "") for t in batch.column("__t").to_pylist()]
+            ends = np.concatenate(([0], np.cumsum([len(g) for g, _ in found]))).astype(np.int32)
+            grams, counts = (pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([x[i] for x in found] or [np.zeros(0, np.int64)]).astype(np.int64))) for i in (0, 1))
+            yield pa.record_batch([*(batch.column(c) for c in (*by, "uid")), grams, counts], names=[*by, "uid", "g", "n"])
+
+    rows = docs.select(*by, F.col(uid).cast("long").alias("uid"), F.col(text).alias("__t"))
+    schema = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in by) + "uid long, g array<long>, n array<long>"
+    tf = rows.mapInArrow(count, schema).select(*by, "uid", F.explode(F.arrays_zip("g", "n")).alias("x")).select(*by, "uid", F.col("x.g").alias("gram"), (1 + F.log(F.col("x.n"))).alias("tf"))
     n = docs.groupBy(*by).agg(F.countDistinct(uid).alias("n_docs"))
     df = tf.groupBy(*by, "gram").agg(F.count("*").alias("df"))
     idf = (df.join(F.broadcast(n), list(by)) if by else df.crossJoin(F.broadcast(n))).select(*by, "gram", smooth_idf(F.col("df"), F.col("n_docs")).alias("idf"))  # one row for each value of by
-    w = tf.join(idf, [*by, "gram"]).withColumn("w", F.col("tf") * F.col("idf")).drop("tf", "idf")
-    norm = w.groupBy(*by, "uid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return w.join(norm, [*by, "uid"]).select(*by, "uid", "gram", (F.col("w") / F.col("norm")).alias("w"))
+    w = tf.join(idf, [*by, "gram"]).withColumn("w", F.col("tf") * F.col("idf"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*by, "uid")))
+    return w.select(*by, "uid", "gram", (F.col("w") / norm).alias("w"))
 
 
-def sparse_topk(queries: DataFrame, index: DataFrame, k: int, min_sim: float | None = None, by: tuple[str, ...] = (), exclude_self: bool = False) -> DataFrame:
+def sparse_topk(queries: DataFrame, index: DataFrame, k: int, min_sim: float | None = None, by: tuple[str, ...] = (), exclude_self: bool = False, *, query_block: int = 256, index_block: int = 1024) -> DataFrame:
     """(query, item, sim, rank): the k largest inner products of sparse rows (by, uid, gram, w); rank counts before ``min_sim``.
 
-    Exact: an inverted-index join on grams and a sum with map-side combine.  Grams of one side alone drop out in the join.
+    Exact.  Each document becomes one packed row; both sides are dealt into blocks, and each pair of blocks is a few matrix
+    products over the grams of its queries that keep k rows a query.  So no product of single grams is ever a row of a
+    shuffle: what travels is each document once per block of the other side, and k rows a query and block.
+    Pairs without a common gram don't count.
     """
-    q = queries.select(*by, F.col("uid").alias("query"), "gram", F.col("w").alias("wq"))
-    i = index.select(*by, F.col("uid").alias("item"), "gram", F.col("w").alias("wi"))
-    met = q.join(i, [*by, "gram"])
-    dots = (met.where("query <> item") if exclude_self else met).groupBy("query", "item").agg(F.sum(F.col("wq") * F.col("wi")).alias("sim"))
-    best = dots.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("sim", 9)), "item"))).where(F.col("rank") <= k)
-    return best if min_sim is None else best.where(F.col("sim") >= min_sim)
+    packed = lambda df, name, block, n_own, n_other, own, other: (
+        df.groupBy(*by, F.col("uid").alias(name))
+        .agg(F.collect_list("gram").alias(f"{name}_h"), F.collect_list(F.col("w").cast("double")).alias(f"{name}_w"))
+        .withColumn(own, F.pmod(F.xxhash64(name), F.lit(n_own)).cast("int"))
+        .withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
+        .withColumnsRenamed({c: f"{name}_{c}" for c in by})
+    )
+    n_q, n_i = (max(1, -(-df.select("uid").distinct().count() // block)) for df, block in ((queries, query_block), (index, index_block)))
+    q = packed(queries, "query", query_block, n_q, n_i, "qb", "qo")
+    i = packed(index, "item", index_block, n_i, n_q, "ib", "io")
+
+    def sides(frame: pd.DataFrame, name: str):
+        frame = frame.sort_values(name)
+        n = frame[f"{name}_h"].map(len).to_numpy()
+        return frame[name].to_numpy(), np.repeat(np.arange(len(frame)), n), np.concatenate(frame[f"{name}_h"].to_list()), np.concatenate(frame[f"{name}_w"].to_list())
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple] = []
+        if len(left) and len(right):
+            qid, q_row, q_gram, q_w = sides(left, "query")
+            iid, i_row, i_gram, i_w = sides(right, "item")
+            vocabulary = np.unique(q_gram)
+            dense_q = np.zeros((len(qid), len(vocabulary)))
+            dense_q[q_row, np.searchsorted(vocabulary, q_gram)] = q_w
+            at = np.minimum(np.searchsorted(vocabulary, i_gram), len(vocabulary) - 1)
+            known = vocabulary[at] == i_gram
+            i_row, at, i_w = i_row[known], at[known], i_w[known]
+            step = max(1, (1 << 22) // len(vocabulary))
+            sim = np.zeros((len(qid), len(iid)))
+            for lo in range(0, len(iid), step):
+                own = slice(*np.searchsorted(i_row, (lo, lo + step)))
+                part = np.zeros((min(step, len(iid) - lo), len(vocabulary)))
+                part[i_row[own] - lo, at[own]] = i_w[own]
+                sim[:, lo : lo + step] = dense_q @ part.T
+            if exclude_self:
+                sim[qid[:, None] == iid[None, :]] = 0
+            m = min(k, len(iid))
+            top = np.argsort(-np.round(sim, 9), axis=1, kind="stable")[:, :m]  # items ascend: ties go to the smaller
+            s = np.take_along_axis(sim, top, axis=1)
+            ok = s > 0
+            out = [(np.repeat(qid, m)[ok.reshape(-1)], iid[top][ok], s[ok])]
+        query, item, value = out[0] if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pd.DataFrame({"query": query, "item": item, "sim": value})
+
+    found = q.groupBy(*[f"query_{c}" for c in by], "qb", "qo").cogroup(i.groupBy(*[f"item_{c}" for c in by], "io", "ib")).applyInPandas(lambda x, y: best(x, y), "query long, item long, sim double")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("sim", 9)), "item"))).where(F.col("rank") <= k)
+    return ranked if min_sim is None else ranked.where(F.col("sim") >= min_sim)
 
 
 def row_cosine(pairs: DataFrame, rows: DataFrame, a: str = "s1_uid", b: str = "rec_uid") -> DataFrame:
