@@ -194,7 +194,7 @@ def fit(training: DataFrame, *, sample_rows: int = 4000) -> Model:
     h = F.pmod(F.xxhash64("key", F.lit(3)), F.lit(1 << 30))
     sample = training.withColumn("h", h).where(F.col("h") < F.element_at(share, F.col("lang")) * (1 << 30)).withColumn("held", F.pmod(F.xxhash64("key", F.lit(4)), F.lit(5)) == 0)
     # twice the bound at most: repeated keys draw alike
-    rows = sample.select("text", "lang", "held", "h").limit(2 * sample_rows).mapInArrow(_sampled, "lang string, at binary, n binary, held boolean, h long").collect()
+    rows = sample.select("text", "lang", "held", "h").mapInArrow(_sampled, "lang string, at binary, n binary, held boolean, h long").limit(2 * sample_rows).collect()
     rows.sort(key=lambda r: (r["h"], r["lang"], r["at"], r["n"]))
     return train([(r["lang"], r["at"], r["n"], r["held"]) for r in rows], idf)
 
