@@ -22,6 +22,8 @@ from tessera.runtime import ship
 
 #: Documents whose language is told with less confidence than this go, as do those without a letter.
 LEAST_SCORE = 0.3
+#: Words from which on a later repeat of only one or two lines goes too.
+LONG_RUN = 50
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,10 +34,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without later repeated runs of lines; what has no line left goes."""
+    """Documents without later repeated runs of three lines, or of fewer that hold 50 words; what has no line left goes."""
     ship(spark)
     carry = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    cut = line_dedup(docs, carry=carry).where("n_removed = 0 or n_removed < n_lines")
+    cut = line_dedup(docs, least=LONG_RUN, carry=carry).where("n_removed = 0 or n_removed < n_lines")
     return cut.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

@@ -10,25 +10,47 @@ from pyspark.sql import DataFrame
 
 from tessera.llm.repeats import Form, cover, with_spans
 from tessera.llm.runtime import only
-from tessera.llm.spans import Lines, as_binary
+from tessera.llm.spans import WHITE, Lines, as_binary
 from tessera.llm.substring_dedup import extend_both_ways
 
 OUT = "doc_id long, n_lines long, n_removed long, removed array<int>, kept_text string"
 
 
-def _later_runs(lines: list[bytes], run: int) -> np.ndarray:
+class LongRuns:
+    """Runs of fewer than ``run`` lines that hold at least ``least`` words."""
+
+    def __init__(self, run: int, least: int):
+        self.run, self.least = run, least
+
+    def __call__(self, lines: Lines) -> tuple[np.ndarray, np.ndarray]:
+        white = WHITE[lines.data]
+        starts = np.concatenate(([0], np.cumsum(~white & np.concatenate(([True], white[:-1])))))
+        upto = np.concatenate(([0], np.cumsum(starts[lines.end] - starts[lines.start])))
+        at, n = [], []
+        for k in range(1, self.run):
+            i = np.arange(max(0, len(lines.start) - k + 1))
+            i = i[(lines.text_of[i] == lines.text_of[i + k - 1]) & (upto[i + k] - upto[i] >= self.least)]
+            at.append(i)
+            n.append(np.full(len(i), k))
+        return np.concatenate([np.zeros(0, dtype=np.int64), *at]), np.concatenate([np.zeros(0, dtype=np.int64), *n])
+
+
+def _later_runs(lines: list[bytes], run: int, least: int | None = None) -> np.ndarray:
     """Lines of this document covered by a run whose lines also start further up in it."""
     mask = np.zeros(len(lines), dtype=bool)
     seen: set[tuple] = set()
-    for i in range(len(lines) - run + 1):
-        w = tuple(lines[i : i + run])
-        if w in seen:
-            mask[i : i + run] = True
-        seen.add(w)
+    for k in range(run if least is None else 1, run + 1):
+        for i in range(len(lines) - k + 1):
+            w = tuple(lines[i : i + k])
+            if k < run and sum(len(x.split()) for x in w) < least:
+                continue
+            if w in seen:
+                mask[i : i + k] = True
+            seen.add(w)
     return mask
 
 
-def _cut_lines(run: int, carry: list[str]):
+def _cut_lines(run: int, least: int | None, carry: list[str]):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, spans = as_binary(batch.column("text")), batch.column("spans").to_pylist()
@@ -40,8 +62,8 @@ def _cut_lines(run: int, carry: list[str]):
                 at = [j for j, x in enumerate(lines) if x.strip()]
                 n.append(len(at))
                 mask = cover(packed, len(at))
-                if len(at) > run:
-                    mask |= _later_runs([lines[j].strip() for j in at], run)
+                if len(at) > (run if least is None else 1):
+                    mask |= _later_runs([lines[j].strip() for j in at], run, least)
                 drop = {at[j] for j in np.flatnonzero(mask)}
                 gone.append(len(drop))
                 removed.append(sorted(drop))
@@ -54,9 +76,10 @@ def _cut_lines(run: int, carry: list[str]):
     return cut
 
 
-def line_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", run: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
+def line_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", run: int = 3, least: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """Removes each line covered by ``run`` consecutive lines whose sequence also starts earlier: in a document of smaller doc_id,
-    or further up in the same one.
+    or further up in the same one.  With ``least``, also each line covered by fewer lines than that which together hold at least
+    ``least`` words and start earlier in the same sense.
 
     Lines are split at \\n and compared without white space at their ends; lines without a word don't count, are passed over
     and stay.  Fingerprints are winnowed hashes of ``run - 1`` lines, of which every run holds a window minimum (``repeats``).
@@ -66,7 +89,7 @@ def line_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", r
     Null text: no lines, kept_text null.  Null doc_id: compared with itself alone.  Repeated rows of one doc_id don't
     remove each other.  Of the other columns those in ``carry`` are handed on; an empty table gives none.
     """
-    form = Form(run, run - 1, Lines, extend_both_ways)
+    form = Form(run, run - 1, Lines, extend_both_ways, more=None if least is None else LongRuns(run, least))
     rows = only(docs, doc_id, text, *carry).toDF("doc_id", "text", *carry)
     kinds = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in carry)
-    return with_spans(rows, form).mapInArrow(_cut_lines(run, list(carry)), kinds + OUT)
+    return with_spans(rows, form).mapInArrow(_cut_lines(run, least, list(carry)), kinds + OUT)

@@ -20,6 +20,9 @@ Nothing is sampled or capped.  A hot gram (a passage in a third of all documents
 context, not one per document.  If a task meets a gram in more than ``split`` different contexts, it deals those rows by gram
 and context instead, over all partitions, and tells the gram's own partition with one row; all contexts of such a gram
 are then compared window by window, dealt by the hash of the window.
+
+A form may also have units of their own (``more``): spans shorter than a window that repeat as a whole or not at all.  They
+travel as anchors whose context is the span itself, so step 2 settles them and they are never open or hot.
 """
 
 from __future__ import annotations
@@ -55,6 +58,8 @@ class Form:
     resolve: Callable
     #: Different contexts of one gram in one task from which on the gram is split over partitions.
     split: int = 64
+    #: words -> (first unit, units) of spans shorter than the window that count as repeated by themselves.
+    more: Callable | None = None
 
     @property
     def by_word(self) -> bool:
@@ -81,8 +86,9 @@ def _anchors_of(form: Form, texts: list[bytes]):
         first, total = np.concatenate(([0], np.cumsum(n)))[:-1], len(data)
         of = np.repeat(np.arange(len(texts), dtype=np.int32), n)
     none = np.zeros(0, dtype=np.int64)
+    extra = _shorter(form, words) if form.more else (none, none, none.astype(U64), none.astype(U64), none, none)
     if total < L:
-        return none, none, none.astype(U64), none.astype(U64), none, none
+        return extra
     h = SpanHash(data)
     if form.by_word:
         g = h.of(words.start[: total - k + 1], words.end[k - 1 :])
@@ -102,7 +108,17 @@ def _anchors_of(form: Form, texts: list[bytes]):
         c = h.of(words.start[lo], words.end[hi - 1])
     else:
         c = h.of(lo, hi)
-    return t, at - first[t], g[at], mix64(c + left.astype(U64) * U64(0x9E3779B97F4A7C15)), left, hi - at
+    own = t, at - first[t], g[at], mix64(c + left.astype(U64) * U64(0x9E3779B97F4A7C15)), left, hi - at
+    return tuple(np.concatenate(x) for x in zip(own, extra)) if len(extra[0]) else own
+
+
+def _shorter(form: Form, words: Words):
+    """The form's own spans as anchors: two independent hashes of the whole span, nothing before it."""
+    at, n = form.more(words)
+    to = words.end[at + n - 1]
+    g = mix64(SpanHash(words.data).of(words.start[at], to) ^ U64(0xA0761D6478BD642F))  # not the hash of an anchor of as many units
+    t = words.text_of[at]
+    return t, at - words.first[t], g, SpanHash(words.data, 1).of(words.start[at], to), np.zeros(len(at), dtype=np.int64), n
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -180,7 +196,7 @@ def _anchor_rows(form: Form, buckets: int):
             gram = np.cumsum(first) - 1
             many = np.zeros(len(g), dtype=bool)
             many[o] = (np.bincount(gram, weights=new) > form.split)[gram]
-            many &= ~known
+            many &= ~known & (left + right >= form.window)
             spread = np.where(many, mix64(g ^ (c >> U64(1))), g)
             if many.any():
                 told = np.flatnonzero(many)
@@ -289,7 +305,7 @@ def _join_anchors(form: Form, buckets: int):
         hot = np.logical_or.reduceat(hot, gram)[np.cumsum(first) - 1]
         several = (np.add.reduceat(new.astype(np.int64), gram) > 1) & (np.maximum.reduceat(doc, gram) > np.minimum.reduceat(doc, gram))
         yield from _answers(d[settled], (pos - left)[settled], (pos + right)[settled], ids, th, False, buckets)
-        wide = (several[np.cumsum(first) - 1] | hot) & ~settled
+        wide = (several[np.cumsum(first) - 1] | hot) & ~settled & (left + right >= form.window)
         # an open anchor's end also tells where in its context it stands, and whether its gram is split
         yield from _answers(d[wide], (pos - left)[wide], (pos + right + (left << 16) + HOT_SPAN * hot)[wide], ids, th, True, buckets)
 
