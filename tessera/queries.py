@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,7 +39,18 @@ def block_key_pairs(spark, sf_dir):
     return blocking.key_pairs(part_keys(spark, sf_dir), max_refs=4, max_pairs=60)
 
 
-def _price_hits(spark, sf_dir):
+@query()
+def block_key_pairs_full(spark, sf_dir):
+    """With the operator's own caps, which are the reference's."""
+    return blocking.key_pairs(part_keys(spark, sf_dir))
+
+
+#: Channel, direction and hits of each query: few, as in the SQL, and as the reference has them.
+_FEW_HITS = (("n1", "f", 2), ("n1", "r", 1), ("a1", "f", 1))
+_ALL_HITS = (("n1", "f", 20), ("n1", "r", 3), ("a1", "f", 30), ("a1", "r", 3))
+
+
+def _price_hits(spark, sf_dir, channels=_FEW_HITS):
     """Parts of one type and size with near prices, as hits of two channels in both directions."""
     from pyspark.sql import Window
 
@@ -47,10 +59,11 @@ def _price_hits(spark, sf_dir):
     sim = F.round(1 / (1 + F.abs(F.col("p_retailprice") - F.col("op"))), 9)
     near = a.join(b, ["p_type", "p_size"]).select(F.col("p_partkey").alias("s1_uid"), F.col("o").alias("rec_uid"), sim.alias("sim"))
     out = []
-    for channel, direction, key, other, k in (("n1", "f", "s1_uid", "rec_uid", 2), ("n1", "r", "rec_uid", "s1_uid", 1), ("a1", "f", "s1_uid", "rec_uid", 1)):
+    for channel, direction, k in channels:
+        key, other = ("s1_uid", "rec_uid") if direction == "f" else ("rec_uid", "s1_uid")
         r = near.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("sim"), other))).where(F.col("rank") <= k)
         out.append(r.select(F.lit(channel).alias("channel"), F.lit(direction).alias("direction"), "s1_uid", "rec_uid", "rank", "sim"))
-    return out[0].unionByName(out[1]).unionByName(out[2])
+    return reduce(DataFrame.unionByName, out)
 
 
 @query(f"""with {PART_KEYS}, {_PAIRS},
@@ -64,6 +77,12 @@ def block_mask_union(spark, sf_dir):
     return blocking.candidate_union(_price_hits(spark, sf_dir), block_key_pairs(spark, sf_dir))
 
 
+@query()
+def block_mask_union_full(spark, sf_dir):
+    """With the reference's caps of blocks and hits."""
+    return blocking.candidate_union(_price_hits(spark, sf_dir, _ALL_HITS), block_key_pairs_full(spark, sf_dir))
+
+
 def _doc_tokens(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     return d.select(F.col("doc_id").alias("uid"), F.col("lang").alias("country"), F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda t: t != "").alias("addr_tokens"))
