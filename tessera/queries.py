@@ -185,11 +185,12 @@ def row_wise_cosine(spark, sf_dir):
 
 
 def _parsed(spark, sf_dir):
-    """Documents and pages as records: first lines and hosts as names, second lines and paths as addresses."""
+    """Documents and pages as records: first lines and hosts as names, all other lines and paths as addresses."""
     from tessera.functions.parse import normalize, profile_column
 
-    line = lambda i: F.coalesce(F.get(F.split("text", "\n"), F.lit(i)), F.lit(""))
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("uid"), F.when(F.col("doc_id") % 4 == 0, 1).otherwise(2).alias("src"), F.when(F.col("lang") == "fr", "France").otherwise("US").alias("country"), F.substring(line(0), 1, 60).alias("name_raw"), F.substring(line(1), 1, 80).alias("addr_raw"))
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    name, addr = F.element_at(lines, 1), F.array_join(F.slice(lines, F.lit(2), F.size(lines)), ", ")
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("uid"), F.when(F.col("doc_id") % 4 == 0, 1).otherwise(2).alias("src"), F.when(F.col("lang") == "fr", "France").otherwise("US").alias("country"), name.alias("name_raw"), addr.alias("addr_raw"))
     p = table(spark, sf_dir, "pages").select((F.lit(1_000_000_000) + F.col("page_id")).alias("uid"), F.lit(3).alias("src"), F.lit("US").alias("country"), F.regexp_extract("url", "^https?://([^/]+)", 1).alias("name_raw"), F.regexp_replace("url", "^https?://[^/]+", "").alias("addr_raw"))
     return normalize(d.unionByName(p).withColumn("prof", profile_column(F.col("country"))))
 
@@ -212,9 +213,17 @@ def cheap_pair_features(spark, sf_dir):
     return blocking.cheap_features(pairs, norm)
 
 
+def _parsed_parts(spark, sf_dir):
+    """Parts as records of short columns: the full features compare texts in time that grows with the product of their lengths."""
+    from tessera.functions.parse import normalize, profile_column
+
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("uid"), F.when(F.col("p_partkey") % 4 == 0, 1).otherwise(2).alias("src"), F.lit("US").alias("country"), F.col("p_name").alias("name_raw"), F.concat_ws(", ", F.concat_ws(" ", "p_size", "p_type"), "p_brand").alias("addr_raw"))
+    return normalize(p.withColumn("prof", profile_column(F.col("country"))))
+
+
 @query()
 def full_pair_features(spark, sf_dir):
-    norm = _parsed(spark, sf_dir)
+    norm = _parsed_parts(spark, sf_dir)
     pairs = blocking.key_union(blocking.key_pairs(blocking.linkage_keys(norm, admin=(5, 200)))).select("s1_uid", "rec_uid")
     return compare.pair_features(pairs, norm, compare.Weights(), compare.Weights())
 
