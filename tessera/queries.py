@@ -112,6 +112,12 @@ def admin_tokens_per_record(spark, sf_dir):
     return blocking.token_classes(_doc_tokens(spark, sf_dir), admin=(30, 200)).where("kind = 'admin'").select("uid", "tok", "df")
 
 
+@query()
+def admin_tokens_full_band(spark, sf_dir):
+    """With the operator's own band, which is the reference's."""
+    return blocking.token_classes(_doc_tokens(spark, sf_dir)).where("kind = 'admin'").select("uid", "tok", "df")
+
+
 def _tfidf_sql(name: str, rows: str) -> str:
     return f"""{name}_w as (select uid, ' ' || w || ' ' as w from (select uid, unnest(regexp_split_to_array(lower(t), '[ \\t\\n\\r\\f\\v]+')) as w from ({rows})) where w <> ''),
 {name}_tf as (select uid, gram, 1 + ln(count(*)) as tf from (select uid, substr(w, i::int, 3) as gram from {name}_w, unnest(range(1, greatest(length(w) - 2, 1) + 1)) x(i)) group by 1, 2),
@@ -203,13 +209,13 @@ def parsed_records(spark, sf_dir):
 
 @query()
 def seven_key_kinds(spark, sf_dir):
-    return blocking.linkage_keys(_parsed(spark, sf_dir), admin=(5, 200))
+    return blocking.linkage_keys(_parsed(spark, sf_dir))
 
 
 @query()
 def cheap_pair_features(spark, sf_dir):
     norm = _parsed(spark, sf_dir)
-    pairs = blocking.key_union(blocking.key_pairs(blocking.linkage_keys(norm, admin=(5, 200))))
+    pairs = blocking.key_union(blocking.key_pairs(blocking.linkage_keys(norm)))
     return blocking.cheap_features(pairs, norm)
 
 
@@ -224,7 +230,7 @@ def _parsed_parts(spark, sf_dir):
 @query()
 def full_pair_features(spark, sf_dir):
     norm = _parsed_parts(spark, sf_dir)
-    pairs = blocking.key_union(blocking.key_pairs(blocking.linkage_keys(norm, admin=(5, 200)))).select("s1_uid", "rec_uid")
+    pairs = blocking.key_union(blocking.key_pairs(blocking.linkage_keys(norm))).select("s1_uid", "rec_uid")
     return compare.pair_features(pairs, norm, compare.Weights(), compare.Weights())
 
 
