@@ -169,6 +169,15 @@ def two_hop_expand(spark, sf_dir):
     return blocking.two_hop(cand, near, score="sim", confident=0.3, min_sim=0.2, max_add=4).select("s1_uid", "rec_uid", F.round("hop_sim", 6).alias("hop_sim"))
 
 
+@query()
+def two_hop_expand_full(spark, sf_dir):
+    """With the reference's ten additions; its 0.9 is a model's score and no cosine (REPLY_r01.md)."""
+    q, i = _dense(spark, sf_dir)
+    cand = blocking.dense_topk(q, i, 5).select(F.col("query").alias("s1_uid"), F.col("item").alias("rec_uid"), "sim")
+    near = blocking.dense_topk(i, i, 5, min_sim=0.2).select(F.col("query").alias("m"), F.col("item").alias("n"), F.round("sim", 9).alias("sim"))
+    return blocking.two_hop(cand, near, score="sim", confident=0.3, min_sim=0.2, max_add=10).select("s1_uid", "rec_uid", F.round("hop_sim", 6).alias("hop_sim"))
+
+
 @query(f"""with {_tfidf_sql("g", "select item_id as uid, text as t from benchmark")}, dot as (select a.uid as query, b.uid as item, sum(a.w * b.w) as sim from g a join g b using (gram) where a.uid <> b.uid group by 1, 2)
 select query, item, round(sim, 6) as sim from (select *, row_number() over (partition by query order by round(sim, 9) desc, item) as n from dot) where n = 1""")
 def reference_neighbours(spark, sf_dir):
