@@ -11,22 +11,21 @@ from tessera.runtime import cut
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for all ends of edges (u, v) of any ordered type; root is the least node of the class.
 
-    Alternating large and small stars: each round is two aggregations and two joins, checkpointed; the number of rounds grows with
-    the logarithm of the longest path.
+    Alternating stars over edges that point from the greater end u to the lesser v.  Large star: each edge's lesser end is replaced
+    by that end's own least neighbour.  Small star: all lesser neighbours of a node, and the node, point to the least of
+    them.  Each round is two aggregations and two joins and is checkpointed; the number of rounds grows with the logarithm of the
+    longest path.
     """
-    e = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    state = None
+    e = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"), F.lit(True).alias("moved")))
     while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = e.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m"))
+        large = e.join(least, "v", "left").select("u", F.coalesce("m", "v").alias("v"), F.col("m").isNotNull().alias("moved"))
         small = large.groupBy("u").agg(F.min("v").alias("m"))
-        down = large.join(small, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        e = cut(down.unionByName(small.select("u", F.col("m").alias("v"))).distinct())
-        row = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_000_007).alias("h")).first()
-        if (row["n"], row["h"]) == state:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        state = (row["n"], row["h"])
+        other = F.col("v") != F.col("m")
+        e = cut(large.join(small, "u").select(F.when(other, F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v"), (other | F.col("moved")).alias("moved")).unionByName(small.select("u", F.col("m").alias("v"), F.lit(False).alias("moved"))))
+        if not e.agg(F.max("moved").alias("moved")).first()["moved"]:
+            star = e.select(F.col("u").alias("node"), F.col("v").alias("root")).distinct()
+            return star.unionByName(star.select(F.col("root").alias("node"), "root").distinct())
 
 
 def canonical_groups(edges: DataFrame, max_group: int = 25) -> DataFrame:

@@ -10,19 +10,27 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The shared folder for cut lineage: the one that the context has, else ``spark.checkpoint.dir``, which has to be set."""
     sc = spark.sparkContext
     here = sc._jsc.sc().getCheckpointDir()
     if here.isDefined():
         return here.get()
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    sc.setCheckpointDir(folder)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows as they are now, written to the shared checkpoint folder."""
+    """The rows as they are now, written to the shared checkpoint folder.
+
+    The shuffles that made them are no longer needed and are removed at once; df itself isn't meant to be run again.
+    """
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    df._jdf.queryExecution().toRdd().cleanShuffleDependencies(False)
+    return out
 
 
 _shipped: set[str] = set()
