@@ -6,12 +6,12 @@ each chunk is looked up with each of its 4 values left out: 48 keys a document,
 At Jaccard 0.8 a place differs with probability 0.2, so more than 23 of 48 are 5.2 standard deviations away.  All 128
 values test the distance of a pair before its full sets are compared; links rest on full sets alone.
 
-Groups of copies need no pairs: equal sets are collapsed first; then each document is compared with one leader only, the
-document that heads most of its keys, and after that, in keys of many members, with the nearest by signature of a few
-leaders.  Links so found join documents into components, and only members of *different* components that still share a key
-are compared with each other, each pair once: pairs of small keys are listed, members of large keys are compared in place, in
-blocks of bounded size, and tell only the links that join components.  No pair within the distance is skipped, whatever the
-leaders were.
+Groups of copies need no pairs: equal sets are collapsed first; then each text is compared with one leader only, the one
+that heads most of its keys.  Links so found give labels by pointer jumping: equal labels are surely connected.  Only members
+of keys that still hold several labels are compared with each other, in blocks of bounded size: first by signature, which
+tells the members that have a partner at all, then, these alone, by full sets in place, telling only the links that join
+labels.  A pair is judged at the first key that it shares, so its sets travel for that key alone.  No pair within the
+distance is skipped, whatever the leaders were.
 """
 
 from __future__ import annotations
@@ -23,15 +23,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.runtime import cut, only, parts_for, release
+from tessera.llm.runtime import cut, parts_for
 from tessera.llm.spans import U64, SpanHash, Words, chunks, mix64
 from tessera.operators.graph import components
 
 PLACES, INDEXED, CHUNK = 128, 48, 4
 #: Of 128 places, at Jaccard 0.8: 25.6 differ, with a standard deviation of 4.5; 5 of these more are allowed.
 FARTHEST = 48
-#: Members of a key, and their shingles, that make a block; leaders of a block; members from which a key counts as large.
-BLOCK, BLOCK_SHINGLES, LEADERS, MANY = 2048, 2_000_000, 16, 64
+#: Members of a key, and their shingles, that make a block.
+BLOCK, BLOCK_SHINGLES = 2048, 2_000_000
+#: Groups up to this size are compared many at a time.
+SMALL = 64
 
 _MUL = mix64(np.arange(1, PLACES + 1, dtype=U64)) | U64(1)
 _XOR = mix64(np.arange(1001, PLACES + 1001, dtype=U64))
@@ -63,19 +65,25 @@ def signatures(h: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
+def _both_sums(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits that tell a text's set from others, in two halves; 0 for texts without a shingle."""
+    some, starts = n > 0, np.cumsum(n) - n
+    a, b = np.zeros(len(n), dtype=U64), np.zeros(len(n), dtype=U64)
+    if some.any():
+        a[some], b[some] = np.add.reduceat(mix64(h), starts[some]), np.add.reduceat(mix64(h ^ _XOR[0]), starts[some])
+    return a.view(np.int64), b.view(np.int64)
+
+
 def _sign(n_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (ids,), texts in chunks(batches, ["doc_id"], "text", 1 << 19):
+        for (ids, rows), texts in chunks(batches, ["doc_id", "row"], "text", 1 << 19):
             h, n = shingle_sets(texts, n_words)
             sig = np.zeros((len(texts), PLACES), dtype="<u2")
             sig[n > 0] = signatures(h, n)
-            some, starts = n > 0, np.cumsum(n) - n
-            a, b = np.zeros(len(texts), dtype=U64), np.zeros(len(texts), dtype=U64)
-            if some.any():
-                a[some], b[some] = np.add.reduceat(mix64(h), starts[some]), np.add.reduceat(mix64(h ^ _XOR[0]), starts[some])
+            a, b = _both_sums(h, n)
             yield pa.record_batch(
-                [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array([r.tobytes() for r in sig], pa.binary())],
-                names=["doc_id", "n_shingles", "s1", "s2", "sig"],
+                [pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array(n, pa.int64()), pa.array(a), pa.array(b), pa.array([r.tobytes() for r in sig], pa.binary())],
+                names=["doc_id", "row", "n_shingles", "s1", "s2", "sig"],
             )
 
     return run
@@ -134,9 +142,12 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(n_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (ids,), texts in chunks(batches, ["rep"], "text", 1 << 19):
+        for (ids, s1, s2), texts in chunks(batches, ["rep", "s1", "s2"], "text", 1 << 19):
             h, n = shingle_sets(texts, n_words)
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(h.view(np.int64)))], names=["rep", "shingles"])
+            a, b = _both_sums(h, n)
+            own = (a == np.array(s1, dtype=np.int64)) & (b == np.array(s2, dtype=np.int64))  # an id may stand for several texts
+            sets = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(h.view(np.int64)))
+            yield pa.record_batch([pa.array(ids, pa.int64()), sets], names=["rep", "shingles"]).filter(pa.array(own))
 
     return run
 
@@ -163,30 +174,6 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tupl
         yield held[: len(keys)], *held[len(keys) :], np.array([0]), np.array([len(held[0])])
 
 
-def _lead(seed: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For members of a key's block: the nearest, by signature, of its leaders in other components."""
-        for _, rep, comp, _, sig, starts, ends in _groups(batches, ["key", "i"]):
-            out: list[list[np.ndarray]] = [[], [], []]
-            for a, b in zip(starts, ends):
-                if b - a < MANY:
-                    continue
-                r, c, s = rep[a:b], comp[a:b], sig[a:b]
-                best, who = np.full(b - a, PLACES), np.zeros(b - a, dtype=np.int64)
-                for x in np.argsort(mix64(r.astype(U64) + U64(seed)), kind="stable")[:LEADERS]:
-                    far = (s != s[x]).sum(axis=1)
-                    far[c == c[x]] = PLACES
-                    closer = far < best
-                    best[closer], who[closer] = far[closer], r[x]
-                near = np.flatnonzero(best <= FARTHEST)
-                for o, v in zip(out, (r[near], who[near], best[near])):
-                    o.append(v)
-            if out[0]:
-                yield pa.record_batch([pa.array(np.concatenate(o).astype(np.int64)) for o in out], names=["rep", "leader", "far"])
-
-    return run
-
-
 def _first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The number of the first of the 48 keys that two signatures share."""
     miss = (a[:, :INDEXED] != b[:, :INDEXED]).reshape(len(a), INDEXED // CHUNK, CHUNK)
@@ -194,30 +181,50 @@ def _first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return chunk * CHUNK + miss[np.arange(len(a)), chunk].argmax(axis=1)
 
 
-def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of one small key's members in different components whose signatures are near enough, at the first key they share."""
-    for (key,), rep, comp, _, sig, starts, ends in _groups(batches, ["key"]):
-        size, pairs = ends - starts, []
-        for n in np.unique(size[size > 1]):  # groups of one size at once
+def _partners(key: int, rep, comp, side, sig, one_block: bool) -> np.ndarray:
+    """Which members of a block (or of two) have one in another component near enough whose first shared key this is."""
+    has, key = np.zeros(len(rep), dtype=bool), np.int64(key).astype(U64)
+    for x in range(len(rep) - 1):
+        y = np.flatnonzero(comp[x + 1 :] != comp[x]) + x + 1
+        if has[x]:
+            y = y[~has[y]]
+        if not one_block:
+            y = y[side[y] != side[x]]
+        y = y[(sig[y] != sig[x]).sum(axis=1) <= FARTHEST] if len(y) else y
+        if len(y):
+            y = y[keys_of(sig[x : x + 1])[0][_first_shared(sig[y], np.broadcast_to(sig[x], (len(y), PLACES)))] == key]
+            has[y] = True
+            has[x] |= len(y) > 0
+    return has
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (key, i, j): members of a block, or of two, that have a partner by signature."""
+    for (key, i, j), rep, comp, side, sig, starts, ends in _groups(batches, ["key", "i", "j"]):
+        size, has = ends - starts, np.zeros(len(rep), dtype=bool)
+        for n in np.unique(size[(size > 1) & (size <= SMALL)]):  # small groups of one size at once
+            at = starts[size == n]
             x, y = np.triu_indices(int(n), 1)
-            at = starts[size == n][:, None]
-            pairs.append(((at + x).reshape(-1), (at + y).reshape(-1)))
-        if not pairs:
-            continue
-        x, y = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
-        fit = comp[x] != comp[y]
-        x, y = x[fit], y[fit]
-        for at in range(0, len(x), 1 << 16):
-            u, v = x[at : at + (1 << 16)], y[at : at + (1 << 16)]
-            near = (sig[u] != sig[v]).sum(axis=1) <= FARTHEST
-            u, v = u[near], v[near]
-            own = keys_of(sig[u])[np.arange(len(u)), _first_shared(sig[u], sig[v])].view(np.int64) == key[u] if len(u) else np.zeros(0, dtype=bool)
-            if own.any():
-                yield pa.record_batch([pa.array(np.minimum(rep[u], rep[v])[own]), pa.array(np.maximum(rep[u], rep[v])[own])], names=["a", "b"])
+            step = max(1, (1 << 16) // len(x))
+            for lo in range(0, len(at), step):
+                own = at[lo : lo + step, None]
+                u, v = (own + x).reshape(-1), (own + y).reshape(-1)
+                fit = (comp[u] != comp[v]) & ((i[u] == j[u]) | (side[u] != side[v]))
+                u, v = u[fit], v[fit]
+                near = (sig[u] != sig[v]).sum(axis=1) <= FARTHEST
+                u, v = u[near], v[near]
+                if len(u):
+                    mine = keys_of(sig[u])[np.arange(len(u)), _first_shared(sig[u], sig[v])].view(np.int64) == key[u]
+                    has[u[mine]] = has[v[mine]] = True
+        for a, b in zip(starts[size > SMALL], ends[size > SMALL]):
+            has[a:b] = _partners(key[a], rep[a:b], comp[a:b], side[a:b], sig[a:b], i[a] == j[a])
+        at = np.flatnonzero(has)
+        if len(at):
+            yield pa.record_batch([*(pa.array(c[at]) for c in (key, i.astype(np.int32), j.astype(np.int32), rep, comp, side.astype(np.int32))), pa.array([r.tobytes() for r in sig[at]], pa.binary())], names=["key", "i", "j", "rep", "comp", "side", "sig"])
 
 
 def _settle(percent: int):
-    """Links between components within blocks of a large key: full sets are compared here, and a link that joins two components is told."""
+    """Links between components within blocks of a key: full sets are compared here, and a link that joins two components is told."""
 
     def links(key: int, rep, comp, side, sig, sets: list[np.ndarray], one_block: bool) -> list[tuple[int, int]]:
         out, comp = [], comp.copy()
@@ -267,17 +274,15 @@ def _settle(percent: int):
     return run
 
 
-def _open_members(met: DataFrame, near: DataFrame, reps: DataFrame, most: int | None = None, least: int = 2) -> DataFrame:
-    """(key, rep, comp, sig, n, blocks) of the members of keys of ``least`` to ``most`` members that still hold more than one component.
+def _open_members(met: DataFrame, near: DataFrame, reps: DataFrame) -> DataFrame:
+    """(key, rep, comp, blocks, sig) of the members of keys that still hold more than one component.
 
     blocks: so many that each has about BLOCK members and BLOCK_SHINGLES shingles at most.
     """
-    member = met.join(near.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("comp"))
-    size = member.join(reps.select("rep", "n_shingles"), "rep") if most is None else member.withColumn("n_shingles", F.lit(0))
-    keys = size.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.sum("n_shingles").alias("s")).where("lo < hi")
-    keys = keys.where(F.col("n") >= least) if most is None else keys.where(F.col("n").between(least, most))
+    member = met.select("key", "rep").join(reps.select("rep", "n_shingles"), "rep").join(near, "rep", "left").select("key", "rep", "n_shingles", F.coalesce("root", "rep").alias("comp"))
+    keys = member.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.sum("n_shingles").alias("s")).where("lo < hi")
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int")
-    return member.join(keys.select("key", blocks.alias("blocks")), "key").join(reps.select("rep", "sig"), "rep")
+    return member.drop("n_shingles").join(keys.select("key", blocks.alias("blocks")), "key").join(reps.select("rep", "sig"), "rep")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -295,57 +300,53 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _star(near: DataFrame) -> DataFrame:
-    return near.where("node <> root").select(F.col("root").alias("u"), F.col("node").alias("v"))
+def _jumped(parent: DataFrame) -> DataFrame:
+    """(rep, root) with each root replaced by its own root, where it has one."""
+    above = parent.select(F.col("rep").alias("root"), F.col("root").alias("up"))
+    return parent.join(above, "root", "left").select("rep", F.coalesce("up", "root").alias("root"))
 
 
-def near_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, leader_rounds: int = 1) -> DataFrame:
+def near_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, row: str | None = None) -> DataFrame:
     """Groups of near copies: documents are linked if 100 * |A and B| >= percent * |A or B| for their shingle sets.
 
     Words are runs of non-white characters after lower-casing A-Z; a set holds the distinct ``shingle``-word runs, or the whole
     sequence if there are fewer words.  One row per input row: doc_id, n_shingles, component_id (smallest doc_id
-    reachable over links), kept (whether it is that document).
+    reachable over links), kept (whether it is that document), group (a number of the component, null without one; it holds
+    for this result alone) and, if ``row`` names a column of integers, that column as ``row``.  Ids are integers.
 
     Null or empty text, or text without words: n_shingles 0, linked with nothing, kept.  Null doc_id: linked with
-    nothing, component_id null, kept.  Repeated rows of one document stay repeated, each with the same result.
-    Other columns are ignored; an empty table gives none.  The signature is made for ``percent`` of 80 and more.
+    nothing, component_id null, kept.  Repeated rows of one document stay repeated, each with the same result; rows of one
+    doc_id with different texts are compared like different documents.  Very long texts: whole, as sets of 64-bit hashes.
+    Documents of equal sets and pairs just at the threshold are linked.  Other columns are ignored; an empty table gives
+    none.  The signature is made for ``percent`` of 80 and more.
     """
     if percent < 80:
         raise ValueError("the signature's distance is made for 80 percent and more")
     spark = docs.sparkSession
-    docs = only(docs, doc_id, text).toDF("doc_id", "text")
-    signed = cut(docs.mapInArrow(_sign(shingle), "doc_id long, n_shingles long, s1 long, s2 long, sig binary"))
+    docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), (F.col(f"`{row}`") if row else F.lit(None)).cast("long").alias("row"))
+    signed = cut(docs.mapInArrow(_sign(shingle), "doc_id long, row long, n_shingles long, s1 long, s2 long, sig binary"))
     linked = signed.where("n_shingles > 0 and doc_id is not null")
-    reps = cut(linked.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")))
+    # one node for each distinct set; its number is fixed by the written rows
+    reps = cut(linked.groupBy("s1", "s2").agg(F.min("doc_id").alias("first_doc"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")).withColumn("rep", F.monotonically_increasing_id()))
     nb = parts_for(spark, reps.count() * INDEXED * 16, 16 << 20)
     met = cut(reps.select("rep", "sig").mapInArrow(_deal(nb), "bucket int, blob binary").repartitionById(nb, F.col("bucket")).select("blob").mapInArrow(_meet, "key long, rep long, head long"))
-    wanted = met.select("rep").distinct()
-    sets = cut(docs.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep").dropDuplicates(["rep"]).mapInArrow(_sets(shingle), "rep long, shingles array<long>"))
-    headed = met.where("rep <> head").groupBy("rep", "head").agg(F.count("*").alias("n")).groupBy("rep").agg(F.max(F.struct("n", (-F.col("head")).alias("h"))).alias("x"))
+    wanted = met.select("rep").distinct().join(reps.select("rep", "s1", "s2", F.col("first_doc").alias("doc_id")), "rep")
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).join(wanted, "doc_id").dropDuplicates(["doc_id", "rep", "th"])
+    sets = cut(texts.select("rep", "s1", "s2", "text").mapInArrow(_sets(shingle), "rep long, shingles array<long>"))
+    headed = met.where("rep <> head").repartition("rep").groupBy("rep", "head").agg(F.count("*").alias("n")).groupBy("rep").agg(F.max(F.struct("n", (-F.col("head")).alias("h"))).alias("x"))
     links = cut(_verified(headed.select((-F.col("x.h")).alias("a"), F.col("rep").alias("b")), sets, percent))
-    near = components(links.toDF("u", "v"))
-    release(spark)
+    near = cut(_jumped(_jumped(links.select(F.col("b").alias("rep"), F.col("a").alias("root")))))
+    # a row goes to every pair of blocks that its own is in
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    for turn in range(leader_rounds):
-        sided = _open_members(met, near, reps, least=MANY).select("key", block.alias("i"), "rep", "comp", F.lit(0).alias("side"), "sig")
-        led = sided.repartition(nb, "key", "i").sortWithinPartitions("key", "i").mapInArrow(_lead(turn), "rep long, leader long, far long")
-        best = led.groupBy("rep").agg(F.min(F.struct("far", "leader")).alias("x"))
-        more = cut(_verified(best.select(F.least("rep", "x.leader").alias("a"), F.greatest("rep", "x.leader").alias("b")).distinct(), sets, percent))
-        near = components(_star(near).unionByName(more.toDF("u", "v")))
-        release(spark)
-    # keys of few members: their pairs, each once, then compared
-    few = _open_members(met, near, reps, MANY - 1).select("key", "rep", "comp", F.lit(0).alias("side"), "sig")
-    rest = few.repartition(nb, "key").sortWithinPartitions("key", "rep").mapInArrow(_cross, "a long, b long").distinct()
-    # keys of many: compared in place, and told only where components join.  A row goes to every pair of blocks that its own is in
-    at = _open_members(met, near, reps, least=MANY).withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    sided = at.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "comp", F.col("own").alias("side"), "sig").join(sets, "rep")
-    joined = sided.repartition(nb, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_settle(percent), "a long, b long")
-    linked_apart = cut(_verified(rest, sets, percent))
-    release(spark)
-    more = linked_apart.unionByName(cut(joined))
-    release(spark)
-    final = components(_star(near).unionByName(more.toDF("u", "v")))
-    rep_of = reps.select("s1", "s2", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", F.coalesce("root", "rep").alias("root"))
-    out = signed.select("doc_id", "n_shingles", "s1", "s2").join(rep_of, ["s1", "s2"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("root"))).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    at = _open_members(met, near, reps).withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sided = at.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "comp", F.col("own").alias("side"), "sig")
+    partnered = sided.repartition(nb, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_candidates, "key long, i int, j int, rep long, comp long, side int, sig binary")
+    judged = partnered.join(sets, "rep").repartition(nb, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_settle(percent), "a long, b long")
+    final = components(near.select(F.col("root").alias("u"), F.col("rep").alias("v")).unionByName(judged.toDF("u", "v")))
+    roots = reps.select("s1", "s2", "first_doc", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", "first_doc", F.coalesce("root", "rep").alias("group"))
+    least = roots.groupBy("group").agg(F.min("first_doc").alias("least"))
+    out = signed.drop("sig").join(roots.join(least, "group").select("s1", "s2", "group", "least"), ["s1", "s2"], "left")
+    some = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    component = F.when(some, F.col("least")).otherwise(F.when(F.col("n_shingles") == 0, F.col("doc_id")))
+    names = ["doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), F.when(some, F.col("group")).alias("group")]
+    return out.select(*names, *(["row"] if row else []))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.runtime import cut, parts_for, release
+from tessera.llm.runtime import cut, parts_for
 from tessera.llm.spans import U64, chunks, mix64
 
 FEATURES, DIMS, BITS = 512, 4, 12
@@ -149,5 +149,4 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str | None = None, *, leng
     within = F.sum("n").over(Window.partitionBy("part").orderBy(*order)) - F.col("n")
     # one row a range partition, so the size of this broadcast is known
     at = small.withColumn("within", within).join(F.broadcast(before), "part").select("row", (F.col("before") + F.col("within")).alias("at"))
-    release(spark)
     return rows.join(at, "row").select("doc_id", "at", "width", "ids").mapInArrow(_pieces(length, total), "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")

@@ -23,8 +23,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = language_id(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
-    return out.select("doc_id", "held_out", "lang_pred", "score")
+    return language_id(_table(spark, sf_dir, "documents"))
 
 
 def op2_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +53,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup(_table(spark, sf_dir, "documents"), shingle=4, percent=80)
+    return near_dedup(_table(spark, sf_dir, "documents"), shingle=4, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

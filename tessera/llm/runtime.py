@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import gc
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.runtime import checkpoint_dir, cut
 
-__all__ = ["checkpoint_dir", "cut", "only", "parts_for", "release", "text_bytes"]
+__all__ = ["checkpoint_dir", "cut", "only", "parts_for", "text_bytes"]
 
 
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
@@ -26,8 +24,3 @@ def only(docs: DataFrame, *columns: str) -> DataFrame:
     """The named columns; with names that clash (or other columns) left behind."""
     return docs.select(*[F.col(f"`{c}`") for c in columns])
 
-
-def release(spark: SparkSession) -> None:
-    """Lets the driver free shuffle files of finished steps, which else stay until it happens to collect its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
