@@ -8,8 +8,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessera.llm.spans import as_binary
 
@@ -167,23 +169,33 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array(np.append(at, SIZE).astype(np.int32)), pa.array(np.append(df[at], rows))], names=["feature", "df"])
 
 
-def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        at_n = [counted(grams(raw.as_py().decode("utf-8", "replace"))) for raw in as_binary(batch.column("text"))]
-        yield pa.record_batch(
-            [batch.column("lang"), pa.array([a.astype("<u2").tobytes() for a, _ in at_n], pa.binary()), pa.array([n.astype("<u4").tobytes() for _, n in at_n], pa.binary()), batch.column("held"), batch.column("h")],
-            names=["lang", "at", "n", "held", "h"],
-        )
+def _sampled(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for raw in as_binary(batch.column("text")):
+                at, n = counted(grams(raw.as_py().decode("utf-8", "replace")))
+                if len(at) > most:  # the most frequent ones, ties by number
+                    own = np.sort(np.lexsort((at, -n))[:most])
+                    at, n = at[own], n[own]
+                out.append((at.astype("<u2").tobytes(), n.astype("<u4").tobytes()))
+            yield pa.record_batch(
+                [batch.column("lang"), pa.array([a for a, _ in out], pa.binary()), pa.array([n for _, n in out], pa.binary()), batch.column("held"), batch.column("h")],
+                names=["lang", "at", "n", "held", "h"],
+            )
+
+    return run
 
 
-def fit(training: DataFrame, *, sample_rows: int = 4000) -> Model:
-    """A model of training (text, lang, key): document frequencies count all its rows; the classifier is fitted on about ``sample_rows``.
+def fit(training: DataFrame, *, sample_rows: int = 4000, sample_features: int = 4096, most_langs: int = 100) -> Model:
+    """A model of training (text, lang, key): document frequencies count all its rows; the classifier is fitted on ``sample_rows``.
 
     The sample is bounded, the same share of it for each language as far as there are rows, and chosen by a hash of
-    ``key``; a fifth of it sets the temperature.
+    ``key``; a fifth of it sets the temperature.  A sampled row brings its ``sample_features`` most frequent features, 6 bytes
+    each, so the driver gets 100 MB at most; the ``most_langs`` most frequent languages (ties by code point) are learned.
     """
     training = training.where("text is not null and lang is not null")
-    counts = {r["lang"]: r["n"] for r in training.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
+    counts = {r["lang"]: r["n"] for r in training.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()}
     df = np.zeros(SIZE + 1, dtype=np.int64)
     for r in training.select("text").mapInArrow(_frequencies, "feature int, df long").groupBy("feature").agg(F.sum("df").alias("df")).collect():  # SIZE + 1 rows at most
         df[r["feature"]] = r["df"]
@@ -192,27 +204,20 @@ def fit(training: DataFrame, *, sample_rows: int = 4000) -> Model:
         return train([], idf)
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, sample_rows / len(counts) / n))])
     h = F.pmod(F.xxhash64("key", F.lit(3)), F.lit(1 << 30))
-    sample = training.withColumn("h", h).where(F.col("h") < F.element_at(share, F.col("lang")) * (1 << 30)).withColumn("held", F.pmod(F.xxhash64("key", F.lit(4)), F.lit(5)) == 0)
-    # twice the bound at most: repeated keys draw alike
-    rows = sample.select("text", "lang", "held", "h").mapInArrow(_sampled, "lang string, at binary, n binary, held boolean, h long").limit(2 * sample_rows).collect()
+    sample = training.withColumn("h", h).where(F.col("h") < F.try_element_at(share, F.col("lang")) * (1 << 30)).withColumn("held", F.pmod(F.xxhash64("key", F.lit(4)), F.lit(5)) == 0)
+    # repeated keys draw alike, so more rows than wanted may pass; the least hashes stay
+    rows = sample.select("text", "lang", "held", "h").mapInArrow(_sampled(sample_features), "lang string, at binary, n binary, held boolean, h long").orderBy("h", "lang", "at", "n").limit(sample_rows).collect()
     rows.sort(key=lambda r: (r["h"], r["lang"], r["at"], r["n"]))
     return train([(r["lang"], r["at"], r["n"], r["held"]) for r in rows], idf)
 
 
-def _predict(model: Model):
+def _predict(model: Broadcast[Model]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = model.value
         for batch in batches:
-            found = [model.predict(raw.as_py().decode("utf-8", "replace")) for raw in as_binary(batch.column("text"))]
-            names = [n for n in batch.schema.names]
-            yield pa.record_batch([*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=[*names, "lang_pred", "score"])
-
-    return run
-
-
-def _predict_only(model: Model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _predict(model)(batches):
-            yield batch.drop_columns(["text"])
+            found = [own.predict(raw.as_py().decode("utf-8", "replace")) for raw in as_binary(batch.column("text"))]
+            rest = batch.drop_columns(["text"])
+            yield pa.record_batch([*rest.columns, pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=[*rest.schema.names, "lang_pred", "score"])
 
     return run
 
@@ -222,17 +227,17 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def language_id(docs: DataFrame, *, keep_text: bool = False, sample_rows: int = 4000) -> DataFrame:
-    """Adds held_out, lang_pred and score (the calibrated probability) to doc_id, lang, source and the other columns of docs.
+def language_id(docs: DataFrame, *, carry: bool = False, **options) -> DataFrame:
+    """doc_id, held_out, lang_pred and score (the calibrated probability) of each row; with ``carry`` the whole row as a struct ``carried``.
 
     Learns only from text and non-null lang of rows that aren't ``held_out``; predictions see the text alone.  Null text or
     text without letters: ``und`` with score 0.  Ties between languages: the first by code point.  Null doc_id: learned
     from, not held out.  Repeated rows: predicted each.  Very long texts are read whole.  Without a labelled row every text
-    is ``und``; an empty table gives none.  Columns named like the added ones are replaced.
+    is ``und``; an empty table gives none.  Other columns, whatever their names, are ignored or carried.  ``options``: ``fit``.
     """
-    docs = docs.drop("held_out", "lang_pred", "score")
     learn = docs.where(~held_out()).select("text", "lang", F.coalesce(F.col("doc_id"), F.lit(-1)).alias("key"))
-    model = fit(learn, sample_rows=sample_rows)
-    marked = docs.withColumn("held_out", held_out())
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in marked.schema.fields if keep_text or f.name != "text") + ", lang_pred string, score double"
-    return marked.mapInArrow((_predict if keep_text else _predict_only)(model), schema)
+    # SIZE weights a learned language: 50 MB at most
+    model = docs.sparkSession.sparkContext.broadcast(fit(learn, **options))
+    marked = docs.select("doc_id", "text", held_out().alias("held_out"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("carried")] if carry else []))
+    out = StructType([f for f in marked.schema.fields if f.name != "text"]).add("lang_pred", "string").add("score", "double")
+    return marked.mapInArrow(_predict(model), out)

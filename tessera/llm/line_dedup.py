@@ -7,9 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessera.llm.repeats import Form, cover, with_spans
-from tessera.llm.runtime import only
 from tessera.llm.spans import WHITE, Lines, as_binary
 from tessera.llm.substring_dedup import extend_both_ways
 
@@ -50,7 +51,7 @@ def _later_runs(lines: list[bytes], run: int, least: int | None = None) -> np.nd
     return mask
 
 
-def _cut_lines(run: int, least: int | None, carry: list[str]):
+def _cut_lines(run: int, least: int | None, carry: bool):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, spans = as_binary(batch.column("text")), batch.column("spans").to_pylist()
@@ -69,8 +70,8 @@ def _cut_lines(run: int, least: int | None, carry: list[str]):
                 removed.append(sorted(drop))
                 kept.append(None if nulls[i] else t if not drop else b"\n".join([x for j, x in enumerate(lines) if j not in drop]))
             yield pa.record_batch(
-                [*(batch.column(c) for c in carry), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(removed, pa.list_(pa.int32())), pa.array(kept, pa.binary()).cast(pa.string())],
-                names=[*carry, "doc_id", "n_lines", "n_removed", "removed", "kept_text"],
+                [*([batch.column("carried")] if carry else []), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(removed, pa.list_(pa.int32())), pa.array(kept, pa.binary()).cast(pa.string())],
+                names=[*(["carried"] if carry else []), "doc_id", "n_lines", "n_removed", "removed", "kept_text"],
             )
 
     return cut
@@ -87,9 +88,13 @@ def line_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", r
     0), kept_text (other lines, as they were).
 
     Null text: no lines, kept_text null.  Null doc_id: compared with itself alone.  Repeated rows of one doc_id don't
-    remove each other.  Of the other columns those in ``carry`` are handed on; an empty table gives none.
+    remove each other.  Very long texts: whole; their runs are compared like others.  Ties: of equal runs the first by doc_id, then
+    by place, stays.  Ids are integers.  The columns in ``carry`` are handed on as fields of a struct ``carried``, so no name can clash;
+    others are ignored.  An empty table gives none.
     """
     form = Form(run, run - 1, Lines, extend_both_ways, more=None if least is None else LongRuns(run, least))
-    rows = only(docs, doc_id, text, *carry).toDF("doc_id", "text", *carry)
-    kinds = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in carry)
-    return with_spans(rows, form).mapInArrow(_cut_lines(run, least, list(carry)), kinds + OUT)
+    named = [F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")]
+    rows = docs.select(*named, *([F.struct(*[F.col(f"`{c}`") for c in carry if c != text]).alias("carried")] if carry else []))
+    kind = [f for f in rows.schema.fields if f.name == "carried"]
+    out = StructType([*kind, *StructType.fromDDL(OUT).fields])
+    return with_spans(rows, form).mapInArrow(_cut_lines(run, least, bool(carry)), out)

@@ -9,11 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.runtime import cut, only
+from tessera.llm.runtime import cut
 from tessera.llm.spans import U64, mix64
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK, FAN_IN = 4096, 256
+#: Sources up to which their rows (some 60 bytes each) are broadcast.
+MOST_BROADCAST = 100_000
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...], cap: float) -> DataFrame:
@@ -112,7 +114,8 @@ def _settle(seed: int):
 def _round(level: int, last: bool, seed: int):
     def run(table: pa.Table) -> pa.Table:
         key = table.column("row_key").to_numpy().view(U64)
-        order = np.argsort(mix64(key ^ U64(seed + level)), kind="stable")
+        # small units come last, so the one that stays open is a small one
+        order = np.lexsort((mix64(key ^ U64(seed + level)), -table.column("size").to_numpy()))
         table = table.take(pa.array(order))
         u = (mix64(key[order] + U64(977 * (seed + level) + 1)) >> U64(11)) / float(1 << 53)
         p, done = pivot(table.column("p").to_numpy(), table.column("size").to_numpy(), u, last)
@@ -121,58 +124,76 @@ def _round(level: int, last: bool, seed: int):
     return run
 
 
-def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0, seed: int = 7) -> DataFrame:
+def _by_source(rows: DataFrame, per_source: DataFrame, few: bool, how: str = "inner") -> DataFrame:
+    """rows with the columns of their source's one row.  Up to MOST_BROADCAST sources are broadcast, so no source is shuffled whole."""
+    right = per_source.withColumnRenamed("source", "s")
+    return rows.join(F.broadcast(right) if few else right, F.col("source").eqNullSafe(F.col("s")), how).drop("s")
+
+
+def _draw_keys(rows: DataFrame, seed: int) -> DataFrame:
+    """rows with ``row_key``, which names a row by its id, text and source, and equal rows by a running number as well.
+
+    Equal rows are numbered in 64 groups by ``row``, so that no number of them meets in one task.
+    """
+    same = Window.partitionBy("doc_id", "text_hash", "source", "salt").orderBy("row")
+    numbered = rows.withColumn("salt", F.pmod("row", F.lit(64))).withColumn("again", F.row_number().over(same))
+    # the first of its kind in a group keeps a name that doesn't hang on ``row``, unless its group isn't the only one
+    return numbered.withColumn("row_key", F.xxhash64("doc_id", "text_hash", "source", F.when(F.col("again") > 1, F.struct("salt", "again")), F.lit(seed))).drop("salt", "again", "text_hash")
+
+
+def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0, seed: int = 7, row: str | None = None) -> DataFrame:
     """Copies of each document so that each source's words come to its target.
 
     Returns per row: doc_id, source, size (words ``[^\\x20\\x09-\\x0D]+``), source_size, target (of the source), copies, taken (copies *
-    size).  Sources by code point, null last, weigh ``weights`` in turn.  A document gets target / source_size
-    copies on average: the whole part for sure, the rest by pivotal rounding in units of words, in blocks of some thousand
-    documents of a source, whose one residual each goes on to the next level of a tree.  Large documents are settled first and
-    what they take too much or too little is spread over the smaller ones, so that a source's words come as near to its target
-    as its small documents allow.  The draw hangs on doc_id and seed alone, so reruns agree.
-
-    Null text or no words: size 0, taken 0.  Null source: a source of its own.  Null doc_id and repeated rows are drawn like
-    others.  A source may hold any share of the rows: its blocks are separate groups.  Empty table: no rows.
+    size) and, if ``row`` names a column of integers, that column as ``row``.  Sources by code point, null last, weigh
+    ``weights`` in turn.  A document gets target / source_size copies on average: the whole part for sure, the rest by pivotal
+    rounding in units of words, in blocks of some thousand documents of a source, whose one residual each goes on to the next
+    level of a tree.  Large documents are settled first and what they take too much or too little is spread over the smaller
+    ones, so that a source's words come as near to its target as its small documents allow.  The draw hangs on doc_id, text,
+    source and seed, so reruns agree.  Ids are integers.
+
+    Null text or no words: size 0, taken 0.  Null source: a source of its own.  Null doc_id, rows of one doc_id with other texts
+    and repeated rows are drawn each by themselves.  Very long texts: whole; one that is larger than its source's target may
+    leave the source off by up to its size.  Ties: documents of equal size differ in their draw alone.  A source may hold any
+    share of the rows: its blocks are separate groups.  Other columns are ignored.  Empty table: no rows.
     """
-    sized = cut(only(docs, "doc_id", "source", "text").select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
-    goals = cut(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")).drop("rows"), weights, cap))
-    counts = sized.groupBy("source").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    goals = goals.join(counts.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumnRenamed("source", "s")
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source"), F.col("text"), (F.col(f"`{row}`") if row else F.monotonically_increasing_id()).cast("long").alias("row"))
+    words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    sized = cut(named.select("doc_id", "source", "row", F.xxhash64("text").alias("text_hash"), words.alias("size")))
+    sums = cut(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
+    known = sums.agg(F.count("*").alias("n"), F.max("blocks").alias("most")).first()
+    few = known["n"] <= MOST_BROADCAST
+    goals = _by_source(targets(sums.drop("blocks"), weights, cap), sums.select("source", "blocks"), few)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     state = (
-        sized.join(goals, F.col("source").eqNullSafe(F.col("s")))
-        .drop("s")
+        _by_source(_draw_keys(sized, seed), goals, few)
         .withColumn("whole", F.floor(rate + 1e-12).cast("int"))
         .withColumn("p", F.greatest(rate - F.col("whole"), F.lit(0.0)))
-        .withColumn("row_key", F.xxhash64("doc_id"))
         .withColumn("block", F.pmod(F.xxhash64("row_key", F.lit(seed)), F.col("blocks")).cast("int"))
     )
     state = cut(state.withColumn("fixed", (F.col("size") == 0) | (F.col("p") < 1e-12)))
-    sure = state.where("fixed").select("doc_id", "source", "size", "source_size", "target", "whole", F.lit(0.0).alias("p"))
-    columns = ["doc_id", "source", "size", "source_size", "target", "whole", "p", "row_key", "block"]
-    schema = "doc_id long, source string, size long, source_size long, target double, whole int, p double, row_key long, block int, done boolean"
+    told = ["doc_id", "row", "source", "size", "source_size", "target", "whole", "p"]
+    sure = state.where("fixed").withColumn("p", F.lit(0.0)).select(*told)
+    columns = [*told, "row_key", "block"]
+    schema = "doc_id long, row long, source string, size long, source_size long, target double, whole int, p double, row_key long, block int, done boolean"
     # documents of more than 1 / BLOCK of their source, of which there are BLOCK at most, come first
     large = F.col("size") * BLOCK > F.col("source_size")
     settled = cut(state.where("not fixed").where(large).select(*columns).groupBy("source").applyInArrow(_settle(seed), schema))
-    used = settled.groupBy("source").agg(F.sum(F.col("p") * F.col("size")).alias("used"), F.sum("size").alias("large_size")).withColumnRenamed("source", "s")
-    small = state.where("not fixed").where(~large).join(used, F.col("source").eqNullSafe(F.col("s")), "left")
+    used = settled.groupBy("source").agg(F.sum(F.col("p") * F.col("size")).alias("used"), F.sum("size").alias("large_size"))
+    small = _by_source(state.where("not fixed").where(~large), used, few, "left")
     rest = F.col("source_size") - F.coalesce("large_size", F.lit(0))
     p = (F.col("p") * F.col("source_size") - F.coalesce("used", F.lit(0.0))) / rest
-    small = cut(small.withColumn("p", F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0))).select(*columns))
-    levels = 1
-    most = (state.agg(F.max("blocks").alias("m")).first()["m"] or 1)
-    if most > 1:
-        levels += max(1, math.ceil(math.log(most, FAN_IN)))
-    left, parts = small, [sure, settled.select(*sure.columns)]
+    left, parts = small.withColumn("p", F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0))).select(*columns), [sure, settled.select(*told)]
+    levels = 1 + (max(1, math.ceil(math.log(known["most"], FAN_IN))) if (known["most"] or 1) > 1 else 0)
     for level in range(levels):
         last = level == levels - 1
         if level:
             left = left.withColumn("block", F.lit(0) if last else F.floor(F.col("block") / FAN_IN).cast("int"))
         rounded = cut(left.groupBy("source", "block").applyInArrow(_round(level, last, seed), schema))
-        parts.append(rounded.where("done").select(*sure.columns))
+        parts.append(rounded.where("done").select(*told))
         left = rounded.where("not done").select(*columns)
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)
     copies = (F.col("whole") + F.round("p").cast("int")).cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *(["row"] if row else []))
