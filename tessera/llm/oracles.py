@@ -64,29 +64,36 @@ select doc_id, coalesce(n, 0)::bigint as n_shingles, min(r)::bigint as component
 from reach left join n using (doc_id) group by doc_id, n
 """
 
-_RULES = {"symbol_share": ("n_symbols::double / nullif(word_chars, 0)", 0.05), "dup_line_share": ("n_dup_lines::double / nullif(n_lines, 0)", 0.5), "repeat_share": ("n_repeat_words::double / nullif(n_words, 0)", 0.4), "mean_word": ("word_chars::double / nullif(n_words, 0)", 12.0)}
+_RULES = {
+    "symbol_share": ("n_symbols / nullif(word_chars, 0)", "word_chars", 0.85, 6.0),
+    "dup_line_share": ("n_dup_lines / nullif(n_lines, 0)", "n_lines", 0.99, 2.0),
+    "repeat_share": ("n_repeat_words / nullif(n_words, 0)", "n_words", 0.99, 2.0),
+    "mean_word": ("word_chars / nullif(n_words, 0)", None, 0.85, 6.0),
+}
 
 
 def _quality() -> str:
     gamma = "(1.01::double / 0.99::double)"
-    rules = " union all ".join(f"select lang, source, '{r}' as rule, {v} as value from s where not base_failed" for r, (v, _) in _RULES.items())
+    rules = " union all ".join(f"select lang, source, '{r}' as rule, {v} as value from s where not base_failed" for r, (v, *_) in _RULES.items())
     levels = {2: "lang, source,", 1: "lang,", 0: ""}
+    upper, spreads = ("case rule " + " ".join(f"when '{r}' then {rule[i]}::double" for r, rule in _RULES.items()) + " end" for i in (2, 3))
     q = []
     for n, keys in levels.items():
         q.append(f"""m{n} as (select {keys} rule, bucket, sum(n) as n from fine group by {keys} rule, bucket),
 r{n} as (select *, sum(n) over (partition by {keys} rule order by bucket) as upto, sum(n) over (partition by {keys} rule) as rows_,
-         case when bucket = -1073741824 then 0.0 else 2 * pow({gamma}, bucket) / ({gamma} + 1) end as v from m{n}),
-q{n} as (select {keys} rule, max(rows_) as rows_, min(case when upto >= 0.5 * rows_ then v end) as mid, min(case when upto >= 0.75 * rows_ then v end) as high from r{n} group by {keys} rule)""")
-    fence = {n: f"mid + 6.0 * (high - mid)" for n in levels}
+         case when bucket = -1073741824 then 0.0 else pow({gamma}, bucket) * 1.000000001::double end as v from m{n}),
+q{n} as (select {keys} rule, max(rows_) as rows_, min(case when upto >= 0.5::double * rows_ then v end) as mid, min(case when upto >= ({upper})::double * rows_ then v end) as high from r{n} group by {keys} rule)""")
+    fence = f"mid + ({spreads}) * (high - mid)"
     limit = []
-    for r, (_, floor) in _RULES.items():
+    for r in _RULES:
         pick = [
-            f"(select {fence[2]} from q2 where q2.lang is not distinct from s.lang and q2.source is not distinct from s.source and rule = '{r}' and rows_ >= 50)",
-            f"(select {fence[1]} from q1 where q1.lang is not distinct from s.lang and rule = '{r}' and rows_ >= 50)",
-            f"(select {fence[0]} from q0 where rule = '{r}')",
+            f"(select {fence} from q2 where q2.lang is not distinct from s.lang and q2.source is not distinct from s.source and rule = '{r}' and rows_ >= 100)",
+            f"(select {fence} from q1 where q1.lang is not distinct from s.lang and rule = '{r}' and rows_ >= 100)",
+            f"(select {fence} from q0 where rule = '{r}')",
         ]
-        limit.append(f"greatest(coalesce({', '.join(pick)}), {floor}) as max_{r}")
-    over = {r: f"coalesce({v} > max_{r}, false)" for r, (v, _) in _RULES.items()}
+        limit.append(f"coalesce({', '.join(pick)}) as max_{r}")
+    noise = {r: f" - 3.0::double * sqrt({v} * (1 - {v}) / {among})" if among else "" for r, (v, among, *_) in _RULES.items()}
+    over = {r: f"coalesce({v}{noise[r]} > max_{r}, false)" for r, (v, *_) in _RULES.items()}
     failed = ", ".join(f"case when {x} then '{r}' end" for r, x in over.items())
     return rf"""
 with d as (select doc_id, lang, source, coalesce(text, '') as text, {_WORDS} as w from documents),
@@ -101,7 +108,7 @@ s as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_fail
 fine as (select lang, source, rule, case when value > 0 then ceil(ln(value) / ln({gamma}))::int else -1073741824 end as bucket, count(*) as n from ({rules}) where value is not null group by all),
 {', '.join(q)},
 t as (select *, {', '.join(limit)} from s)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not ({' or '.join(over.values())}) as kept, concat_ws(',', {failed}) as failed_rules from t
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not ({' or '.join(over.values())}) as kept, concat_ws(',', {failed}) as failed_rules, {', '.join(f'round(max_{r}, 6) as max_{r}' for r in _RULES)} from t
 """
 
 

@@ -57,7 +57,8 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(_table(spark, sf_dir, "documents")).withColumn("failed_rules", F.array_join("failed_rules", ","))
+    out = quality_rules(_table(spark, sf_dir, "documents")).withColumn("failed_rules", F.array_join("failed_rules", ","))
+    return out.withColumns({c: F.round(c, 6) for c in out.columns if c.startswith("max_")})
 
 
 def dated_list(pages: DataFrame) -> DataFrame:

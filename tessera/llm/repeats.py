@@ -41,7 +41,7 @@ from tessera.llm.spans import U64, SpanHash, Words, chunks, mix64, owned, winnow
 ANSWERS = "bucket int, open boolean, blob binary"
 #: Anchors that a task gathers before it deals them out; more where there are many partitions, so that each gets rows enough.
 FLUSH, MOST_FLUSH = 600_000, 12_000_000
-#: Text that makes a partition of grams, and the most partitions: beyond them partitions grow and want larger executors.
+#: Text that makes a bucket of grams, and the most partitions: beyond them a partition has several buckets, one after another.
 PART_BYTES, MOST_PARTS = 16 << 20, 100_000
 #: Marks the left size of an anchor whose gram is split, and the size of an open context of one.
 HOT, HOT_SPAN = 1 << 7, 1 << 31
@@ -242,7 +242,8 @@ def _answers(d, lo, hi, ids, th, is_open: bool, buckets: int) -> Iterator[pa.Rec
     o = np.lexsort((lo, d))
     d, lo, hi = d[o], lo[o].astype(np.int64), hi[o].astype(np.int64)
     if not is_open:
-        base = d.astype(np.int64) << 40
+        # each document's numbers lie above those of the one before
+        base = np.cumsum(np.concatenate(([0], d[1:] != d[:-1]))) * (int(hi.max()) + 1)
         reach = np.maximum.accumulate(base + hi)
         new = np.ones(len(d), dtype=bool)
         new[1:] = (base + lo)[1:] > reach[:-1]
@@ -261,11 +262,34 @@ def _answers(d, lo, hi, ids, th, is_open: bool, buckets: int) -> Iterator[pa.Rec
     yield pa.record_batch([pa.array(bucket[edges].astype(np.int32)), pa.array([is_open] * len(blobs)), pa.array(blobs, pa.binary())], names=["bucket", "open", "blob"])
 
 
-def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _each_bucket(run: Callable) -> Callable:
+    """``run`` (rows of one bucket, as tuples -> batches) for each bucket of a partition whose rows come sorted by bucket."""
+
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at = [], None
+        for batch in batches:
+            for bucket, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if bucket != at and held:
+                    yield from run(held)
+                    held = []
+                at = bucket
+                held.append(row)
+        if held:
+            yield from run(held)
+
+    return every
+
+
+def _dealt(rows: DataFrame, buckets: int) -> DataFrame:
+    """rows (bucket, ...) with each bucket in one partition, its rows together."""
+    parts = min(buckets, MOST_PARTS)
+    dealt = rows.repartitionById(parts, F.pmod("bucket", F.lit(parts)))
+    return dealt if parts == buckets else dealt.sortWithinPartitions("bucket")
+
+
+def _by_document(rows: list[list]) -> Iterator[pa.RecordBatch]:
     """One row per document with all its (start, end) pairs."""
-    parts = [_unpack(b, np.int64, np.int32, np.uint32, np.uint32, np.uint32) for batch in batches for b in batch.column("blob").to_pylist()]
-    if not parts:
-        return
+    parts = [_unpack(b, np.int64, np.int32, np.uint32, np.uint32, np.uint32) for (b,) in rows]
     ids, th, n, lo, size = (np.concatenate(x) for x in zip(*parts))
     own = np.repeat(np.arange(len(ids)), n)
     o = np.lexsort((lo, th[own], ids[own]))
@@ -276,16 +300,15 @@ def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _join_anchors(form: Form, buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(blobs: list[list]) -> Iterator[pa.RecordBatch]:
         held, known = _Gathered(), _Gathered()
-        for batch in batches:
-            for blob in batch.column("blob").to_pylist():
-                g, c, pos, left, right, d, pos_k, left_k, right_k, d_k, ids, th = _unpack(blob, *_ROW)
-                none = np.zeros(0, dtype=U64)
-                if len(c):
-                    held.add(_from_planes(g, _GRAM), c, _from_planes(pos, 4), _from_planes(d, 4), left, right, ids, th)
-                if len(left_k):
-                    known.add(none, none, _from_planes(pos_k, 4), _from_planes(d_k, 4), left_k, right_k, ids, th)
+        for (blob,) in blobs:
+            g, c, pos, left, right, d, pos_k, left_k, right_k, d_k, ids, th = _unpack(blob, *_ROW)
+            none = np.zeros(0, dtype=U64)
+            if len(c):
+                held.add(_from_planes(g, _GRAM), c, _from_planes(pos, 4), _from_planes(d, 4), left, right, ids, th)
+            if len(left_k):
+                known.add(none, none, _from_planes(pos_k, 4), _from_planes(d_k, 4), left_k, right_k, ids, th)
         if known.docs:
             _, _, pos, d, left, right, ids, th = known.all()
             left &= HOT - 1
@@ -309,7 +332,7 @@ def _join_anchors(form: Form, buckets: int):
         # an open anchor's end also tells where in its context it stands, and whether its gram is split
         yield from _answers(d[wide], (pos - left)[wide], (pos + right + (left << 16) + HOT_SPAN * hot)[wide], ids, th, True, buckets)
 
-    return run
+    return _each_bucket(run)
 
 
 # ---------------------------------------------------------------- steps 3 and 4
@@ -403,8 +426,7 @@ def _extend(form: Form, buckets: int):
     kind = np.uint64 if form.by_word else np.uint8
     width = form.window + form.reach
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(w, b) for batch in batches for w, b in zip(batch.column("windows").to_pylist(), batch.column("blob").to_pylist())]
+    def run(rows: list[list]) -> Iterator[pa.RecordBatch]:
         if windows := [b for w, b in rows if w]:
             yield from _later_windows(form, windows, buckets)
         parts = [_unpack(b, np.uint64, np.int64, np.int32, np.uint32, np.uint8, np.uint8, kind) for w, b in rows if not w]
@@ -419,7 +441,7 @@ def _extend(form: Form, buckets: int):
         own, d = np.unique(key, axis=0, return_inverse=True)
         yield from _answers(d.reshape(-1)[row], lo, lo + form.window, own[:, 0], own[:, 1].astype(np.int32), False, buckets)
 
-    return run
+    return _each_bucket(run)
 
 
 # ---------------------------------------------------------------- all
@@ -429,15 +451,14 @@ def with_spans(docs: DataFrame, form: Form) -> DataFrame:
     """docs (doc_id long, text, others) with ``spans``: packed spans of repeated units, null where there are none."""
     if form.reach >= HOT or form.window >= 1 << 8:
         raise ValueError("windows of up to 255 units, with seeds at most 127 shorter")
-    spark = docs.sparkSession
     keyed = docs.withColumn("th", F.hash("text"))
-    nb = min(parts_for(spark, text_bytes(docs), PART_BYTES), MOST_PARTS)
-    of_documents = lambda answers: answers.repartitionById(nb, F.col("bucket")).select("blob").mapInArrow(_by_document, "doc_id long, th int, spans binary")
+    nb = parts_for(docs.sparkSession, text_bytes(docs), PART_BYTES)
+    of_documents = lambda answers: _dealt(answers, nb).select("bucket", "blob").mapInArrow(_each_bucket(_by_document), "doc_id long, th int, spans binary")
     sent = keyed.where("doc_id is not null and text is not null").select("doc_id", "th", "text").mapInArrow(_anchor_rows(form, nb), "bucket int, blob binary")
-    joined = cut(sent.repartitionById(nb, F.col("bucket")).select("blob").mapInArrow(_join_anchors(form, nb), ANSWERS))
+    joined = cut(_dealt(sent, nb).mapInArrow(_join_anchors(form, nb), ANSWERS))
     opened = of_documents(joined.where("open"))
     contexts = keyed.join(opened, ["doc_id", "th"]).select("doc_id", "th", "spans", "text").mapInArrow(_contexts(form, nb), "bucket int, windows boolean, blob binary")
-    extended = cut(contexts.repartitionById(nb, F.col("bucket")).select("windows", "blob").mapInArrow(_extend(form, nb), ANSWERS))
+    extended = cut(_dealt(contexts, nb).mapInArrow(_extend(form, nb), ANSWERS))
     spans = of_documents(joined.where("not open").unionByName(extended))
     return keyed.join(spans, ["doc_id", "th"], "left").select(*docs.columns, "spans")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.runtime import checkpoint_dir, cut
 
-__all__ = ["checkpoint_dir", "cut", "only", "parts_for", "text_bytes"]
+__all__ = ["checkpoint_dir", "cut", "parts_for", "text_bytes", "texts_of"]
 
 
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
@@ -20,7 +20,7 @@ def parts_for(spark: SparkSession, size: int, each: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
 
 
-def only(docs: DataFrame, *columns: str) -> DataFrame:
-    """The named columns; with names that clash (or other columns) left behind."""
-    return docs.select(*[F.col(f"`{c}`") for c in columns])
+def texts_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id long, text) of docs; all other columns, whatever their names, are left behind."""
+    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tessera.llm.repeats import Form, cover, runs, with_spans
-from tessera.llm.runtime import only
+from tessera.llm.runtime import texts_of
 from tessera.llm.spans import Words, as_binary
 
 OUT = "doc_id long, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept_text string"
@@ -83,7 +83,8 @@ def substring_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     input row: doc_id, n_words, n_removed, spans (maximal removed runs, in words), kept_text (kept words joined by one space).
 
     Null text: no words.  Fewer words than the window: kept as they are.  Null doc_id: kept whole and never a
-    source.  Repeated rows of one doc_id don't remove each other.  Other columns are ignored, an empty table gives none.
+    source.  Repeated rows of one doc_id don't remove each other.  Very long texts: whole.  Ties: of equal windows those in the smallest doc_id stay, all of them.  Ids are
+    integers.  Other columns are ignored, an empty table gives none.
     """
     form = Form(window, seed, Words, extend_both_ways)
-    return with_spans(only(docs, doc_id, text).toDF("doc_id", "text"), form).mapInArrow(_cut_words, OUT)
+    return with_spans(texts_of(docs, doc_id, text), form).mapInArrow(_cut_words, OUT)

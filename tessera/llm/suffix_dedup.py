@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tessera.llm.repeats import Form, cover, runs, with_spans
-from tessera.llm.runtime import only
+from tessera.llm.runtime import texts_of
 from tessera.llm.spans import as_binary
 
 OUT = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept binary"
@@ -163,7 +163,8 @@ def suffix_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
     One row per input row: doc_id, n_bytes, n_removed, spans (maximal removed runs, in bytes), kept (the other bytes, which
     need not be valid UTF-8).  Null text: empty.  Null doc_id: kept whole and never a source.  Repeated rows
-    of one doc_id don't remove each other.  Other columns are ignored, an empty table gives none.
+    of one doc_id don't remove each other.  Very long texts: whole.  Ties: of equal windows those in the smallest doc_id stay, all of them.  Ids are
+    integers.  Other columns are ignored, an empty table gives none.
     """
     form = Form(window, seed, None, expand_intervals)
-    return with_spans(only(docs, doc_id, text).toDF("doc_id", "text"), form).mapInArrow(_cut_bytes, OUT)
+    return with_spans(texts_of(docs, doc_id, text), form).mapInArrow(_cut_bytes, OUT)

@@ -5,7 +5,7 @@ import pytest
 from cases import frame, odd_documents, rows_of
 from pyspark.sql import functions as F
 
-from tessera.llm.quality_rules import measured, quality_rules, quantiles, sketches
+from tessera.llm.quality_rules import measured, quality_rules, quantiles, sketches, text_stats, thresholds
 from tessera.llm.url_filters import host_of, url_filter
 from tessera.llm.vector_search import chi_square_cdf, vector_search
 
@@ -32,10 +32,40 @@ def test_adaptive_thresholds(spark):
     rows += [(500, plain(60), "en", "clean", 1, "x", 1, 1), (501, plain(60), "fr", "few", 1, "x", 1, 1), (502, "short", None, None, 1, "x", 1, 1), (503, None, "en", "clean", 1, "x", 1, 1)]
     got = {r.doc_id: r for r in quality_rules(frame(spark, rows)).collect()}
     assert all(got[i].kept for i in range(100)) and all(got[200 + i].kept for i in range(100))  # usual in this source
-    assert not got[500].kept and got[500].failed_rules == ["symbol_share"]
+    assert not got[500].kept and got[500].failed_rules == ["symbol_share", "mean_word"]
     assert got[502].base_failed and got[503].base_failed and got[503].n_words == 0
 
 
+def test_thresholds_by_group_and_fallback(spark):
+    """Large groups have their own thresholds, small ones their language's, small languages those of all; a tie is kept."""
+    rng = np.random.default_rng(4)
+    text = lambda letters: " ".join("x" * max(1, int(rng.normal(letters, 0.4))) + str(i) for i in range(60))
+    rows, n = [], 0
+    for lang, source, count, letters in (("en", "a", 120, 4), ("en", "b", 120, 7), ("en", "c", 5, 4), ("de", "a", 400, 12), ("fr", "a", 7, 4), (None, None, 3, 4)):
+        rows += [(n + i, text(letters), lang, source, 1, "x", 1, 1) for i in range(count)]
+        n += count
+    got = {(r.lang, r.source): r for r in thresholds(stats_of(spark, rows)).collect()}
+    a, b, c, fr, none = (got[k].max_mean_word for k in (("en", "a"), ("en", "b"), ("en", "c"), ("fr", "a"), (None, None)))
+    assert a < b - 2 and c not in (a, b) and fr == none and c != fr
+    tied = stats_of(spark, rows).withColumn("word_chars", F.lit(0)).withColumn("n_words", F.lit(60))
+    assert all(r.max_mean_word == 0 for r in thresholds(tied).collect())
+    kept = {r.doc_id: r for r in quality_rules(spark.createDataFrame([(i, " ".join(f"w{i:03d}{j:02d}" for j in range(60)), "en", "a") for i in range(120)], "doc_id long, text string, lang string, source string")).collect()}
+    assert all(r.kept for r in kept.values())  # every text ties with its threshold
+
+
+def stats_of(spark, rows):
+    return text_stats(frame(spark, rows).select("doc_id", "lang", "source", "text")).withColumn("base_failed", F.lit(False))
+
+
+def test_clashing_names(spark):
+    """Input columns named like the operator's own."""
+    df = frame(spark)
+    for c in ("n_words", "base_failed", "kept", "failed_rules", "max_mean_word", "t_lang", "rule", "bucket"):
+        df = df.withColumn(c, F.lit("q"))
+    plain = rows_of(quality_rules(frame(spark)), "doc_id", "n_words", "kept")
+    assert rows_of(quality_rules(df), "doc_id", "n_words", "kept") == plain
+
+
 def test_odd_rows(spark):
     rows = odd_documents()
     got = rows_of(quality_rules(frame(spark)), "doc_id", "n_words", "base_failed")

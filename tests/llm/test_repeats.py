@@ -2,8 +2,9 @@ import numpy as np
 import pytest
 from cases import covered, frame, odd_documents, rows_of
 
+from tessera.llm import repeats
 from tessera.llm.line_dedup import line_dedup
-from tessera.llm.repeats import Form, with_spans
+from tessera.llm.repeats import Form, _answers, _unpack, with_spans
 from tessera.llm.spans import SpanHash, Words, owned, winnowed
 from tessera.llm.substring_dedup import OUT, _cut_words, extend_both_ways, substring_dedup
 from tessera.llm.suffix_dedup import END, SEP, _cut_bytes, expand_intervals, repeated_intervals, suffix_dedup
@@ -91,3 +92,30 @@ def test_span_hash_is_content():
     data = np.frombuffer(b"abcabcabd", dtype=np.uint8)
     h = SpanHash(data).of(np.array([0, 3, 6]), np.array([3, 6, 9]))
     assert h[0] == h[1] != h[2]
+
+
+def test_answers_of_many_documents():
+    """Spans of documents far behind in a partition stay apart, as do those of neighbours in a long text."""
+    for base in (0, (1 << 23) - 1, 1 << 24):
+        n = base + 4
+        ids, th = np.arange(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+        d = np.array([base, base, base + 1, base + 2, base + 3])
+        lo, hi = np.array([5, 9, 3, 1 << 31, 0]), np.array([10, 20, 8, (1 << 31) + 7, 2])
+        got = {}
+        for batch in _answers(d, lo, hi, ids, th, False, 3):
+            for blob in batch.column("blob").to_pylist():
+                own, _, count, at, size = _unpack(blob, np.int64, np.int32, np.uint32, np.uint32, np.uint32)
+                for i, x, y in zip(np.repeat(own, count).tolist(), at.tolist(), size.tolist()):
+                    got.setdefault(i - base, []).append((x, x + y))
+        assert got == {0: [(5, 20)], 1: [(3, 8)], 2: [(1 << 31, (1 << 31) + 7)], 3: [(0, 2)]}
+
+
+def test_several_buckets_in_a_partition(spark, monkeypatch):
+    """Where there are more buckets than partitions, each is worked off by itself."""
+    monkeypatch.setattr(repeats, "PART_BYTES", 512)
+    monkeypatch.setattr(repeats, "MOST_PARTS", 3)
+    rows = odd_documents(8)
+    got = rows_of(substring_dedup(frame(spark, rows)), "doc_id", "n_words", "n_removed", "kept_text")
+    assert got == sorted(((d, n, m, k.decode()) for d, n, m, k in covered(rows, bytes.split, 50, b" ")), key=repr)
+    got = [(d, n, m, bytes(k)) for d, n, m, k in rows_of(suffix_dedup(frame(spark, rows)), "doc_id", "n_bytes", "n_removed", "kept")]
+    assert sorted(got, key=repr) == sorted(covered(rows, lambda t: t, 50, b""), key=repr)
