@@ -39,7 +39,7 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vector_search(_table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0, k=20)
+    return vector_search(_table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0, k=20).select("query_id", "rank", "vec_id", "score")
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

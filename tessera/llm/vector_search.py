@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -12,20 +13,48 @@ from pyspark.sql import functions as F
 
 from tessera.llm.runtime import cut
 
-#: Directions of the projection, points of a bucket of a local tree, points of a leaf of the global tree and most leaves.
-DIMS, BUCKET, LEAF, MOST_LEAVES = 8, 64, 8192, 1 << 14
-#: Rows that the global tree's split values are learned from: the documented bound of the index sample.
+#: Numbers of directions to choose from; share of the points that a query may be expected to verify before more are taken.
+DIMS, SHARE = (8, 16, 24, 32, 48), 0.15
+#: Points of a bucket of a local tree, points of a leaf, queries that are searched in a leaf at a time.
+BUCKET, LEAF, ASKED = 64, 8192, 8192
+#: Rows that split values and the number of directions are learned from: the documented bound of the index sample.
 SAMPLE_ROWS = 20_000
 
 
-def chi_square_cdf(x: np.ndarray, dims: int) -> np.ndarray:
-    """Of an even number of degrees of freedom, in closed form."""
-    half = np.minimum(np.asarray(x, dtype=float) / 2, 700.0)
-    term, total = np.ones_like(half), np.ones_like(half)
-    for i in range(1, dims // 2):
-        term = term * half / i
-        total = total + term
-    return 1 - np.exp(-half) * total
+@lru_cache(maxsize=64)
+def _law(dims: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distribution of A / (A + B), A and B chi-square variables of dims and width - dims degrees of freedom: values, odds.
+
+    That is the share of a vector's squared length that falls into ``dims`` random orthonormal directions of ``width``.
+    """
+    t = (np.arange(40_000) + 0.5) / 40_000
+    density = (dims / 2 - 1) * np.log(t) + ((width - dims) / 2 - 1) * np.log1p(-t)
+    density = np.exp(density - density.max())
+    return t, np.cumsum(density) / density.sum()
+
+
+def odds_within(share: np.ndarray, dims: int, width: int) -> np.ndarray:
+    """The probability that at most this share of a squared length falls into the directions."""
+    return np.interp(share, *_law(dims, width), left=0.0, right=1.0)
+
+
+def stopping_share(dims: int, width: int, sure: float) -> float:
+    """The share that isn't exceeded with probability ``sure``: beyond it, times a squared distance, a nearer point would have been met."""
+    t, p = _law(dims, width)
+    return float(t[min(int(np.searchsorted(p, sure)), len(t) - 1)])
+
+
+def directions_for(sample: np.ndarray, k: int, sure: float) -> int:
+    """The least number of directions with which a query of the sample is expected to verify at most SHARE of the points."""
+    width = sample.shape[1]
+    able = [m for m in DIMS if 2 * m <= width] or [max(1, width // 2)]
+    if len(sample) <= k + 1:
+        return able[0]
+    q = sample[:: max(1, len(sample) // 200)]
+    far = np.maximum((q * q).sum(axis=1)[:, None] + (sample * sample).sum(axis=1)[None] - 2 * q @ sample.T, 0.0)
+    kth = np.partition(far, k, axis=1)[:, k : k + 1]
+    expected = [float(odds_within(stopping_share(m, width, sure) * kth / np.maximum(far, 1e-300), m, width).mean()) for m in able]
+    return next((m for m, e in zip(able, expected) if e <= SHARE), able[int(np.argmin(expected))])
 
 
 def lifted(x: np.ndarray, most: float) -> np.ndarray:
@@ -33,19 +62,20 @@ def lifted(x: np.ndarray, most: float) -> np.ndarray:
     return np.concatenate([x, np.sqrt(np.maximum(most * most - (x * x).sum(axis=1), 0.0))[:, None]], axis=1)
 
 
-def directions(width: int) -> np.ndarray:
-    return np.random.default_rng(40).standard_normal((width, DIMS))
+def directions(width: int, dims: int) -> np.ndarray:
+    """Gaussian (2-stable) directions, made orthonormal."""
+    return np.linalg.qr(np.random.default_rng(40).standard_normal((width, dims)))[0]
 
 
 class Splits:
     """The upper levels of a kd-tree: each split is at the median of a sample, cyclic in the directions."""
 
     def __init__(self, sample: np.ndarray, leaves: int):
-        self.levels = max(0, (max(1, leaves) - 1).bit_length())
+        self.dims, self.levels = sample.shape[1], max(0, (max(1, leaves) - 1).bit_length())
         parts, self.at = [sample], []
-        lo, hi = [np.full(DIMS, -np.inf)], [np.full(DIMS, np.inf)]
+        lo, hi = [np.full(self.dims, -np.inf)], [np.full(self.dims, np.inf)]
         for level in range(self.levels):
-            axis, values, next_parts, nlo, nhi = level % DIMS, [], [], [], []
+            axis, values, next_parts, nlo, nhi = level % self.dims, [], [], [], []
             for p, a, b in zip(parts, lo, hi):
                 v = float(np.median(p[:, axis])) if len(p) else 0.0
                 values.append(v)
@@ -61,7 +91,7 @@ class Splits:
     def leaf(self, p: np.ndarray) -> np.ndarray:
         node = np.zeros(len(p), dtype=np.int64)
         for level, values in enumerate(self.at):
-            node = 2 * node + (p[:, level % DIMS] > values[node])
+            node = 2 * node + (p[:, level % self.dims] > values[node])
         return node
 
     def nearness(self, p: np.ndarray) -> np.ndarray:
@@ -74,50 +104,76 @@ class Tree:
     """A local kd-tree over projected points: buckets of about BUCKET points with their bounding boxes."""
 
     def __init__(self, p: np.ndarray):
-        order, todo = np.arange(len(p)), [(0, len(p))]
-        self.cut: list[tuple[int, int]] = []
+        order, todo, cuts = np.arange(len(p)), [(0, len(p))], []
         while todo:
             a, b = todo.pop()
             if b - a <= BUCKET:
-                self.cut.append((a, b))
+                cuts.append((a, b))
                 continue
             own = order[a:b]
             axis = int(np.ptp(p[own], axis=0).argmax())
             m = (b - a) // 2
             order[a:b] = own[np.argpartition(p[own, axis], m)]
             todo += [(a, a + m), (a + m, b)]
-        self.order = order
-        self.lo = np.array([p[order[a:b]].min(axis=0) for a, b in self.cut])
-        self.hi = np.array([p[order[a:b]].max(axis=0) for a, b in self.cut])
-
-    def search(self, q: np.ndarray, qp: np.ndarray, x: np.ndarray, qq: float, k: int, bound: float, sure: float):
+        cuts.sort()
+        self.order, self.start = order, np.array([a for a, _ in cuts])
+        self.end = np.array([b for _, b in cuts])
+        self.p = p[order]
+        self.squares = (self.p * self.p).sum(axis=1)
+        self.lo, self.hi = np.minimum.reduceat(self.p, self.start), np.maximum.reduceat(self.p, self.start)
+
+    def _points(self, buckets: np.ndarray) -> np.ndarray:
+        n = self.end[buckets] - self.start[buckets]
+        return np.repeat(self.start[buckets] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum()))
+
+    def search(self, q: np.ndarray, qp: np.ndarray, x: np.ndarray, qq: float, k: int, bound: float, stop: float):
         """The k largest inner products with q found among x: (rows, inner products, points verified).
 
-        Buckets come by growing projected distance.  A point at true distance d has a projected squared distance of d * d times
-        a chi-square variable; the search stops when a point as near as the k-th best so far would, with probability
-        ``sure``, have been met before the next bucket.  ``bound``: squared distance of a k-th best known beforehand.
+        Points come by growing projected distance: buckets are opened while their boxes are within reach, and the points
+        of open buckets are verified one after another.  A point at squared distance d has a projected one of d times the
+        share of ``_law``; the search stops when a point as near as the k-th best so far would surely have been met, at ``stop``
+        times its squared distance.  ``bound``: squared distance of a k-th best known beforehand.
         """
         gap = np.maximum(np.maximum(self.lo - qp, qp - self.hi), 0.0)
-        far = (gap * gap).sum(axis=1)
-        by = np.argsort(far, kind="stable")
-        rows, got = np.zeros(0, dtype=np.int64), np.zeros(0)
-        at, step, seen = 0, 2, 0
-        while at < len(by):
-            if np.isfinite(bound) and chi_square_cdf(far[by[at]] / max(bound, 1e-300), DIMS) >= sure:
-                break
-            own = np.concatenate([self.order[slice(*self.cut[i])] for i in by[at : at + step]])
-            at, step, seen = at + step, 2 * step, seen + len(own)
-            rows, got = np.concatenate((rows, own)), np.concatenate((got, x[own] @ q))
+        reach = (gap * gap).sum(axis=1)
+        by = np.argsort(reach, kind="stable")
+        size = (self.end - self.start)[by]
+        opened, at = 0, np.zeros(0, dtype=np.int64)
+        rows, got, seen = np.zeros(0, dtype=np.int64), np.zeros(0), 0
+
+        def verify(at: np.ndarray) -> None:
+            nonlocal rows, got, seen, bound
+            own = self.order[at]
+            rows, got, seen = np.concatenate((rows, own)), np.concatenate((got, x[own] @ q)), seen + len(own)
             if len(got) > k:
                 top = np.argpartition(-got, k - 1)[:k]
                 rows, got = rows[top], got[top]
             if len(got) >= k:
                 bound = min(bound, max(qq - 2 * float(got.min()), 0.0))
+
+        def far(at: np.ndarray) -> np.ndarray:
+            return np.maximum(self.squares[at] + qp @ qp - 2 * (self.p[at] @ qp), 0.0)
+
+        if not np.isfinite(bound):  # the first buckets tell how near the k-th best is
+            opened = min(len(by), int(np.searchsorted(np.cumsum(size), k)) + 1)
+            at = self._points(by[:opened])
+            first = np.argsort(far(at), kind="stable")[:k]
+            verify(at[first])
+            at = np.delete(at, first)
+        within = int(np.searchsorted(reach[by], stop * bound)) if np.isfinite(bound) else len(by)
+        at = np.concatenate((at, self._points(by[opened : max(opened, within)])))
+        d = far(at)
+        at, d = at[d < stop * bound], d[d < stop * bound]
+        o = np.argsort(d, kind="stable")
+        at, d, lo = at[o], d[o], 0
+        while lo < len(at) and d[lo] < stop * bound:
+            verify(at[lo : lo + 2 * BUCKET])
+            lo += 2 * BUCKET
         return rows, got, seen
 
 
-def _project(width: int, most: float, splits: Splits | None):
-    d = directions(width + 1)
+def _project(width: int, most: float, dims: int, splits: Splits | None):
+    d = directions(width + 1, dims)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,68 +183,73 @@ def _project(width: int, most: float, splits: Splits | None):
             p = lifted(x, most) @ d
             leaf = splits.leaf(p) if splits else np.zeros(len(p), dtype=np.int64)
             home = splits.leaf(np.concatenate([x, np.zeros((len(x), 1))], axis=1) @ d) if splits else leaf
-            point = pa.ListArray.from_arrays(pa.array(np.arange(0, DIMS * len(p) + 1, DIMS, dtype=np.int32)), pa.array(p.reshape(-1)))
+            point = pa.ListArray.from_arrays(pa.array(np.arange(0, dims * len(p) + 1, dims, dtype=np.int32)), pa.array(p.reshape(-1)))
             yield pa.record_batch([batch.column("class"), batch.column("v"), batch.column("asked"), point, pa.array(leaf), pa.array(home)], names=["class", "v", "asked", "p", "leaf", "home"])
 
     return run
 
 
-def _search(width: int, most: float, k: int, sure: float):
-    d = directions(width + 1)
+def _search(width: int, most: float, dims: int, k: int, stop: float):
+    d = directions(width + 1, dims)
 
     def run(index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
         if len(index) and len(queries):
+            index = index.sort_values("class")
             x, p, ids = np.stack(index["v"].to_numpy()), np.stack(index["p"].to_numpy()), index["class"].to_numpy()
             tree = Tree(p)
-            for q_id, q, bound in zip(queries["class"], queries["v"], queries["bound"]):
+            for q_id, q, bound in zip(queries["query"], queries["qv"], queries["bound"]):
                 q = np.asarray(q)
                 qq = float(q @ q) + most * most
-                rows, _, _ = tree.search(q, np.append(q, 0.0) @ d, x, qq, k, float(bound), sure)
+                rows, _, seen = tree.search(q, np.append(q, 0.0) @ d, x, qq, k, float(bound), stop)
                 score = (x[rows] * q).sum(axis=1)
-                out += zip([q_id] * len(rows), ids[rows].tolist(), score.tolist(), [qq] * len(rows))
-        return pd.DataFrame(out, columns=["query", "class", "score", "qq"]).astype({"query": "int64", "class": "int64", "score": "float64", "qq": "float64"})
+                out += zip([q_id] * len(rows), ids[rows].tolist(), score.tolist(), [qq] * len(rows), [0] * len(rows))
+                out.append((q_id, None, None, qq, seen))  # how many were verified
+        kinds = {"query": "int64", "class": "Int64", "score": "float64", "qq": "float64", "seen": "int64"}
+        return pd.DataFrame(out, columns=list(kinds)).astype(kinds)
 
     return run
 
 
-def _others(splits: Splits, width: int, sure: float):
-    """Leaves, besides its home, that a query still has to visit given its k-th best distance so far."""
-    d = directions(width + 1)
+def _others(splits: Splits, width: int, dims: int, stop: float):
+    """Leaves that a query has to visit given its k-th best distance so far."""
+    d = directions(width + 1, dims)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             leaves = []
-            for q, home, bound in zip(batch.column("v").to_pylist(), batch.column("home").to_pylist(), batch.column("bound").to_pylist()):
+            for q, bound in zip(batch.column("qv").to_pylist(), batch.column("bound").to_pylist()):
                 near = splits.nearness(np.append(q, 0.0) @ d)
-                need = np.flatnonzero(chi_square_cdf(near / max(bound, 1e-300), DIMS) < sure) if np.isfinite(bound) else np.arange(len(near))
-                leaves.append(need[need != home].tolist())
-            yield pa.record_batch([batch.column("class"), batch.column("v"), batch.column("bound"), pa.array(leaves, pa.list_(pa.int64()))], names=["class", "v", "bound", "leaves"])
+                leaves.append((np.flatnonzero(near < stop * bound) if np.isfinite(bound) else np.arange(len(near))).tolist())
+            yield pa.record_batch([*batch.columns, pa.array(leaves, pa.list_(pa.int64()))], names=[*batch.schema.names, "leaves"])
 
     return run
 
 
-def vector_search(vectors: DataFrame, is_query, *, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", sure: float = 0.95) -> DataFrame:
+def vector_search(vectors: DataFrame, is_query, *, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", sure: float = 0.92) -> DataFrame:
     """For each row that ``is_query`` (a condition on vec_id) holds for: the k rows of largest inner product found, without itself.
 
-    Returns query_id, rank (from 1; ties to the smaller vec_id), vec_id, score (the inner product, in double precision).
+    Returns query_id, rank (from 1; ties to the smaller vec_id), vec_id, score (the inner product, in double precision) and
+    verified (of how many of the ``indexed`` distinct vectors the query's inner product was computed).  Ids are integers.
 
     Every row is indexed.  Equal vectors are one class that keeps its k + 1 smallest ids, which is all that a result can
-    hold.  Classes are lifted to equal length, projected by Gaussian (2-stable) directions, and dealt to leaves of a kd-tree
-    whose split values come from at most SAMPLE_ROWS rows.  A query searches its home leaf, then the leaves whose boxes the
-    chi-square test with its k-th best distance doesn't rule out; each leaf is searched through its own kd-tree, bucket by
-    bucket, until the test holds.  A smaller distance is missed with probability 1 - ``sure`` at most.
+    hold.  Classes are lifted to equal length, projected on orthonormal Gaussian (2-stable) directions, as few as a sample of
+    at most SAMPLE_ROWS rows says are enough (``directions_for``), and dealt to leaves of a kd-tree whose split values come
+    from that sample; a leaf of more than twice LEAF points is dealt at random into parts of about LEAF.  A query searches a
+    part of its home leaf, then the parts of all leaves whose boxes the chi-square test with its k-th best distance doesn't
+    rule out, ASKED queries at a time; in each, points come from a local kd-tree by growing projected distance until the test
+    holds.  A smaller distance is missed with probability 1 - ``sure`` at most.
 
     Null or zero vectors and ones with null or non-finite components take no part, nor do vectors that differ in length from the
     most common one (then the longest), nor rows with a null vec_id.  Repeated rows count once.  Fewer than k candidates: all of
     them.  Other columns are ignored; an empty table gives none.
     """
     spark = vectors.sparkSession
-    v = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v"))
+    v = vectors.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.col(f"`{embedding}`").cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     v = v.where("vec_id is not null and v is not null").where(finite & F.exists("v", lambda x: x != 0))
     widths = v.groupBy(F.size("v").alias("w")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("w")).first()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, verified long, indexed long")
     if widths is None:
         return empty
     width = int(widths["w"])
@@ -198,26 +259,45 @@ def vector_search(vectors: DataFrame, is_query, *, k: int = 20, vec_id: str = "v
     classes = few.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     classes = cut(classes.join(asked.select("v").distinct().withColumn("asked", F.lit(True)), "v", "left").select(F.element_at("ids", 1).alias("class"), "v", "ids", F.coalesce("asked", F.lit(False)).alias("asked")))
     size = classes.agg(F.count("*").alias("n"), F.sqrt(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("m")).first()
-    most, leaves = float(size["m"]), min(MOST_LEAVES, SAMPLE_ROWS // 8, -(-int(size["n"]) // LEAF))
-    splits = None
-    if leaves > 1:
-        sample = classes.where(F.pmod(F.xxhash64("class"), F.lit(1 << 30)) < int(min(1.0, SAMPLE_ROWS / size["n"]) * (1 << 30))).select("v").limit(SAMPLE_ROWS).toPandas()["v"]
-        splits = Splits(lifted(np.stack(sample.to_numpy()), most) @ directions(width + 1), leaves)
-    index = cut(classes.select("class", "v", "asked").mapInArrow(_project(width, most, splits), "class long, v array<double>, asked boolean, p array<double>, leaf long, home long"))
-    queries = index.where("asked").select("class", "v", "home")
-    points = index.select("class", "v", "p", "leaf")
-    search, schema = _search(width, most, k + 1, sure), "query long, class long, score double, qq double"
-    home = queries.withColumn("bound", F.lit(float("inf"))).withColumnRenamed("home", "leaf")
-    found = cut(points.groupBy("leaf").cogroup(home.groupBy("leaf")).applyInPandas(search, schema))
+    total, most = int(size["n"]), float(size["m"])
+    chosen = F.pmod(F.xxhash64("class"), F.lit(1 << 30))
+    sample = classes.where(chosen < int(min(1.0, SAMPLE_ROWS / total) * (1 << 30))).orderBy(chosen, "class").select("v").limit(SAMPLE_ROWS).toPandas()["v"]
+    sample = lifted(np.stack(sample.to_numpy()), most) if len(sample) else np.zeros((0, width + 1))
+    dims = directions_for(sample, k, sure)
+    stop = stopping_share(dims, width + 1, sure)
+    leaves = min(SAMPLE_ROWS // 8, -(-total // LEAF))
+    splits = Splits(sample @ directions(width + 1, dims), leaves) if leaves > 1 else None
+    index = cut(classes.select("class", "v", "asked").mapInArrow(_project(width, most, dims, splits), "class long, v array<double>, asked boolean, p array<double>, leaf long, home long"))
+    # one row a leaf, of which there are SAMPLE_ROWS / 4 at most
+    parts = cut(index.groupBy("leaf").agg(F.greatest(F.floor(F.count("*") / LEAF), F.lit(1)).cast("int").alias("parts")))
+    hashed = F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")
+    points = index.select("class", "v", "p", "leaf").join(F.broadcast(parts), "leaf").withColumn("part", hashed).drop("parts")
+    queries = index.where("asked").join(F.broadcast(parts.select(F.col("leaf").alias("home"), F.col("parts").alias("p_home"))), "home", "left")
+    own = F.pmod(F.xxhash64("class"), F.coalesce("p_home", F.lit(1))).cast("int")
+    queries = queries.select(F.col("class").alias("query"), F.col("v").alias("qv"), F.col("home").alias("home"), own.alias("own"))
+    search, schema = _search(width, most, dims, k + 1, stop), "query long, class long, score double, qq double, seen long"
+
+    def searched(visits: DataFrame) -> DataFrame:
+        """visits: query, qv, bound, leaf, part.  Where many queries visit a part, its points go to several groups of them."""
+        groups = visits.groupBy("leaf", "part").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("groups"))
+        turn = F.pmod(F.xxhash64("query", F.lit(1)), F.col("groups")).cast("int")
+        to = visits.join(groups, ["leaf", "part"]).withColumn("turn", turn).drop("groups")
+        at = points.join(groups, ["leaf", "part"]).withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).drop("groups")
+        return cut(at.groupBy("leaf", "part", "turn").cogroup(to.groupBy("leaf", "part", "turn")).applyInPandas(search, schema))
+
+    found = searched(queries.select("query", "qv", F.lit(float("inf")).alias("bound"), F.col("home").alias("leaf"), F.col("own").alias("part")))
     if splits is not None:
-        bound = found.groupBy("query").agg(F.count("*").alias("n"), F.min("score").alias("s"), F.first("qq").alias("qq")).select("query", F.when(F.col("n") > k, F.greatest(F.col("qq") - 2 * F.col("s"), F.lit(0.0))).otherwise(F.lit(float("inf"))).alias("bound"))
-        more = queries.join(bound, queries["class"] == bound["query"], "left").select("class", "v", "home", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
-        more = more.mapInArrow(_others(splits, width, sure), "class long, v array<double>, bound double, leaves array<long>").select("class", "v", "bound", F.explode("leaves").alias("leaf"))
-        found = found.unionByName(points.groupBy("leaf").cogroup(more.groupBy("leaf")).applyInPandas(search, schema))
-    best = found.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "class"))).where(F.col("n") <= k + 1).select("query", "class", "score")
+        best = found.where("class is not null").groupBy("query").agg(F.count("*").alias("n"), F.min("score").alias("s"), F.first("qq").alias("qq"))
+        bound = best.select("query", F.when(F.col("n") > k, F.greatest(F.col("qq") - 2 * F.col("s"), F.lit(0.0))).otherwise(F.lit(float("inf"))).alias("bound"))
+        more = queries.join(bound, "query", "left").select("query", "qv", "home", "own", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
+        more = more.mapInArrow(_others(splits, width, dims, stop), "query long, qv array<double>, home long, own int, bound double, leaves array<long>").withColumn("leaf", F.explode("leaves"))
+        more = more.join(F.broadcast(parts), "leaf").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("leaf <> home or part <> own")
+        found = found.unionByName(searched(more.select("query", "qv", "bound", "leaf", "part")))
+    seen = found.groupBy("query").agg(F.sum("seen").alias("verified"))
+    best = found.where("class is not null").withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "class"))).where(F.col("n") <= k + 1).select("query", "class", "score")
     listed = best.join(classes.select("class", "ids"), "class").select("query", "score", F.explode("ids").alias("vec_id"))
     listed = listed.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).where(F.col("n") <= k + 1)
-    listed = listed.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("n", "score", "vec_id"))).alias("list"))
+    listed = listed.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("n", "score", "vec_id"))).alias("list")).join(seen, "query")
     who = asked.join(classes.where("asked").select(F.col("v").alias("cv"), F.col("class").alias("query")), F.col("v") == F.col("cv")).select(F.col("vec_id").alias("query_id"), "query")
     own = who.join(listed, "query").withColumn("list", F.slice(F.filter("list", lambda x: x["vec_id"] != F.col("query_id")), 1, k))
-    return own.select("query_id", F.posexplode("list").alias("pos", "x")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), "x.vec_id", "x.score")
+    return own.select("query_id", "verified", F.posexplode("list").alias("pos", "x")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), "x.vec_id", "x.score", "verified", F.lit(total).cast("long").alias("indexed"))

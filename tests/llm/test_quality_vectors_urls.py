@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.quality_rules import measured, quality_rules, quantiles, sketches, text_stats, thresholds
 from tessera.llm.url_filters import host_of, url_filter
-from tessera.llm.vector_search import chi_square_cdf, vector_search
+from tessera.llm.vector_search import odds_within, stopping_share, vector_search
 
 
 def brute(text: str) -> tuple:
@@ -85,10 +85,35 @@ def test_sketches_merge_and_approximate(spark):
     assert whole.q == pytest.approx(np.quantile([x for _, _, x in v], 0.75, method="inverted_cdf"), rel=0.011)
 
 
-def test_chi_square():
-    x = np.random.default_rng(3).chisquare(8, 200_000)
-    for q in (2.0, 8.0, 15.0):
-        assert chi_square_cdf(np.array(q), 8) == pytest.approx((x <= q).mean(), abs=0.005)
+def test_chi_square_test():
+    """The share of a squared length in some directions, against simulated chi-square variables."""
+    rng = np.random.default_rng(3)
+    for dims, width in ((8, 65), (32, 65), (1, 3)):
+        a, b = rng.chisquare(dims, 200_000), rng.chisquare(width - dims, 200_000)
+        share = a / (a + b)
+        for q in (0.1, 0.3, 0.6):
+            assert odds_within(np.array(q), dims, width) == pytest.approx((share <= q).mean(), abs=0.006)
+        assert (share <= stopping_share(dims, width, 0.95)).mean() == pytest.approx(0.95, abs=0.005)
+
+
+def test_few_points_are_verified(spark):
+    """20,000 vectors without structure: at least 0.9 of the nearest are found by verifying less than a fifth."""
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((20_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x.astype(np.float32))], VECTORS)
+    got, verified = {}, {}
+    for r in vector_search(df, lambda i: i % 200 == 0, k=20).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+        verified[r.query_id] = r.verified / r.indexed
+    x = x.astype(np.float32).astype(float)
+    hit = 0
+    for q, found in got.items():
+        score = x @ x[q]
+        score[q] = -9
+        hit += len(found & set(np.argsort(-score)[:20].tolist()))
+    assert len(got) == 100 and hit / 2000 >= 0.9
+    assert sum(verified.values()) / 100 < 0.2
 
 
 VECTORS = "vec_id long, embedding array<float>, label int"
@@ -150,7 +175,7 @@ def test_vector_search_over_leaves(spark, monkeypatch):
 def test_vector_search_small(spark):
     assert vector_search(spark.createDataFrame([], VECTORS), lambda i: i % 20 == 0).collect() == []
     two = spark.createDataFrame([(0, [1.0, 2.0], 0), (7, [2.0, 1.0], 0)], VECTORS)
-    assert [tuple(r) for r in vector_search(two, lambda i: i % 20 == 0).collect()] == [(0, 1, 7, 4.0)]
+    assert [tuple(r) for r in vector_search(two, lambda i: i % 20 == 0).collect()] == [(0, 1, 7, 4.0, 2, 2)]
 
 
 def day(s):
@@ -173,3 +198,18 @@ def test_list_as_of_fetch(spark):
     assert url_filter(caps, entries.limit(0)).where("not kept").isEmpty()
     assert url_filter(caps.limit(0), entries).isEmpty()
     assert caps.where("id = 2").select(host_of(F.col("url")).alias("h")).first().h == "www.bad.com"
+
+
+def test_large_leaves_and_many_queries(spark, monkeypatch):
+    """Leaves beyond what the sample can split are dealt into parts, and queries of a part into groups."""
+    from tessera.llm import vector_search as module
+
+    monkeypatch.setattr(module, "LEAF", 20)
+    monkeypatch.setattr(module, "ASKED", 3)
+    monkeypatch.setattr(module, "SAMPLE_ROWS", 24)
+    rows = vectors()
+    got = {}
+    for r in vector_search(spark.createDataFrame(rows, VECTORS), lambda i: i % 20 == 0, k=20, sure=0.99).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = search(rows, 20, 20)
+    assert sum(len(got[q] & {i for _, i in w}) for q, w in want.items()) / sum(map(len, want.values())) > 0.95
