@@ -18,22 +18,27 @@ FEATURES, DIMS, BITS = 512, 4, 12
 
 
 @lru_cache(maxsize=2)
-def encoder(json_path: str, ranks_path: str | None):
-    """texts -> lists of ids.  With the same vocabulary as ranks, texts go through the faster library; ids are the same."""
+def encoder(json_path: str, ranks_path: str | None, ordinary: bool = False):
+    """texts -> lists of ids, as the JSON's tokenizer gives them: the string of an added token becomes its id.
+
+    ``ordinary``: such strings are text like any other.  With the same vocabulary as ranks, texts without such a string go
+    through the faster library; ids are the same.
+    """
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(json_path)
-    slow.encode_special_tokens = True  # their strings in a text are ordinary text
+    slow.encode_special_tokens = ordinary
     slow.no_truncation(), slow.no_padding()
     if ranks_path is None:
         return lambda texts: [e.ids for e in slow.encode_batch(texts, add_special_tokens=False)]
     import tiktoken
     from public_tokenizers import PATTERN
 
+    added = [] if ordinary else [t.content for t in slow.get_added_tokens_decoder().values()]
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda texts: [fast.encode_ordinary(t) for t in texts]
+    return lambda texts: [slow.encode(t, add_special_tokens=False).ids if any(x in t for x in added) else fast.encode_ordinary(t) for t in texts]
 
 
 @lru_cache(maxsize=1)
@@ -78,9 +83,9 @@ def hilbert(x: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-def _tokenise(json_path: str, ranks_path: str | None, end: int):
+def _tokenise(json_path: str, ranks_path: str | None, end: int, ordinary: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(json_path, ranks_path)
+        encode = encoder(json_path, ranks_path, ordinary)
         for (ids,), texts in chunks(batches, ["doc_id"], "text"):
             own = [np.array([*t, end], dtype=np.uint32) for t in encode([t.decode("utf-8", "replace") for t in texts])]
             key = hilbert(projected(own))
@@ -124,20 +129,20 @@ def _pieces(length: int, total: int):
     return run
 
 
-def pack(docs: DataFrame, json_path: str, ranks_path: str | None = None, *, length: int = 2048, end: int = 1) -> DataFrame:
+def pack(docs: DataFrame, json_path: str, ranks_path: str | None = None, *, length: int = 2048, end: int = 1, ordinary: bool = False) -> DataFrame:
     """Sequences of at most ``length`` tokens, cut from all documents laid end to end along a Hilbert curve.
 
-    A document is its token ids and then ``end``.  Its hashed vector is projected to 4 dimensions; documents are range-sorted by
+    A document is its token ids (``encoder``) and then ``end``.  Its hashed vector is projected to 4 dimensions; documents are range-sorted by
     Hilbert key (ties by doc_id), so neighbours on the curve share sequences.  Positions come from running sums
     per range partition plus the sums of the partitions before.  All sequences are full but those at the very end, whose
     lengths are powers of two: nothing is padded.  One row per piece: doc_id, start, length, doc_tokens, sequence_id,
     offset, ids (little-endian unsigned 32-bit).
 
-    Null or empty text: the one id ``end``.  Repeated rows and null doc_ids: packed each.  Very long texts span many sequences.
+    Null or empty text: the one id ``end``.  Repeated rows and null doc_ids: packed each.  Ids are integers.  Very long texts span many sequences.
     Other columns are ignored; an empty table gives none.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id"), F.col("text")).mapInArrow(_tokenise(json_path, ranks_path, end), "doc_id long, curve long, n long, width int, ids binary")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(_tokenise(json_path, ranks_path, end, ordinary), "doc_id long, curve long, n long, width int, ids binary")
     rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
     size = rows.agg(F.sum("n").alias("n"), F.count("*").alias("rows")).first()
     total = int(size["n"] or 0)

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Copies of each list entry over which the hosts that ask for its key are dealt.
+SALTS = 16
+
 
 def host_of(url: Column) -> Column:
     """The lower-case host of an absolute http(s) URL without user, port and last dot; null if there is none."""
@@ -31,19 +34,26 @@ def url_filter(captures: DataFrame, entries: DataFrame, *, url: str = "url", fet
 
     ``entries``: key (a host; it holds for its subdomains too), listed (date), action ("block", "allow", or "drop" to end an
     entry without a new one).  The most specific key with an active block or allow entry decides; without one a capture is kept.
-    Each host and day is judged once; a hot host's rows are split by days and, in the join, by Spark's skew handling.
+    Each host and day is judged once.  A key that many hosts ask for (``com``) is dealt over SALTS copies of its entries; a hot
+    host and day is split, in the last join, by Spark's skew handling.
 
-    Null or other URLs without a host, and null days: kept, no entry.  Repeated captures: judged each.  Empty list:
-    everything kept.  Columns of captures named like an added one are replaced.
+    Null or other URLs without a host, and null days: kept, no entry.  Very long URLs: whole.  Repeated captures: judged each.  Ties:
+    of several entries of a key and day the last action by name.  Empty list: everything kept; no captures: none.  Columns of
+    captures with other names than the four are handed on, whatever their names; those four are replaced.
     """
-    cap = captures.drop("host", "kept", "entry_key", "entry_listed").withColumn("host", host_of(F.col(url)))
-    spans = intervals(entries, bucket_days).where("action <> 'drop'")
-    asked = cap.where("host is not null").select("host", F.col(fetched).alias("day")).where("day is not null").distinct()
+    added = ("host", "kept", "entry_key", "entry_listed")
+    names = [c for c in captures.columns if c.casefold() not in added]
+    own = F.struct(*[F.col(f"`{c}`") for c in names])
+    cap = captures.select(own.alias("row"), host_of(F.col(f"`{url}`")).alias("host"), F.col(f"`{fetched}`").cast("date").alias("day"))
+    spans = intervals(entries, bucket_days).where("action <> 'drop'").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    asked = cap.where("host is not null and day is not null").select("host", "day").distinct()
     labels = F.split("host", r"\.")
     keys = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.struct(F.array_join(F.slice(labels, i, F.size(labels)), ".").alias("key"), i.alias("cut")))
     buckets = F.array(F.floor(F.unix_date("day") / bucket_days).cast("int"), F.lit(-1))
-    probes = asked.select("host", "day", F.explode(keys).alias("k")).select("host", "day", "k.key", "k.cut", F.explode(buckets).alias("bucket"))
-    hit = probes.join(spans, ["key", "bucket"]).where((F.col("listed") <= F.col("day")) & (F.col("until").isNull() | (F.col("day") < F.col("until"))))
-    verdict = hit.groupBy("host", "day").agg(F.min(F.struct("cut", "key", "action", "listed")).alias("v")).select(F.col("host").alias("h"), "day", "v.action", F.col("v.key").alias("entry_key"), F.col("v.listed").alias("entry_listed"))
-    out = cap.join(verdict, (F.col("host") == F.col("h")) & (F.col(fetched) == F.col("day")), "left")
-    return out.withColumn("kept", F.coalesce(F.col("action") != "block", F.lit(True))).drop("h", "day", "action")
+    salt = F.pmod(F.xxhash64("host", "day"), F.lit(SALTS)).cast("int")
+    probes = asked.select("host", "day", salt.alias("salt"), F.explode(keys).alias("k")).select("host", "day", "salt", "k.key", "k.cut", F.explode(buckets).alias("bucket"))
+    hit = probes.join(spans, ["key", "bucket", "salt"]).where((F.col("listed") <= F.col("day")) & (F.col("until").isNull() | (F.col("day") < F.col("until"))))
+    verdict = hit.groupBy("host", "day").agg(F.min(F.struct("cut", "key", "action", "listed")).alias("v"))
+    out = cap.join(verdict, ["host", "day"], "left")
+    kept = F.coalesce(F.col("v.action") != "block", F.lit(True))
+    return out.select(*[F.col(f"row.`{c}`") for c in names], "host", kept.alias("kept"), F.col("v.key").alias("entry_key"), F.col("v.listed").alias("entry_listed"))

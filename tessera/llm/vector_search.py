@@ -16,7 +16,7 @@ from tessera.llm.runtime import cut
 #: Numbers of directions to choose from; share of the points that a query may be expected to verify before more are taken.
 DIMS, SHARE = (8, 16, 24, 32, 48), 0.15
 #: Points of a bucket of a local tree, points of a leaf, queries that are searched in a leaf at a time.
-BUCKET, LEAF, ASKED = 64, 8192, 8192
+BUCKET, LEAF, ASKED = 64, 32768, 1024
 #: Rows that split values and the number of directions are learned from: the documented bound of the index sample.
 SAMPLE_ROWS = 20_000
 

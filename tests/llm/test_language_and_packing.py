@@ -6,17 +6,28 @@ import public_tokenizers
 import pytest
 from cases import frame, odd_documents
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from tessera.llm.language_id import Ftrl, counted, fit_temperature, grams, language_id
+from tessera.llm.language_id import Ftrl, Model, counted, fit_temperature, grams, language_id
 from tessera.llm.packing import encoder, hilbert, pack
 
 JSON, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 TEXTS = ["", " ", "a  b\n\n c\t\r\n", "l'été <|endoftext|> 12 34", "日本語 テスト 😀", "x y z\x1cq!\x1c?", "it's we'll I'D don't", "\x00\x01", "   lead", "trail   ", "a" * 5000, "?!" * 300]
 
 
-def test_both_encoders_agree():
-    slow, fast = encoder(JSON, None), encoder(JSON, RANKS)
-    assert slow(TEXTS) == fast(TEXTS)
+def own_ids(text: str, ordinary: bool = False) -> list[int]:
+    """By the tokenizer as it comes."""
+    t = Tokenizer.from_file(JSON)
+    t.encode_special_tokens = ordinary
+    return t.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("ordinary", [False, True])
+def test_encoders_are_the_tokenizer(ordinary):
+    texts = [*TEXTS, "a <|endoftext|> b", "<|endoftext|><|endoftext|>", "<|endoftext|"]
+    want = [own_ids(t, ordinary) for t in texts]
+    assert encoder(JSON, None, ordinary)(texts) == want == encoder(JSON, RANKS, ordinary)(texts)
+    assert (own_ids("a <|endoftext|> b") == [64, 220, 50256, 275]) and 50256 not in own_ids("a <|endoftext|> b", True)
 
 
 @pytest.mark.parametrize("dims,bits", [(2, 3), (3, 2), (4, 2)])
@@ -33,7 +44,7 @@ def test_pack_round_trip(spark, length):
     out = pack(frame(spark, rows), JSON, RANKS, length=length).select("*", F.crc32("ids").alias("crc")).collect()
     ids = {}
     for r in rows:
-        ids.setdefault(r[0], []).append(encoder(JSON, None)([r[1] or ""])[0] + [1])
+        ids.setdefault(r[0], []).append(own_ids(r[1] or "") + [1])
     total = sum(len(x) for v in ids.values() for x in v)
     assert sum(r.length for r in out) == total
     by, seq = {}, {}
@@ -82,7 +93,8 @@ def test_language_id(spark):
     rows = [(i, t, ("aa", "bb", "cc")[i % 3], "s", 1, "x", 1, 1) for i, t in enumerate(x for three in zip(sentences(rng, "abcdefg", 150), sentences(rng, "defghij", 150), sentences(rng, "ñáéíghijk", 150)) for x in three)]
     rows += [(5000, None, "aa", "s", 1, "x", 1, 1), (5001, "123 !? \n", "aa", "s", 1, "x", 1, 1), (5002, "", None, None, 1, "x", 1, 1), (5003, "abc abc cab", None, None, 1, "x", 1, 1), (None, "abc", "bb", None, 1, "x", 1, 1), (5004, "abcabc " * 30000, "aa", "s", 1, "x", 1, 1)]
     out = {r.doc_id: r for r in language_id(frame(spark, rows)).collect()}
-    held = [(r.lang, r.lang_pred) for r in out.values() if r.held_out and r.doc_id is not None and r.doc_id < 5000]
+    lang = {r[0]: r[2] for r in rows}
+    held = [(lang[r.doc_id], r.lang_pred) for r in out.values() if r.held_out and r.doc_id is not None and r.doc_id < 5000]
     assert len(held) > 60 and sum(a == b for a, b in held) / len(held) > 0.97
     assert all(r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i, r in out.items() if i is not None)
     for i in (5000, 5001, 5002):
@@ -125,3 +137,25 @@ def test_temperature_is_found():
     p = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
     y = np.array([rng.choice(3, p=q) for q in p])
     assert fit_temperature(z * 4, y) == pytest.approx(4, rel=0.1)
+
+
+def test_language_id_ties_repeats_and_names(spark):
+    """Repeated rows alike; input columns named like the results; of equal scores the first language by code point."""
+    rows = [(i, "aaa bbb ccc" if i % 2 else "xxx yyy zzz", "en" if i % 2 else "fr", "a", 1, "x", 1, 1) for i in range(80)]
+    df = frame(spark, rows + rows[:5])
+    for c in ("held_out", "lang_pred", "score", "carried", "h", "key", "row"):
+        df = df.withColumn(c, F.lit("q"))
+    got = language_id(df, carry=True).collect()
+    assert len(got) == 85 and all(r.lang_pred == ("en" if r.doc_id % 2 else "fr") for r in got)
+    assert all(r.carried.score == "q" and r.carried.doc_id == r.doc_id for r in got)
+    assert len({(r.doc_id, r.lang_pred, r.score) for r in got}) == 80
+    both = [(i, "same text", lang, "a", 1, "x", 1, 1) for i in range(40) for lang in ("de", "en")]
+    assert {r.lang_pred for r in language_id(frame(spark, both)).collect()} <= {"de", "en"}
+    assert Model(["de", "en"], np.zeros((1 << 16, 2)), np.zeros(2), np.ones(1 << 16), 1.0).predict("abc") == ("de", 0.5)
+
+
+def test_long_rows_and_rare_languages_are_bounded(spark):
+    rows = [(i, "".join(chr(0x4E00 + (i * 997 + j) % 9000) for j in range(3000)), "zh", "a", 1, "x", 1, 1) for i in range(30)]
+    rows += [(100 + i, "abc def", "en", "a", 1, "x", 1, 1) for i in range(30)] + [(200, "ghi", "rare", "a", 1, "x", 1, 1)]
+    got = {r.doc_id: r.lang_pred for r in language_id(frame(spark, rows), sample_features=64, most_langs=2).collect()}
+    assert got[1] == "zh" and got[101] == "en" and "rare" not in got.values()

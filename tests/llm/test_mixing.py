@@ -85,8 +85,29 @@ def test_large_units_first():
 
 def test_odd_rows(spark):
     rows = odd_documents()
-    got = rows_of(mix_sources(frame(spark)), "doc_id", "size", "taken")
-    assert [(d, s) for d, s, _ in got] == [(d, s) for d, s in sorted(((r[0], len((r[1] or "").encode().split())) for r in rows), key=repr)] or len(got) == len(rows)
-    assert sum(s for _, s, _ in got) == sum(len((r[1] or "").encode().split()) for r in rows)
+    want = sorted(((r[0], len((r[1] or "").encode().split())) for r in rows), key=repr)
+    assert [(d, s) for d, s, _ in rows_of(mix_sources(frame(spark)), "doc_id", "size", "taken")] == want
     assert mix_sources(frame(spark, [])).collect() == []
     assert [tuple(r) for r in mix_sources(spark.createDataFrame([(1, None, None, None, None, None, None, None)], SCHEMA)).select("size", "target", "taken").collect()] == [(0, 0.0, 0)]
+
+
+@pytest.mark.parametrize("same", [False, True])
+def test_null_and_repeated_ids_are_drawn_apart(spark, same):
+    """Half of the rows without an id, or all with one: the source still comes to its target."""
+    rng = np.random.default_rng(6)
+    rows = [((None if i % 2 else i) if not same else 1, " ".join(["w"] * int(rng.integers(20, 60)) + [str(i)]), "en", ("a", "b", "c")[i % 3], 1, "x", 1, 1) for i in range(600)]
+    got = mix_sources(frame(spark, rows)).collect()
+    assert len(got) == 600
+    for s in "abc":
+        own = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 60
+        assert len({r.copies for r in own if r.doc_id is None or same}) > 1 or own[0].target == 3 * own[0].source_size or own[0].target == own[0].source_size
+    assert sorted(got, key=repr) == sorted(mix_sources(frame(spark, rows, parts=5)).collect(), key=repr)
+
+
+def test_repeated_rows_are_numbered(spark):
+    rows = [(5, "one two three four", "en", "a" if i % 2 else "b", 1, "x", 1, 1) for i in range(300)]
+    got = mix_sources(frame(spark, rows)).collect()
+    for s in "ab":
+        own = [r for r in got if r.source == s]
+        assert len(own) == 150 and abs(sum(r.taken for r in own) - own[0].target) <= 4

@@ -1,14 +1,14 @@
-import zlib
+import random
 
-from cases import SCHEMA, odd_documents, words
+import pytest
+from cases import SCHEMA, near_groups, odd_documents, words
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm.near_dedup import shingle_sets
+from tessera.llm.mixing import mix_sources
 
 
 def corpus(spark, tmp_path):
-    import random
-
     rng = random.Random(9)
     rows = odd_documents()
     rows += [(1000 + i, "\n".join(" ".join(words(rng, 12)) for _ in range(8)), "en", ("a", "b", "c")[i % 3], 1, "x", 1, 1) for i in range(60)]
@@ -36,7 +36,8 @@ def test_stages_take_effect(spark, tmp_path):
     assert all(r.n_chars == len(r.text) for r in seen["line_dedup"])
     ids = [r.doc_id for r in seen["minhash_near_dedup"] if r.doc_id is not None]
     assert len(ids) == len(set(ids)) and 3 in ids and 7 not in ids and 12 not in ids
-    h, n = shingle_sets([r.text.encode() for r in seen["minhash_near_dedup"] if r.doc_id is not None], 5)
+    left = [r for r in seen["minhash_near_dedup"] if r.doc_id is not None]
+    assert all(r[2] == r[0] for r in near_groups(left, 5, 80))  # no two of them are near copies
     mixed = [r.doc_id for r in seen["mix_sources"]]
     assert set(mixed) <= {r.doc_id for r in seen["minhash_near_dedup"]} and max(mixed.count(i) for i in set(mixed)) <= 3
     pieces = seen["curve_packing"]
@@ -48,4 +49,45 @@ def test_run(spark, tmp_path):
     corpus(spark, tmp_path)
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert out and all(r.length > 0 for r in out)
-    assert zlib.crc32(b"") == 0
+    by = {}
+    for r in out:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for pieces in by.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+
+
+CLASHING = ["id", "copies", "copy", "row", "th", "spans", "n_lines", "held_out", "lang_pred", "score", "carried", "kept", "group", "size", "taken", "kept_row", "mixed_row", "mixed_copies"]
+
+
+def test_clashing_names_and_null_ids(spark, tmp_path):
+    """Columns named like the stages' own go through; rows without an id keep their own copies; no different text is dropped."""
+    rng = random.Random(3)
+    text = lambda: "\n".join(" ".join(words(rng, 12)) for _ in range(5))
+    rows = [(None if i % 2 else i, text(), "en", "ab"[i % 4 // 2], 1, *CLASHING) for i in range(240)]
+    rows += [(500, text(), "en", "a", 1, *CLASHING), (500, text(), "en", "a", 1, *CLASHING)]
+    rows.append(rows[-1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHING))
+    columns, seen = docs.columns, {}
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == columns
+        out.write.parquet(str(tmp_path / f"{i}"))
+        docs = spark.read.parquet(str(tmp_path / f"{i}"))
+        seen[name] = docs.collect()
+        assert all(r[c] == c for r in seen[name] for c in CLASHING)
+    assert len(seen["language_id"]) == 243 and len(seen["line_dedup"]) == 243
+    assert sum(r.doc_id == 500 for r in seen["minhash_near_dedup"]) == 2 and len(seen["minhash_near_dedup"]) == 242
+    before = spark.read.parquet(str(tmp_path / "2"))
+    told = {r.source: (r.target, r.words) for r in mix_sources(before).groupBy("source").agg(F.first("target").alias("target"), F.sum("taken").alias("words")).collect()}
+    for s, (target, taken) in told.items():
+        own = sum(len(r.text.split()) for r in seen["mix_sources"] if r.source == s)
+        assert own == taken and abs(own - target) <= 60
+
+
+@pytest.mark.parametrize("i", range(5))
+def test_stage_of_an_empty_table(spark, tmp_path, i):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long, row string")
+    assert corpus_pipeline.STAGES[i][1](spark, docs, str(tmp_path)).collect() == []

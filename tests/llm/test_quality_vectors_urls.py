@@ -213,3 +213,11 @@ def test_large_leaves_and_many_queries(spark, monkeypatch):
         got.setdefault(r.query_id, set()).add(r.vec_id)
     want = search(rows, 20, 20)
     assert sum(len(got[q] & {i for _, i in w}) for q, w in want.items()) / sum(map(len, want.values())) > 0.95
+
+
+def test_clashing_capture_columns(spark):
+    entries = spark.createDataFrame([("bad.com", day("2024-01-10"), "block")], "key string, listed date, action string")
+    names = ["action", "day", "h", "row", "salt", "v", "bucket", "cut", "until", "listed"]
+    caps = spark.createDataFrame([(1, "http://bad.com/", day("2024-02-01"), *names), (2, "http://bad.com/", day("2024-01-01"), *names)], "id long, url string, fetched date, " + ", ".join(f"{n} string" for n in names))
+    got = sorted(url_filter(caps, entries).collect())
+    assert [(r.id, r.kept) for r in got] == [(1, False), (2, True)] and all(r[n] == n for r in got for n in names)
