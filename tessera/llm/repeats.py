@@ -302,8 +302,10 @@ def _by_document(rows: list[list]) -> Iterator[pa.RecordBatch]:
 def _join_anchors(form: Form, buckets: int):
     def run(blobs: list[list]) -> Iterator[pa.RecordBatch]:
         held, known = _Gathered(), _Gathered()
-        for (blob,) in blobs:
-            g, c, pos, left, right, d, pos_k, left_k, right_k, d_k, ids, th = _unpack(blob, *_ROW)
+        blobs.reverse()
+        while blobs:  # each is let go before the next is unpacked
+            g, c, pos, left, right, d, pos_k, left_k, right_k, d_k, ids, th = _unpack(blobs.pop()[0], *_ROW)
+            c, ids, th = c.copy(), ids.copy(), th.copy()
             none = np.zeros(0, dtype=U64)
             if len(c):
                 held.add(_from_planes(g, _GRAM), c, _from_planes(pos, 4), _from_planes(d, 4), left, right, ids, th)
