@@ -42,14 +42,14 @@ def save(spark: SparkSession, b: Bundle, path: str) -> None:
     for i, k in enumerate(meta["calibrator"]["profiles"]):
         b.calibrator.models[k].write().overwrite().save(f"{path}/iso{i}")
     for name, w in (("name", b.name), ("addr", b.addr)):
-        spark.createDataFrame(list(w.idf.items()), "tok string, w double").write.mode("overwrite").parquet(f"{path}/idf_{name}")
+        w.table.write.mode("overwrite").parquet(f"{path}/idf_{name}")
     _put(spark, f"{path}/meta", meta)
 
 
 def load(spark: SparkSession, path: str) -> Bundle:
     meta = _get(spark, f"{path}/meta")
     folds = lambda m: FoldModels(m["features"], [GBTClassificationModel.load(f"{path}/{m['path']}/{i}") for i in range(m["n"])])
-    idf = lambda n: {r["tok"]: r["w"] for r in spark.read.parquet(f"{path}/idf_{n}").toLocalIterator()}
+    idf = lambda n: spark.read.parquet(f"{path}/idf_{n}")
     t = meta["tables"]
     tables = Tables(t["tokens"], t["name_short"], t["addr_short"], t["components"], {k: set(v) for k, v in t["name_affix"].items()}, {k: set(v) for k, v in t["addr_affix"].items()})
     iso = {k: IsotonicRegressionModel.load(f"{path}/iso{i}") for i, k in enumerate(meta["calibrator"]["profiles"])}

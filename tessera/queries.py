@@ -240,7 +240,8 @@ def _parsed_parts(spark, sf_dir):
 def full_pair_features(spark, sf_dir):
     norm = _parsed_parts(spark, sf_dir)
     pairs = blocking.key_union(blocking.key_pairs(blocking.linkage_keys(norm))).select("s1_uid", "rec_uid")
-    return compare.pair_features(pairs, norm, compare.Weights(), compare.Weights())
+    name, addr = (compare.token_weights(norm, F.array_distinct(c)) for c in (F.split("name_core", " "), F.col("addr_tokens")))
+    return compare.pair_features(pairs, norm, name, addr)
 
 
 @query("select time_bucket(interval '5 minutes', ts) as start, time_bucket(interval '5 minutes', ts) + interval '5 minutes' as \"end\", event_type, count(*) as n, round(sum(value), 6) as total from events group by all")
@@ -608,9 +609,8 @@ def legal_flags(spark, sf_dir):
 
 @query()
 def diff_signature(spark, sf_dir):
-    w = compare.Weights({}, 1.0, 2.0)
-    udf = F.udf(lambda a, b: compare.diff_signature(a.lower().split(), b.lower().split(), w), "array<double>")
-    return _name_pairs(spark, sf_dir).withColumn("d", udf("a", "b")).select("a", "b", *[F.get("d", F.lit(i)).alias(n) for i, n in enumerate([*compare.EDITS, "miss_idf", "extra_idf"])])
+    own = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda t: t != "")
+    return _name_pairs(spark, sf_dir).withColumns(compare.difference_columns(own(F.col("a")), own(F.col("b")), compare.Weights(None, 1.0, 2.0)))
 
 
 # ---------------------------------------------------------------- mining and classes

@@ -116,6 +116,9 @@ def test_skeletons(spark):
 
 def test_romanised_words_share_skeletons():
     assert text.skeleton(text.romanize_token("टिरेडर्स")) == text.skeleton("tiredars")
+    for w, body in (("https://www.ab-c.co.in/", "abc"), ("www.x9.shop", "x9"), ("#tagname", "tagname"), ("#ab", None), ("a b.com", None), ("shop.ab.com", "shopab")):
+        assert text.domain_body(w) == body
+    assert text.clean("Łódź ÞÓR Ǆ e\u0301") == "lodz thor dz e"
     assert text.romanize("राम 12") == "raam 12" and text.romanize("abc") == "abc"
     assert text.clean("Straße ÉCOLE") == "strasse ecole" and text.tokens("a-b, c.d") == ["a", "b", "c", "d"]
     assert text.join_letters(["s", "a", "s", "dupont", "x", "1", "y", "z"]) == ["sas", "dupont", "x", "1", "yz"]
@@ -134,11 +137,40 @@ def test_parsed_fields(spark):
 
 
 def test_diff_signature():
-    w = compare.Weights({"of": 0.5}, 2.0, 1.5)
-    out = dict(zip([*compare.EDITS, "miss_idf", "extra_idf"], compare.diff_signature(["acme", "trading", "12", "of"], ["acme", "tradin", "13", "inc"], w, frozenset(), {"inc"})))
+    found = compare.difference(["acme", "trading", "12", "of"], ["acme", "tradin", "13", "inc"], {"of": 0.5}, 2.0, 1.5, frozenset(), {"inc"})
+    out = dict(zip(compare.DIFFERENCE, found))
     assert (out["exact"], out["typo"], out["numchg"], out["miss_generic"], out["extra_legal"]) == (1, 1, 1, 1, 1)
     assert (out["miss_idf"], out["extra_idf"]) == (0.5, 2.0)
-    assert len(compare.features_of(parse.parse_name("a") | parse.parse_address("b"), parse.parse_name("a") | parse.parse_address(""), w, w)) == len(compare.NAMES)
+    out = dict(zip(compare.DIFFERENCE, compare.difference(["a1", "x", "x"], ["x", "rare"], {"rare": 3.0}, 1.0, 2.0, {"rare"})))
+    assert (out["exact"], out["miss_generic"], out["extra_affix"], out["miss_idf"], out["extra_idf"]) == (1, 2, 1, 2.0, 3.0)
+
+
+def test_pair_features(spark):
+    rows = [(1, 1, "US", "Acme Trading Ltd", "12 Main St, 12345"), (2, 2, "US", "Acme Tradin Limited", "12 Main Street, 12345"), (3, 2, "US", "www.acmetrading.com", None), (4, 2, "US", "", "no 7")]
+    norm = parse.normalize(spark.createDataFrame([(*r, "us") for r in rows], "uid long, src int, country string, name_raw string, addr_raw string, prof string"))
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (1, 4)], "s1_uid long, rec_uid long")
+    name, addr = compare.token_weights(norm, F.array_distinct(F.split("name_core", " "))), compare.token_weights(norm, F.array_distinct("addr_tokens"))
+    got = {r.rec_uid: r for r in compare.pair_features(pairs, norm, name, addr).collect()}
+    a, b, c = got[2], got[3], got[4]
+    assert set(compare.NAMES) < set(a.asDict()) and len(compare.NAMES) == len(set(compare.NAMES))
+    assert (a.lg_same, a.nm_first_eq, a.nd_typo, a.nd_exact, a.pin_eq, a.no_hit, a.ad_tset, a.dm_has, a.nm_tok_cov_s) == (1, 1, 1, 1, 1, 1, 1, 0, 1)
+    idf = {r.tok: r.w for r in name.table.collect()}
+    assert a.nm_tok_jacc == pytest.approx(idf["acme"] / (idf["acme"] + idf["trading"] + idf["tradin"]))
+    assert (b.dm_has, b.dm_eq, b.dm_pre2, b.dm_ratio, b.lg_s_only, b.ac_mean, b.pin_s_only) == (1, 1, 1, 1, 1, None, 1)
+    assert (c.nm_tok_jacc, c.no_hit, c.no_logdiff, c.no_edit) == (None, 0, pytest.approx(np.log1p(5)), 2)
+    by = compare.pair_features(pairs.withColumn("pin_eq", F.lit(7)), norm, compare.Weights(), compare.Weights()).where("rec_uid = 2").first()
+    assert by.pin_eq == 7 and by.nm_tok_jacc == pytest.approx(1 / 3)
+
+
+def test_mined_mappings(spark):
+    rows = [(i, "india", "Manufactory Rama", "12 A Road, Bangalore", "Mnfy राम", "12 A Road, Bengaluru") for i in range(3)]
+    rows += [(9, "india", "Intl Trade House", None, "International Trade House Delhi", None), (10, "india", "Rama", None, "राम", None)]
+    pairs = spark.createDataFrame(rows, "s1_uid long, prof string, sn string, sa string, rn string, ra string")
+    seen = {(r.kind, r.src, r.dst) for r in mining.token_mappings(pairs).collect()}
+    assert seen == {("token", "राम", "rama"), ("name", "intl", "international")}
+    assert {(r.src, r.dst, r.s1_uid) for r in mining.component_mappings(pairs, parse.EMPTY).collect()} == {("bengaluru", "bangalore", i) for i in range(3)}
+    extra = {(r.kind, r.tok): r.is_extra for r in mining.added_tokens(pairs, parse.EMPTY).collect()}
+    assert extra["name", "delhi"] and not extra["name", "trade"] and extra["addr", "bengaluru"] and not extra["addr", "road"] and ("addr", "12") not in extra
 
 
 def test_block_caps(spark):
@@ -173,7 +205,8 @@ def test_mining_counts_entities_once(spark):
     obs = spark.createDataFrame(rows, "s1_uid long, src string, dst string")
     got = [tuple(r) for r in mining.dominant(obs, keys=[]).collect()]
     assert got == [("name", "n", 25, 25 / 30)]
-    assert mining.is_abbreviation("mnfy", "manufactory") and not mining.is_abbreviation("city", "ccity")
+    forms = spark.createDataFrame([("mnfy", "manufactory", True), ("city", "ccity", False), ("a.", "abcdef", False), ("bnk", "abnormk", False), ("intl", "international", True)], "a string, b string, fits boolean")
+    assert forms.where(mining.abbreviates(F.col("a"), F.col("b")) != F.col("fits")).isEmpty()
 
 
 def test_calibration_and_bags(spark):
