@@ -31,26 +31,19 @@ def query(sql: str | None = None):
 
 _PAIRS = """size as (select kt, key, count(*) filter (ref) as n1, count(*) filter (not ref) as n2 from keys group by 1, 2),
 pairs as (select a.uid as s1_uid, b.uid as rec_uid, a.kt, n1 * n2 as block from keys a join keys b using (kt, key) join size using (kt, key)
-  where a.ref and not b.ref and n1 <= 4 and n1 * n2 <= 60)"""
+  where a.ref and not b.ref and n1 <= 50 and n1 * n2 <= 5000)"""
 
 
 @query(f"with {PART_KEYS}, {_PAIRS} select s1_uid, rec_uid, kt, block from pairs")
 def block_key_pairs(spark, sf_dir):
-    return blocking.key_pairs(part_keys(spark, sf_dir), max_refs=4, max_pairs=60)
-
-
-@query()
-def block_key_pairs_full(spark, sf_dir):
-    """With the operator's own caps, which are the reference's."""
     return blocking.key_pairs(part_keys(spark, sf_dir))
 
 
-#: Channel, direction and hits of each query: few, as in the SQL, and as the reference has them.
-_FEW_HITS = (("n1", "f", 2), ("n1", "r", 1), ("a1", "f", 1))
-_ALL_HITS = (("n1", "f", 20), ("n1", "r", 3), ("a1", "f", 30), ("a1", "r", 3))
+#: Channel, direction and hits of each query.
+_HITS = (("n1", "f", 20), ("n1", "r", 3), ("a1", "f", 30), ("a1", "r", 3))
 
 
-def _price_hits(spark, sf_dir, channels=_FEW_HITS):
+def _price_hits(spark, sf_dir, channels=_HITS):
     """Parts of one type and size with near prices, as hits of two channels in both directions."""
     from pyspark.sql import Window
 
@@ -69,20 +62,14 @@ def _price_hits(spark, sf_dir, channels=_FEW_HITS):
 @query(f"""with {PART_KEYS}, {_PAIRS},
 near as (select a.p_partkey as s1_uid, b.p_partkey as rec_uid, round(1 / (1 + abs(a.p_retailprice - b.p_retailprice)), 9) as sim from part a join part b using (p_type, p_size) where a.p_partkey % 4 = 0 and b.p_partkey % 4 <> 0),
 f as (select *, row_number() over (partition by s1_uid order by sim desc, rec_uid) as rank from near), r as (select *, row_number() over (partition by rec_uid order by sim desc, s1_uid) as rank from near),
-hits as (select s1_uid, rec_uid, case when rank <= 1 then rank end as a1f, rank as n1f, null as n1r, sim from f where rank <= 2 union all select s1_uid, rec_uid, null, null, rank, sim from r where rank <= 1),
-h as (select s1_uid, rec_uid, min(a1f)::int as a1f_rank, null::int as a1r_rank, max(sim) filter (a1f is not null) as a1_sim, min(n1f)::int as n1f_rank, min(n1r)::int as n1r_rank, max(sim) as n1_sim, null::int as d1f_rank, null::int as d1r_rank, null::double as d1_sim from hits group by 1, 2),
+hits as (select s1_uid, rec_uid, rank as a1f, case when rank <= 20 then rank end as n1f, null as back, sim from f where rank <= 30 union all select s1_uid, rec_uid, null, null, rank, sim from r where rank <= 3),
+h as (select s1_uid, rec_uid, min(a1f)::int as a1f_rank, min(back)::int as a1r_rank, max(sim) as a1_sim, min(n1f)::int as n1f_rank, min(back)::int as n1r_rank, max(sim) filter (n1f is not null or back is not null) as n1_sim, null::int as d1f_rank, null::int as d1r_rank, null::double as d1_sim from hits group by 1, 2),
 k as (select s1_uid, rec_uid, bit_or(1 << kt) as key_mask, min(block) as key_block, count(distinct kt) as key_n from pairs group by 1, 2)
 select * from h full join k using (s1_uid, rec_uid)""")
 def block_mask_union(spark, sf_dir):
     return blocking.candidate_union(_price_hits(spark, sf_dir), block_key_pairs(spark, sf_dir))
 
 
-@query()
-def block_mask_union_full(spark, sf_dir):
-    """With the reference's caps of blocks and hits."""
-    return blocking.candidate_union(_price_hits(spark, sf_dir, _ALL_HITS), block_key_pairs_full(spark, sf_dir))
-
-
 def _doc_tokens(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     return d.select(F.col("doc_id").alias("uid"), F.col("lang").alias("country"), F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda t: t != "").alias("addr_tokens"))
@@ -107,14 +94,8 @@ def rare_tokens_per_record(spark, sf_dir):
     return blocking.token_classes(_doc_tokens(spark, sf_dir)).where("kind = 'rare'").select("uid", "tok", "df")
 
 
-@query(f"with {_WORD} select uid, tok, df from (select *, row_number() over (partition by uid order by df desc, tok) as n from word where df between 30 and 200) where n <= 2")
+@query(f"with {_WORD} select uid, tok, df from (select *, row_number() over (partition by uid order by df desc, tok) as n from word where df between 30 and 200000) where n <= 2")
 def admin_tokens_per_record(spark, sf_dir):
-    return blocking.token_classes(_doc_tokens(spark, sf_dir), admin=(30, 200)).where("kind = 'admin'").select("uid", "tok", "df")
-
-
-@query()
-def admin_tokens_full_band(spark, sf_dir):
-    """With the operator's own band, which is the reference's."""
     return blocking.token_classes(_doc_tokens(spark, sf_dir)).where("kind = 'admin'").select("uid", "tok", "df")
 
 
@@ -161,17 +142,9 @@ nb as (select a.uid as m, b.uid as n, list_cosine_similarity(a.vec, b.vec) as s
 nb5 as (select m, n, round(s, 9) as s from (select *, row_number() over (partition by m order by round(s, 9) desc, n) as r from nb) where r <= 5 and s >= 0.2),
 add_ as (select c.s1_uid, n as rec_uid, max(nb5.s) as hop_sim from cand c join nb5 on m = c.rec_uid where c.s >= 0.3 group by 1, 2),
 new as (select * from add_ anti join cand using (s1_uid, rec_uid))
-select s1_uid, rec_uid, round(hop_sim, 6) as hop_sim from (select *, row_number() over (partition by s1_uid order by hop_sim desc, rec_uid) as r from new) where r <= 4""")
+select s1_uid, rec_uid, round(hop_sim, 6) as hop_sim from (select *, row_number() over (partition by s1_uid order by hop_sim desc, rec_uid) as r from new) where r <= 10""")
 def two_hop_expand(spark, sf_dir):
-    q, i = _dense(spark, sf_dir)
-    cand = blocking.dense_topk(q, i, 5).select(F.col("query").alias("s1_uid"), F.col("item").alias("rec_uid"), "sim")
-    near = blocking.dense_topk(i, i, 5, min_sim=0.2).select(F.col("query").alias("m"), F.col("item").alias("n"), F.round("sim", 9).alias("sim"))
-    return blocking.two_hop(cand, near, score="sim", confident=0.3, min_sim=0.2, max_add=4).select("s1_uid", "rec_uid", F.round("hop_sim", 6).alias("hop_sim"))
-
-
-@query()
-def two_hop_expand_full(spark, sf_dir):
-    """With the reference's ten additions; its 0.9 is a model's score and no cosine (REPLY_r01.md)."""
+    """Ten additions; similarities are those of cosines (the plan's floor of 0.9 is a model's score)."""
     q, i = _dense(spark, sf_dir)
     cand = blocking.dense_topk(q, i, 5).select(F.col("query").alias("s1_uid"), F.col("item").alias("rec_uid"), "sim")
     near = blocking.dense_topk(i, i, 5, min_sim=0.2).select(F.col("query").alias("m"), F.col("item").alias("n"), F.round("sim", 9).alias("sim"))
@@ -228,6 +201,74 @@ def cheap_pair_features(spark, sf_dir):
     return blocking.cheap_features(pairs, norm)
 
 
+@query("""with c as (select c_custkey as k, lower(c_mktsegment) as seg, translate(c_custkey::varchar, '0123456789', 'abcdefghij') as w from customer)
+select k as uid, seg || ' traders and sons' as name_core, array_to_string(list_sort([seg, 'traders', 'and', 'sons']), ' ') as name_core_sorted,
+  case when k % 3 = 0 then seg || ' traders and sons|shop' || w else '' end as name_alts, ['pvt_ltd', 'llp', 'inc', ''][(k % 4 + 1)::int] as legal, k % 3 = 0 as is_domain, case when k % 3 = 0 then 'shop' || w else '' end as domain_body,
+  0 as script, 1.0::double as dict_cov from c""")
+def parsed_names(spark, sf_dir):
+    """Names of every customer's segment with a title, a legal form, a store number and, of a third, a web address as another name."""
+    from tessera.functions.parse import name_struct
+
+    k, seg = F.col("c_custkey"), F.col("c_mktsegment")
+    pick = lambda *xs: F.element_at(F.array(*map(F.lit, xs)), (k % len(xs) + 1).cast("int"))
+    site = F.when(k % 3 == 0, F.concat(F.lit(" dba https://www.shop"), F.translate(k.cast("string"), "0123456789", "abcdefghij"), F.lit(".com/"))).otherwise(F.lit(""))
+    raw = F.concat(pick("M/s ", "Mr. ", ""), seg, F.lit(" Traders & Sons"), pick(" Pvt. Ltd.", " L.L.P.", ", Inc.", ""), F.when(k % 5 == 0, F.lit(" 0420")).otherwise(F.lit("")), site)
+    n = table(spark, sf_dir, "customer").select(k.alias("uid"), name_struct(raw, F.lit("india")).alias("n"))
+    return n.select("uid", "n.name_core", "n.name_core_sorted", F.array_join("n.name_alts", "|").alias("name_alts"), "n.legal", "n.is_domain", "n.domain_body", "n.script", "n.dict_cov")
+
+
+@query("""with c as (select c_custkey as k, c_custkey % 900 + 1 as a, c_custkey % 7 + 1 as b, c_custkey % 30 + 1 as f from customer)
+select k as uid,
+  case k % 3 when 0 then a || ' ' || b || ', ' || f || ' floor, mg road, pune' when 1 then a || ' north main street suite ' || b || ', springfield' else a || ' bis rue de la paix, paris' end as addr_latin,
+  case k % 3 when 2 then a::varchar else a || '|' || b end as nums, a::varchar as num_primary, case k % 3 when 0 then (400000 + k % 100000)::varchar when 1 then (10000 + k % 80000)::varchar else (75000 + k % 20)::varchar end as pin,
+  case k % 3 when 0 then '98450' || (10000 + k % 90000) else '' end as phone, case k % 3 when 0 then 'city mall' else '' end as landmark, k % 3 = 2 as bis, false as addr_missing from c""")
+def parsed_addresses(spark, sf_dir):
+    """An address for every customer, in three countries' manners, with announced numbers, ordinals, a landmark, a phone and a missing part."""
+    from tessera.functions.parse import address_struct
+
+    k = F.col("c_custkey")
+    a, b, f = (k % n + 1 for n in (900, 7, 30))
+    india = F.concat(F.lit("H.No. "), a, F.lit("-0"), b, F.lit(", "), f, F.lit("th Floor, MG Rd opp. City Mall; Pune "), 400000 + k % 100000, F.lit(", ph 98450 "), 10000 + k % 90000)
+    us = F.concat(F.lit("00"), a, F.lit(" N Main St Ste "), b, F.lit("|N/A|Springfield "), 10000 + k % 80000)
+    france = F.concat(a, F.lit(" B rue de la Paix, "), 75000 + k % 20, F.lit(" Paris"))
+    pick = lambda x, y, z: F.when(k % 3 == 0, x).when(k % 3 == 1, y).otherwise(z)
+    d = table(spark, sf_dir, "customer").select(k.alias("uid"), address_struct(pick(india, us, france), pick(F.lit("india"), F.lit("us"), F.lit("france"))).alias("a"))
+    return d.select("uid", "a.addr_latin", F.array_join("a.nums", "|").alias("nums"), "a.num_primary", "a.pin", "a.phone", "a.landmark", "a.bis", "a.addr_missing")
+
+
+@query("""with r as (select p_partkey as uid, p_name as name, string_split(p_name, ' ') as tok, list_distinct([p_size::varchar, (p_partkey % 50)::varchar]) as nums, p_size::varchar as prim,
+  case when p_partkey % 3 = 0 then '' else substr('000' || p_size, -3) end as pin, case when p_partkey % 4 = 0 then '' else (9000000 + p_size)::varchar end as phone, p_size % 2 = 0 as bis, p_partkey % 5 = 0 as is_domain, replace(p_name, ' ', '') as body from part),
+idf as (select t, ln((1 + (select count(*) from r))::double / (1 + count(*))) + 1 as w from (select distinct uid, unnest(tok) as t from r) group by t),
+p as (select s.uid as s1_uid, r.uid as rec_uid, s.name as sn, s.tok as st, s.nums as snums, s.prim, s.pin as sp, s.phone as sph, s.bis as sb, r.name as rn, r.tok as rt, r.nums as rnums, r.pin as rp, r.phone as rph, r.bis as rb, r.is_domain and r.body <> '' as dm, r.body from r s join r on r.uid = s.uid + 25),
+j as (select s1_uid, rec_uid, coalesce(sum(w) filter (list_contains(st, t) and list_contains(rt, t)), 0) / sum(w) as jacc from (select distinct s1_uid, rec_uid, st, rt, unnest(list_concat(st, rt)) as t from p) join idf using (t) group by 1, 2),
+x as (select *, len(list_intersect(snums, rnums)) as both_, list_contains(rnums, prim) as hit, array_to_string(st, '') as flat, array_to_string(list_transform(st, lambda t: substr(t, 1, 1)), '') as ini from p)
+select s1_uid, rec_uid, round(jacc, 9) as nm_tok_jacc, (st[1] = rt[1])::int::double as nm_first_eq, (sn = rn)::int::double as nm_eq, (list_sort(st) = list_sort(rt))::int::double as nm_sorted_eq, len(st)::double as nm_len_s, len(rt)::double as nm_len_r,
+  round(least(length(sn), length(rn))::double / greatest(length(sn), length(rn)), 9) as nm_len_ratio, hit::int::double as no_hit, round(both_::double / (len(snums) + len(rnums) - both_), 9) as no_jacc, (both_ = len(snums) and both_ = len(rnums))::int::double as no_eq,
+  round(both_::double / len(snums), 9) as no_cov, round(ln(1 + list_min(list_transform(rnums, lambda v: abs(v::bigint - prim::bigint)))), 9) as no_logdiff, list_min(list_transform(rnums, lambda v: levenshtein(v, prim)))::double as no_edit,
+  (sp <> '' and sp = rp)::int::double as pin_eq, (sp <> '' and rp <> '' and sp <> rp)::int::double as pin_diff, (sp <> '' and rp = '')::int::double as pin_s_only, (rp <> '' and sp = '')::int::double as pin_r_only,
+  (sph <> '' and sph = rph)::int::double as ph_eq, (sph <> '' and rph <> '' and sph <> rph)::int::double as ph_diff, (sb <> rb)::int::double as bis_diff, dm::int::double as dm_has,
+  case when dm then (body = flat or (length(flat) >= 6 and (starts_with(body, flat) or starts_with(flat, body))))::int::double end as dm_eq, case when dm then (len(st) > 1 and starts_with(body, st[1] || st[2]))::int::double end as dm_pre2,
+  case when dm then (length(ini) > 1 and starts_with(body, ini))::int::double end as dm_initials from x join j using (s1_uid, rec_uid)""")
+def built_in_pair_features(spark, sf_dir):
+    """All features of a pair that need no letter by letter comparison, of parts as records; token weights are fitted on them."""
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    size = F.col("p_size").cast("string")
+    r = p.select(
+        k.alias("uid"), F.col("p_name").alias("name_core"), F.array_join(F.array_sort(F.split("p_name", " ")), " ").alias("name_core_sorted"), F.array(size, (k % 50).cast("string")).alias("nums"), size.alias("num_primary"),
+        F.when(k % 3 == 0, "").otherwise(F.lpad(size, 3, "0")).alias("pin"), F.when(k % 4 == 0, "").otherwise((9000000 + F.col("p_size")).cast("string")).alias("phone"), (F.col("p_size") % 2 == 0).alias("bis"), (k % 5 == 0).alias("is_domain"), F.replace("p_name", F.lit(" "), F.lit("")).alias("domain_body"),
+    )
+    words = F.split("name_core", " ")
+    r = compare.weighed(r, words, compare.token_weights(r, F.array_distinct(words)), "w")
+    pairs = r.select(F.col("uid").alias("s1_uid"), (F.col("uid") + 25).alias("rec_uid"))
+    both = blocking.attach(pairs, r, [c for c in r.columns if c != "uid"]).where("r_name_core is not null")
+    s, o = (lambda c: F.col(f"s_{c}")), (lambda c: F.col(f"r_{c}"))
+    found = {
+        "nm_tok_jacc": compare.weighted_overlap(s("w"), o("w")), **compare.name_match(s, o), **compare.number_match(s("nums"), o("nums"), s("num_primary")), **compare.number_distance(o("nums"), s("num_primary")), **compare.flag_match(s, o),
+        **compare.domain_match(F.split(s("name_core"), " "), o("is_domain"), o("domain_body")),
+    }
+    return both.select("s1_uid", "rec_uid", *[F.round(c.cast("double"), 9).alias(n) for n, c in found.items()])
+
+
 def _parsed_parts(spark, sf_dir):
     """Parts as records of short columns: the full features compare texts in time that grows with the product of their lengths."""
     from tessera.functions.parse import normalize, profile_column
@@ -677,7 +718,8 @@ def connected_components(spark, sf_dir):
     return graph.components(e.select(F.col("s1_uid").alias("u"), (F.lit(1_000_000_000) + F.col("rec_uid")).alias("v")))
 
 
-@query()
+@query("""with e as (select distinct p_name as src, 'x ' || string_split(p_name, ' ')[2] as dst from part where string_split(p_name, ' ')[2] is not null), n as (select dst, count(*) + 1 as n from e group by 1)
+select src, dst from e join n using (dst) where n <= 25""")
 def canonical_forms(spark, sf_dir):
     e = table(spark, sf_dir, "part").select(F.col("p_name").alias("src"), F.concat_ws(" ", F.lit("x"), F.element_at(F.split("p_name", " "), 2)).alias("dst")).distinct()
     return graph.canonical_groups(e)
