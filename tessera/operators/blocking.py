@@ -145,73 +145,109 @@ def tfidf(docs: DataFrame, uid: str, text: str, by: tuple[str, ...] = ()) -> Dat
     return w.select(*by, "uid", "gram", (F.col("w") / norm).alias("w"))
 
 
-def sparse_topk(queries: DataFrame, index: DataFrame, k: int, min_sim: float | None = None, by: tuple[str, ...] = (), exclude_self: bool = False, *, query_block: int = 256, index_block: int = 1024) -> DataFrame:
+#: Grams, and bytes of dense vectors, that make a block of one side; rows of either side that are multiplied at a time.
+BLOCK_GRAMS, BLOCK_BYTES, TILE, ITEM_TILE = 4_000_000, 64 << 20, 256, 4096
+
+
+def _deal(spark, q_size: int, i_size: int, q_rows: int, i_rows: int) -> tuple[int, int]:
+    """Blocks of queries and of items: as few as their sizes allow, but with a pair of blocks for each of the session's tasks.
+
+    A row travels once for each block of the other side, so few blocks mean few copies; more are made of the side whose
+    blocks copy the smaller one.
+    """
+    n_q, n_i, tasks = max(1, q_size), max(1, i_size), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if q_rows <= i_rows:
+        return n_q, min(max(n_i, -(-tasks // n_q)), max(1, i_rows))
+    return min(max(n_q, -(-tasks // n_i)), max(1, q_rows)), n_i
+
+
+def sparse_topk(queries: DataFrame, index: DataFrame, k: int, min_sim: float | None = None, by: tuple[str, ...] = (), exclude_self: bool = False, *, block_grams: int = 0) -> DataFrame:
     """(query, item, sim, rank): the k largest inner products of sparse rows (by, uid, gram, w); rank counts before ``min_sim``.
 
-    Exact.  Each document becomes one packed row; both sides are dealt into blocks, and each pair of blocks is a few matrix
-    products over the grams of its queries that keep k rows a query.  So no product of single grams is ever a row of a
-    shuffle: what travels is each document once per block of the other side, and k rows a query and block.
-    Pairs without a common gram don't count.
+    Exact.  Each document becomes one packed row; both sides are dealt into blocks of about ``block_grams`` (BLOCK_GRAMS) grams, and each
+    pair of blocks is worked off in tiles of matrix products over the grams of a tile's queries, which keep k rows a query.
+    So no product of single grams is ever a row of a shuffle: what travels is each document once per block of the other side,
+    and k rows a query and block.  Pairs without a common gram don't count.
     """
-    packed = lambda df, name, block, n_own, n_other, own, other: (
-        df.groupBy(*by, F.col("uid").alias(name))
-        .agg(F.collect_list("gram").alias(f"{name}_h"), F.collect_list(F.col("w").cast("double")).alias(f"{name}_w"))
+    most = block_grams or BLOCK_GRAMS
+    pack = lambda df, name: df.groupBy(*by, F.col("uid").alias(name)).agg(F.collect_list("gram").alias(f"{name}_h"), F.collect_list(F.col("w").cast("double")).alias(f"{name}_w"))
+    size = [df.agg(F.count("*").alias("grams"), F.countDistinct("uid").alias("rows")).first() for df in (queries, index)]
+    n_q, n_i = _deal(queries.sparkSession, *(-(-r["grams"] // most) for r in size), *(r["rows"] for r in size))
+    dealt = lambda name, n_own, n_other, own, other: (
+        pack(queries if name == "query" else index, name)
         .withColumn(own, F.pmod(F.xxhash64(name), F.lit(n_own)).cast("int"))
         .withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
         .withColumnsRenamed({c: f"{name}_{c}" for c in by})
     )
-    n_q, n_i = (max(1, -(-df.select("uid").distinct().count() // block)) for df, block in ((queries, query_block), (index, index_block)))
-    q = packed(queries, "query", query_block, n_q, n_i, "qb", "qo")
-    i = packed(index, "item", index_block, n_i, n_q, "ib", "io")
+    q, i = dealt("query", n_q, n_i, "qb", "qo"), dealt("item", n_i, n_q, "ib", "io")
 
     def sides(frame: pd.DataFrame, name: str):
         frame = frame.sort_values(name)
         n = frame[f"{name}_h"].map(len).to_numpy()
-        return frame[name].to_numpy(), np.repeat(np.arange(len(frame)), n), np.concatenate(frame[f"{name}_h"].to_list()), np.concatenate(frame[f"{name}_w"].to_list())
+        return frame[name].to_numpy(), np.concatenate(([0], np.cumsum(n))), np.concatenate(frame[f"{name}_h"].to_list()), np.concatenate(frame[f"{name}_w"].to_list())
+
+    def tile(qid, ends, gram, w, item: tuple) -> tuple:
+        """The k best items of some queries; ends: where each query's grams start and end."""
+        iid, i_ends, i_gram, i_w = item
+        vocabulary, place = np.unique(gram, return_inverse=True)
+        dense_q = np.zeros((len(qid), len(vocabulary)))
+        dense_q[np.repeat(np.arange(len(qid)), np.diff(ends)), place] = w
+        step = min(ITEM_TILE, max(1, (1 << 22) // len(vocabulary)))
+        sim = np.zeros((len(qid), len(iid)))
+        for lo in range(0, len(iid), step):
+            rows = i_ends[lo : lo + step + 1]
+            own = slice(rows[0], rows[-1])
+            at = np.minimum(np.searchsorted(vocabulary, i_gram[own]), len(vocabulary) - 1)
+            known = vocabulary[at] == i_gram[own]
+            part = np.zeros((len(rows) - 1, len(vocabulary)))
+            part[np.repeat(np.arange(len(rows) - 1), np.diff(rows))[known], at[known]] = i_w[own][known]
+            sim[:, lo : lo + step] = dense_q @ part.T
+        if exclude_self:
+            sim[qid[:, None] == iid[None, :]] = 0
+        m = min(k, len(iid))
+        value = np.round(sim, 9)
+        if m < len(iid):  # what may be among the k best, ties included
+            least = -np.partition(-value, m - 1, axis=1)[:, m - 1 : m]
+            row, col = np.nonzero((value >= least) & (sim > 0))
+        else:
+            row, col = np.nonzero(sim > 0)
+        o = np.lexsort((col, -value[row, col], row))  # items ascend: ties go to the smaller
+        row, col = row[o], col[o]
+        first = np.searchsorted(row, np.arange(len(qid)))
+        keep = np.arange(len(row)) - first[row] < m
+        row, col = row[keep], col[keep]
+        return qid[row], iid[col], sim[row, col]
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if len(left) and len(right):
-            qid, q_row, q_gram, q_w = sides(left, "query")
-            iid, i_row, i_gram, i_w = sides(right, "item")
-            vocabulary = np.unique(q_gram)
-            dense_q = np.zeros((len(qid), len(vocabulary)))
-            dense_q[q_row, np.searchsorted(vocabulary, q_gram)] = q_w
-            at = np.minimum(np.searchsorted(vocabulary, i_gram), len(vocabulary) - 1)
-            known = vocabulary[at] == i_gram
-            i_row, at, i_w = i_row[known], at[known], i_w[known]
-            step = max(1, (1 << 22) // len(vocabulary))
-            sim = np.zeros((len(qid), len(iid)))
-            for lo in range(0, len(iid), step):
-                own = slice(*np.searchsorted(i_row, (lo, lo + step)))
-                part = np.zeros((min(step, len(iid) - lo), len(vocabulary)))
-                part[i_row[own] - lo, at[own]] = i_w[own]
-                sim[:, lo : lo + step] = dense_q @ part.T
-            if exclude_self:
-                sim[qid[:, None] == iid[None, :]] = 0
-            m = min(k, len(iid))
-            top = np.argsort(-np.round(sim, 9), axis=1, kind="stable")[:, :m]  # items ascend: ties go to the smaller
-            s = np.take_along_axis(sim, top, axis=1)
-            ok = s > 0
-            out = [(np.repeat(qid, m)[ok.reshape(-1)], iid[top][ok], s[ok])]
-        query, item, value = out[0] if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        return pd.DataFrame({"query": query, "item": item, "sim": value})
+            qid, ends, gram, w = sides(left, "query")
+            item = sides(right, "item")
+            for lo in range(0, len(qid), TILE):
+                own = ends[lo : lo + TILE + 1]
+                found.append(tile(qid[lo : lo + TILE], own - own[0], gram[own[0] : own[-1]], w[own[0] : own[-1]], item))
+        return pd.DataFrame(dict(zip(("query", "item", "sim"), (np.concatenate(x) for x in zip(*found)))))
 
     found = q.groupBy(*[f"query_{c}" for c in by], "qb", "qo").cogroup(i.groupBy(*[f"item_{c}" for c in by], "io", "ib")).applyInPandas(lambda x, y: best(x, y), "query long, item long, sim double")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("sim", 9)), "item"))).where(F.col("rank") <= k)
     return ranked if min_sim is None else ranked.where(F.col("sim") >= min_sim)
 
 
-def row_cosine(pairs: DataFrame, rows: DataFrame, a: str = "s1_uid", b: str = "rec_uid") -> DataFrame:
-    """pairs with cos: the inner product of two sparse unit rows, for each pair alone."""
+def row_cosine(pairs: DataFrame, rows: DataFrame, a: str = "s1_uid", b: str = "rec_uid", out: str = "cos") -> DataFrame:
+    """pairs with ``out``: the inner product of two sparse unit rows, for each pair alone."""
     left = pairs.select(a, b).join(rows.select(F.col("uid").alias(a), "gram", F.col("w").alias("wa")), a)
-    dot = left.join(rows.select(F.col("uid").alias(b), "gram", F.col("w").alias("wb")), [b, "gram"]).groupBy(a, b).agg(F.sum(F.col("wa") * F.col("wb")).alias("cos"))
-    return pairs.join(dot, [a, b], "left").withColumn("cos", F.coalesce("cos", F.lit(0.0)))
+    dot = left.join(rows.select(F.col("uid").alias(b), "gram", F.col("w").alias("wb")), [b, "gram"]).groupBy(a, b).agg(F.sum(F.col("wa") * F.col("wb")).alias(out))
+    return pairs.join(dot, [a, b], "left").withColumn(out, F.coalesce(out, F.lit(0.0)))
+
 
+def combined(name: DataFrame, addr: DataFrame, by: tuple[str, ...] = (), weight: float = 0.5) -> DataFrame:
+    """Sparse rows of [name, weight * addr] at unit length, of sparse rows of either; a row without an address has the name part alone.
 
-def combined_cosine(name_cos: Column, addr_cos: Column, both_addr: Column, weight: float = 0.5) -> Column:
-    """Cosine of [name, weight * addr] rows of unit parts; a side without an address has the name part alone."""
-    return F.when(both_addr, (name_cos + weight * weight * addr_cos) / (1 + weight * weight)).otherwise(name_cos / F.sqrt(F.lit(1 + weight * weight)))
+    Grams are not negative, so those of addresses are told apart as negative numbers.
+    """
+    both = name.select(*by, "uid", "gram", "w").unionByName(addr.select(*by, "uid", (-F.col("gram") - 1).alias("gram"), (F.col("w") * F.lit(weight)).alias("w")))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*by, "uid")))
+    return both.select(*by, "uid", "gram", (F.col("w") / norm).alias("w"))
 
 
 # ---------------------------------------------------------------- dense top-k
@@ -222,18 +258,21 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def dense_topk(queries: DataFrame, index: DataFrame, k: int, *, exclude_self: bool = True, min_sim: float | None = None, block: int = 16_384) -> DataFrame:
-    """(query, item, sim, rank): exact k nearest by cosine; both sides are (uid, vec).  Ties go to the smaller item; rank counts before ``min_sim``.
+def dense_topk(queries: DataFrame, index: DataFrame, k: int, *, by: tuple[str, ...] = (), exclude_self: bool = True, min_sim: float | None = None, block: int = 0) -> DataFrame:
+    """(query, item, sim, rank): exact k nearest by cosine within ``by``; both sides are (by, uid, vec).  Ties go to the smaller item; rank
+    counts before ``min_sim``.
 
-    The index is dealt into blocks of about ``block`` rows, and queries too; each pair of blocks is one matrix product that keeps k rows a
-    query, and the blocks' results are merged by a group-limited window.  Rows are copied once per block of the other side, so
+    Both sides are dealt into blocks of BLOCK_BYTES (or ``block`` rows); each pair of blocks is a row of matrix products that keep k rows
+    a query, and the blocks' results are merged by a group-limited window.  A row is copied once per block of the other side, so
     neither side is broadcast and a task's memory is bounded.
     """
-    n_i, n_q = max(1, -(-index.count() // block)), max(1, -(-queries.count() // block))
+    size = [df.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("d")).first() for df in (queries, index)]
+    rows = block or max(1, BLOCK_BYTES // (8 * max(1, size[0]["d"] or 1)))
+    n_q, n_i = _deal(queries.sparkSession, *(-(-r["n"] // rows) for r in size), *(r["n"] for r in size))
     deal = lambda n: F.pmod(F.xxhash64("uid"), F.lit(n)).cast("int")
     # other names on each side: both may come from one table
-    i = index.select(F.col("uid").alias("item"), F.col("vec").cast("array<double>").alias("ivec"), deal(n_i).alias("ib"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("qb"))
-    q = queries.select(F.col("uid").alias("query"), F.col("vec").cast("array<double>").alias("qvec"), deal(n_q).alias("qb2"), F.explode(F.sequence(F.lit(0), F.lit(n_i - 1))).alias("ib2"))
+    i = index.select(*[F.col(c).alias(f"i_{c}") for c in by], F.col("uid").alias("item"), F.col("vec").cast("array<double>").alias("ivec"), deal(n_i).alias("ib"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("qb"))
+    q = queries.select(*[F.col(c).alias(f"q_{c}") for c in by], F.col("uid").alias("query"), F.col("vec").cast("array<double>").alias("qvec"), deal(n_q).alias("qb2"), F.explode(F.sequence(F.lit(0), F.lit(n_i - 1))).alias("ib2"))
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = {"query": np.zeros(0, np.int64), "item": np.zeros(0, np.int64), "sim": np.zeros(0)}
@@ -255,7 +294,7 @@ def dense_topk(queries: DataFrame, index: DataFrame, k: int, *, exclude_self: bo
             out = {"query": query[ok], "item": item[ok], "sim": sim[ok]}
         return pd.DataFrame(out)
 
-    found = q.groupBy("qb2", "ib2").cogroup(i.groupBy("qb", "ib")).applyInPandas(lambda x, y: best(x, y), "query long, item long, sim double")
+    found = q.groupBy(*[f"q_{c}" for c in by], "qb2", "ib2").cogroup(i.groupBy(*[f"i_{c}" for c in by], "qb", "ib")).applyInPandas(lambda x, y: best(x, y), "query long, item long, sim double")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("sim", 9)), "item"))).where(F.col("rank") <= k)
     return ranked if min_sim is None else ranked.where(F.col("sim") >= min_sim)
 

@@ -89,7 +89,7 @@ def competition(edges: DataFrame, *, score: str = "p1", sure: float = 0.8, top:
 
 
 def gate_profile(edges: DataFrame, entities: DataFrame | None = None, *, score: str = "q", extra: dict[str, str] | None = None) -> DataFrame:
-    """One row per entity: its list after one-owner, as top scores, gap, sums and counts, plus the best of ``extra`` columns.
+    """One row per entity: its list after one-owner, as top scores, gap, sums and counts, plus the greatest of ``extra`` columns.
 
     entities: adds entities without any pair, with zeros.
     """

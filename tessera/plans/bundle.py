@@ -38,6 +38,7 @@ def save(spark: SparkSession, b: Bundle, path: str) -> None:
         "rounds": [[_save_folds(m, f"{path}/round{i}_{j}") for j, m in enumerate(bag)] for i, bag in enumerate(b.rounds)],
         "calibrator": {"fallback": b.calibrator.fallback, "profiles": sorted(b.calibrator.models)},
         "thresholds": b.thresholds,
+        "countries": b.countries,
     }
     for i, k in enumerate(meta["calibrator"]["profiles"]):
         b.calibrator.models[k].write().overwrite().save(f"{path}/iso{i}")
@@ -53,4 +54,4 @@ def load(spark: SparkSession, path: str) -> Bundle:
     t = meta["tables"]
     tables = Tables(t["tokens"], t["name_short"], t["addr_short"], t["components"], {k: set(v) for k, v in t["name_affix"].items()}, {k: set(v) for k, v in t["addr_affix"].items()})
     iso = {k: IsotonicRegressionModel.load(f"{path}/iso{i}") for i, k in enumerate(meta["calibrator"]["profiles"])}
-    return Bundle(tables, Weights(idf("name"), *meta["name"]), Weights(idf("addr"), *meta["addr"]), folds(meta["folds"]["pre"]), [[folds(m) for m in bag] for bag in meta["rounds"]], Calibrator(iso, meta["calibrator"]["fallback"]), folds(meta["folds"]["gate"]), meta["thresholds"])
+    return Bundle(tables, Weights(idf("name"), *meta["name"]), Weights(idf("addr"), *meta["addr"]), folds(meta["folds"]["pre"]), [[folds(m) for m in bag] for bag in meta["rounds"]], Calibrator(iso, meta["calibrator"]["fallback"]), folds(meta["folds"]["gate"]), meta["thresholds"], meta["countries"])

@@ -246,3 +246,49 @@ def test_consensus_leaves_the_record_out(spark):
     got = {x.rec_uid: x for x in collective.consensus(e, r, similarity.levenshtein_sim).collect()}
     assert (got[10].cons_n, got[12].cons_n, got[10].cons_name_max, got[12].cons_name_max) == (1, 2, 1.0, 0.5)
     assert (got[10].cons_numhit_rate, got[12].cons_num_agree, got[11].cons_pin_agree, got[12].cons_pin_agree) == (0.0, 0, None, 0)
+
+
+def test_sparse_topk_in_blocks(spark):
+    """Few large or many small blocks, within a group: the same as all inner products."""
+    rng = np.random.default_rng(5)
+    rows = [(["x", "y"][i % 2], i, int(g), float(w)) for i in range(40) for g, w in zip(rng.choice(30, 6, replace=False), rng.random(6))]
+    df = spark.createDataFrame(rows, "country string, uid long, gram long, w double")
+    dense = np.zeros((40, 30))
+    for _, i, g, w in rows:
+        dense[i, g] = w
+    s = np.round(dense @ dense.T, 9)
+    want = {}
+    for i in range(40):
+        best = [j for j in sorted(range(40), key=lambda j: (-s[i, j], j)) if j != i and j % 2 == i % 2 and s[i, j] > 0][:3]
+        want |= {(i, r + 1): j for r, j in enumerate(best)}
+    for grams in (0, 25):
+        got = {(r.query, r["rank"]): r.item for r in blocking.sparse_topk(df, df, 3, by=("country",), exclude_self=True, block_grams=grams).collect()}
+        assert got == want
+    v = spark.createDataFrame([("xy"[i % 2], i, dense[i].tolist()) for i in range(40)], "country string, uid long, vec array<double>")
+    assert all(r.query % 2 == r.item % 2 for r in blocking.dense_topk(v, v, 3, by=("country",), block=7).collect())
+
+
+def test_combined_rows(spark):
+    name = spark.createDataFrame([(1, 5, 1.0), (2, 5, 1.0), (3, 5, 1.0)], "uid long, gram long, w double")
+    addr = spark.createDataFrame([(1, 5, 1.0), (2, 9, 1.0)], "uid long, gram long, w double")
+    rows = blocking.combined(name, addr)
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (1, 1)], "s1_uid long, rec_uid long")
+    got = {r.rec_uid: r.n1_cos for r in blocking.row_cosine(pairs, rows, out="n1_cos").collect()}
+    assert got == {2: pytest.approx(1 / 1.25), 3: pytest.approx(1 / 1.25**0.5), 1: pytest.approx(1.0)}
+
+
+def test_expected_selection_in_batches(spark):
+    """All entities of a batch at once, under caps, as one by one."""
+    rng = np.random.default_rng(8)
+    rows = [(i, "p", float(rng.random()), [{"q": float(round(q, 2)), "src": int(s), "rec_uid": int(100 * i + j)} for j, (q, s) in enumerate(zip(np.sort(rng.random(n) * rng.integers(0, 2, n))[::-1], rng.integers(2, 4, n)))]) for i, n in enumerate(rng.integers(0, 9, 80))]
+    df = spark.createDataFrame(rows, "s1_uid long, prof string, g double, list array<struct<q:double,src:int,rec_uid:bigint>>")
+    got = {r.s1_uid: (r.picked, r.expected) for r in decide.select_expected(df, caps={2: 2, 3: 1}).collect()}
+    for i, _, g, members in rows:
+        room, can = {2: 2, 3: 1}, []
+        for m in members:
+            if m["q"] > 0 and room[m["src"]] > 0:
+                room[m["src"]] -= 1
+                can.append(m)
+        e = decide.expected_f_half(np.clip([m["q"] for m in can], 1e-6, 1 - 1e-6), g) if can else np.array([1 - min(max(g, 1e-6), 1.0)])
+        k = int(e.argmax())
+        assert got[i][0] == [m["rec_uid"] for m in can[:k]] and got[i][1] == pytest.approx(e[k])

@@ -1,8 +1,10 @@
 import random
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
 from tessera.functions.parse import profile_name
+from tessera.operators import models
 from tessera.plans.linkage import Settings, evaluate, link
 
 STREETS = "oak elm maple cedar birch walnut spruce willow".split()
@@ -47,7 +49,7 @@ def world(spark, seed=1, n=80):
 
 
 def test_train_and_apply(spark, tmp_path):
-    s = Settings(n_folds=2, trees=4, depth=3, grid={"kappa": [0.9, 1.0], "t_min": [0.3], "delta": [-0.2, 0.0]}, top_forward=5, top_reverse=2, rounds=2, bags=2, expand=True)
+    s = Settings(n_folds=2, trees=4, depth=3, grid={"kappa": [0.9, 1.0], "t_min": [0.3], "delta": [-0.2, 0.0]}, top_forward=5, top_reverse=2, rounds=2, bags=2, expand=True, scorers=(models.lexical_scorer("s_text", "r_text"),) * 2, band=(0.05, 0.95))
     records, entities, truth = world(spark)
     matches, candidates, bundle = link(records, entities, truth, s=s)
     matches = matches.cache()
@@ -59,10 +61,15 @@ def test_train_and_apply(spark, tmp_path):
 
     bundles.save(spark, bundle, str(tmp_path / "bundle"))
     bundle = bundles.load(spark, str(tmp_path / "bundle"))
+    assert bundle.countries == ["US"] and bundle.rounds[1][0].features.count("ce") == 1 and {"a1_cos", "n1_cos", "hop2"} <= set(bundle.pre.features)
+    assert len(bundle.gate.features) == 17
     again, fresh, no_truth = world(spark, seed=2)
     found, _, _ = link(again, fresh.withColumn("fold", F.lit(-1)), None, bundle, s)
     unseen = {(r.slice, r.value): r for r in evaluate(found, fresh, no_truth).collect()}[("all", "")]
     assert unseen.macro_f05 > 0.7
+    found, _, _ = link(again, fresh.withColumn("fold", F.lit(-1)), None, bundle, replace(s, rule="expected"))
+    by_rule = {(r.slice, r.value): r for r in evaluate(found, fresh, no_truth).collect()}[("all", "")]
+    assert by_rule.macro_f05 > 0.7
 
 
 def test_functions_in_sql(spark):
