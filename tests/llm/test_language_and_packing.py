@@ -1,5 +1,7 @@
+import math
 import struct
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -159,3 +161,76 @@ def test_long_rows_and_rare_languages_are_bounded(spark):
     rows += [(100 + i, "abc def", "en", "a", 1, "x", 1, 1) for i in range(30)] + [(200, "ghi", "rare", "a", 1, "x", 1, 1)]
     got = {r.doc_id: r.lang_pred for r in language_id(frame(spark, rows), sample_features=64, most_langs=2).collect()}
     assert got[1] == "zh" and got[101] == "en" and "rare" not in got.values()
+
+
+def plain_features(text: str) -> Counter:
+    """The hashed n-grams by one-character steps over Python integers."""
+    out, m = "", 1 << 32
+    for c in text.lower():
+        out += c if c.isalpha() else " " if out and out[-1].isalpha() else ""
+    if not any(c.isalpha() for c in out):
+        return Counter()
+    code = [ord(c) for c in f" {out} "]
+    one = [c * 0x9E3779B1 % m for c in code]
+    two = [((a ^ (a >> 15)) * 0x85EBCA77 + b) % m for a, b in zip(one, one[1:])]
+    three = [((a ^ (a >> 13)) * 0xC2B2AE3D + b) % m for a, b in zip(two, one[2:])]
+    return Counter(((h ^ (h >> 16)) * 0x7FEB352D % m) >> 16 for h in [(x + 1) % m for x in one] + two + three)
+
+
+def plain_model(rows):
+    """Learnable rows, languages, TF-IDF vectors as dictionaries, and an empty FTRL state with its weights."""
+    learn = [r for r in rows if r[1] is not None and r[2] is not None and not (r[0] is not None and zlib.crc32(str(r[0]).encode()) % 4 == 2)]
+    df = Counter(f for r in learn for f in plain_features(r[1]))
+    idf = defaultdict(lambda: math.log(1 + len(learn)) + 1, {f: math.log((1 + len(learn)) / (1 + n)) + 1 for f, n in df.items()})
+
+    def vector(text):
+        x = {f: (1 + math.log(n)) * idf[f] for f, n in plain_features(text).items()}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        return {f: v / norm for f, v in x.items()}
+
+    langs = sorted({r[2] for r in learn})
+    z, n = defaultdict(lambda: [0.0] * len(langs)), defaultdict(lambda: [0.0] * len(langs))
+
+    def weight(f, k):
+        if abs(z[f][k]) <= 0.02:
+            return 0.0
+        return -(z[f][k] - math.copysign(0.02, z[f][k])) / ((1 + math.sqrt(n[f][k])) / 0.5 + 0.02)
+
+    return learn, langs, vector, z, n, weight
+
+
+def test_language_model_against_plain_python(spark):
+    """Features, training steps and predictions, worked out again without arrays."""
+    rng = np.random.default_rng(12)
+    rows = [(i, t, ("aa", "bb")[i % 2]) for i, t in enumerate(x for two in zip(sentences(rng, "abcdé", 25), sentences(rng, "cdefg", 25)) for x in two)]
+    for t in ("", "a", "É1b  c!", "123", "  x", rows[0][1]):
+        assert dict(zip(*(x.tolist() for x in counted(grams(t))))) == dict(plain_features(t))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learn, langs, vector, z, n, weight = plain_model(rows)
+    keys = {r.doc_id: (r.h, r.held) for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)).alias("h"), (F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(5)) == 0).alias("held")).collect()}
+    learn.sort(key=lambda r: keys[r[0]][0])
+    order = np.random.default_rng(5).permutation(len(learn))
+    for _ in range(3):
+        for i in order:
+            doc, text, lang = learn[i]
+            if keys[doc][1]:
+                continue
+            x = vector(text) | {"bias": 1.0}
+            w = {f: [weight(f, k) for k in range(len(langs))] for f in x}
+            s = [sum(v * w[f][k] for f, v in x.items()) for k in range(len(langs))]
+            e = [math.exp(v - max(s)) for v in s]
+            for k in range(len(langs)):
+                p = e[k] / sum(e) - (langs[k] == lang)
+                for f, v in x.items():
+                    g = v * p
+                    sigma = (math.sqrt(n[f][k] + g * g) - math.sqrt(n[f][k])) / 0.5
+                    z[f][k] += g - sigma * w[f][k]
+                    n[f][k] += g * g
+    logit = lambda t: [sum(v * weight(f, k) for f, v in (vector(t) | {"bias": 1.0}).items()) for k in range(len(langs))]
+    held = [r for r in learn if keys[r[0]][1]]
+    temperature = fit_temperature(np.array([logit(r[1]) for r in held]), np.array([langs.index(r[2]) for r in held]))
+    got = {r.doc_id: r for r in language_id(docs).collect()}
+    for doc, text, _ in rows:
+        s = [v / temperature for v in logit(text)]
+        e = [math.exp(v - max(s)) for v in s]
+        assert got[doc].lang_pred == langs[int(np.argmax(e))] and got[doc].score == pytest.approx(max(e) / sum(e), abs=1e-6)

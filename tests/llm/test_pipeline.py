@@ -18,6 +18,32 @@ def corpus(spark, tmp_path):
     return rows
 
 
+def without_later_runs(rows, run=3, least=50):
+    """Rows (doc_id, text) as the line stage leaves them: every run of up to three lines, its first place by (doc_id, line)."""
+    white = b" \t\n\v\f\r"
+    split = [(d, [(j, x.strip(white)) for j, x in enumerate((t or "").encode().split(b"\n")) if x.strip(white)], t) for d, t in rows]
+    first, runs = {}, []
+    for d, lines, _ in split:
+        for k in range(1, run + 1):
+            for i in range(len(lines) - k + 1):
+                w = tuple(x for _, x in lines[i : i + k])
+                if k == run or sum(len(x.split()) for x in w) >= least:
+                    runs.append((d, i, w))
+                    if d is not None:
+                        first[w] = min(first.get(w, (d, i)), (d, i))
+    out = []
+    for d, lines, t in split:
+        gone = {}
+        own = set()
+        for i, w in sorted({(i, w) for e, i, w in runs if e == d and tuple(x for _, x in lines[i : i + len(w)]) == w}):
+            if (first[w] < (d, i)) if d is not None else w in own:
+                gone |= {lines[i + k][0]: True for k in range(len(w))}
+            own.add(w)
+        if not gone or len(gone) < len(lines):
+            out.append((d, t if not gone else b"\n".join(x for j, x in enumerate(t.encode().split(b"\n")) if j not in gone).decode()))
+    return out
+
+
 def test_stages_take_effect(spark, tmp_path):
     corpus(spark, tmp_path)
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
@@ -34,6 +60,11 @@ def test_stages_take_effect(spark, tmp_path):
     lines = {r.doc_id: r.text for r in seen["line_dedup"]}
     assert 2000 not in lines and 1059 in lines  # all lines of the copy stand in the other
     assert all(r.n_chars == len(r.text) for r in seen["line_dedup"])
+    # by brute force: lines of runs that start earlier, then one document of each group
+    assert sorted(((r.doc_id, r.text) for r in seen["line_dedup"]), key=repr) == sorted(without_later_runs([(r.doc_id, r.text) for r in seen["language_id"]]), key=repr)
+    groups = near_groups([(r.doc_id, r.text) for r in seen["line_dedup"] if r.doc_id is not None], 5, 80)
+    assert {r.doc_id for r in seen["minhash_near_dedup"]} - {None} == {d for d, _, c, _ in groups if d == c}
+    assert sum(r.doc_id is None for r in seen["minhash_near_dedup"]) == sum(r.doc_id is None for r in seen["line_dedup"])
     ids = [r.doc_id for r in seen["minhash_near_dedup"] if r.doc_id is not None]
     assert len(ids) == len(set(ids)) and 3 in ids and 7 not in ids and 12 not in ids
     left = [r for r in seen["minhash_near_dedup"] if r.doc_id is not None]
