@@ -160,7 +160,7 @@ def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), cap: f
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source"), F.col("text"), (F.col(f"`{row}`") if row else F.monotonically_increasing_id()).cast("long").alias("row"))
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     sized = cut(named.select("doc_id", "source", "row", F.xxhash64("text").alias("text_hash"), words.alias("size")))
-    sums = cut(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
+    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     known = sums.agg(F.count("*").alias("n"), F.max("blocks").alias("most")).first()
     few = known["n"] <= MOST_BROADCAST
     goals = _by_source(targets(sums.drop("blocks"), weights, cap), sums.select("source", "blocks"), few)
@@ -189,9 +189,13 @@ def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), cap: f
         last = level == levels - 1
         if level:
             left = left.withColumn("block", F.lit(0) if last else F.floor(F.col("block") / FAN_IN).cast("int"))
-        rounded = cut(left.groupBy("source", "block").applyInArrow(_round(level, last, seed), schema))
-        parts.append(rounded.where("done").select(*told))
-        left = rounded.where("not done").select(*columns)
+        rounded = left.groupBy("source", "block").applyInArrow(_round(level, last, seed), schema)
+        if last:  # nothing stays open
+            parts.append(rounded.select(*told))
+        else:
+            rounded = cut(rounded)
+            parts.append(rounded.where("done").select(*told))
+            left = rounded.where("not done").select(*columns)
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)
