@@ -153,15 +153,6 @@ def levenshtein_sim(a: str | Column, b: str | Column) -> Column:
     return F.when(n == 0, F.lit(1.0)).otherwise(1 - F.levenshtein(a, b) / n)
 
 
-def best_alternative(a: str | Column, alternatives: str | Column) -> Column:
-    """The best ``token_set`` of a text with any of an array of alternatives."""
-
-    def run(x: pd.Series, ys: pd.Series) -> pd.Series:
-        return pd.Series([max((token_set(p or "", q or "") for q in (qs if qs is not None else [])), default=0.0) for p, qs in zip(x, ys)], dtype="float64")
-
-    return F.pandas_udf(run, "double")(a, alternatives)
-
-
 def weighted_jaccard(a: Column, b: Column, idf: Column, default: float = 0.0) -> Column:
     """Shared weight over all weight of two arrays of tokens; ``idf`` is a map; null if a side is empty.  Built-ins only."""
     weight = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, t: s + F.coalesce(F.element_at(idf, t), F.lit(default)))

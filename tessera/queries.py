@@ -654,6 +654,48 @@ def diff_signature(spark, sf_dir):
     return _name_pairs(spark, sf_dir).withColumns(compare.difference_columns(own(F.col("a")), own(F.col("b")), compare.Weights(None, 1.0, 2.0)))
 
 
+@query("""with e as (select vec_id as i, list_transform(embedding, lambda x: x::double) as v from embeddings) select a.i as s1_uid, b.i as rec_uid, round(list_cosine_similarity(a.v, b.v), 9) as cos from e a join e b on b.i = a.i + 1""")
+def dense_row_cosine(spark, sf_dir):
+    """The cosine of each vector with the next one's, pair by pair."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("i"), "embedding")
+    b = e.select((F.col("i") - 1).alias("j"), F.col("i").alias("rec_uid"), F.col("embedding").alias("other"))
+    return e.join(b, F.col("i") == F.col("j")).select(F.col("i").alias("s1_uid"), "rec_uid", F.round(blocking.cosine(F.col("embedding"), F.col("other")), 9).alias("cos"))
+
+
+@query(r"""with w as (select distinct translate(unnest(string_split(lower(p_name), ' ')), 'oieastb', ['0134578', 'oieastb', '0ieas7b'][(p_partkey % 3 + 1)::int]) as w from part union select distinct p_size || 'm' from part union select distinct p_size::varchar from part),
+n as (select w, len(regexp_replace(w, '[^a-z]', '', 'g')) as n from w) select w, case when n > 0 and n < len(w) and (n > 2 or not regexp_matches(w, '^[0-9]')) then translate(w, '0134578', 'oieastb') else w end as repaired from n""")
+def unleet_words(spark, sf_dir):
+    """Words of part names with digits for some letters, sizes with a unit, and numbers."""
+    p = table(spark, sf_dir, "part")
+    k = F.col("p_partkey") % 3
+    word = F.explode(F.split(F.lower("p_name"), " ")).alias("w")
+    spoilt = p.select(k.alias("k"), word).select(*[F.when(F.col("k") == 0, F.translate("w", "oieastb", "0134578")).when(F.col("k") == 1, F.col("w")).otherwise(F.translate("w", "oieastb", "0ieas7b")).alias("w")])
+    sizes = p.select(F.concat(F.col("p_size").cast("string"), F.lit("m")).alias("w")).union(p.select(F.col("p_size").cast("string")))
+    return spoilt.union(sizes).distinct().select("w", text.unleet_column(F.col("w")).alias("repaired"))
+
+
+@query("""with n as (select n_nationkey as k, n_name as name, [n_name, ' ', 'N/A', 'null', n_name || ' 2', '--', ' Unknown ', '0', 'nil x'] as parts, ['USA', ' India ', 'fr', n_name, 'United States', ''][(n_nationkey % 6 + 1)::int] as country from nation)
+select k, array_to_string([name, name || ' 2', 'nil x'], '|') as kept, case lower(trim(country)) when 'usa' then 'us' when 'united states' then 'us' when 'india' then 'india' when 'fr' then 'france' when 'france' then 'france' else 'generic' end as prof from n""")
+def missing_words_and_profiles(spark, sf_dir):
+    """Parts without those that stand for a missing one, and the profile of a country's name."""
+    from tessera.functions.parse import profile_column
+
+    n = table(spark, sf_dir, "nation")
+    name = F.col("n_name")
+    parts = F.array(name, F.lit(" "), F.lit("N/A"), F.lit("null"), F.concat(name, F.lit(" 2")), F.lit("--"), F.lit(" Unknown "), F.lit("0"), F.lit("nil x"))
+    country = F.element_at(F.array(F.lit("USA"), F.lit(" India "), F.lit("fr"), name, F.lit("United States"), F.lit("")), (F.col("n_nationkey") % 6 + 1).cast("int"))
+    return n.select(F.col("n_nationkey").cast("long").alias("k"), F.array_join(text.without_null_words(parts), "|").alias("kept"), profile_column(country).alias("prof"))
+
+
+@query("""with n as (select p_partkey as uid, case when p_partkey % 4 = 0 then 1 else 2 end as src, p_brand as country, p_name as name, p_size % 5 = 0 as missing, p_type as addr from part)
+select uid as s1_uid, count(*) over (partition by country, name) as s1_name_freq, case when missing then 0 else count(*) over (partition by country, addr) end as s1_addr_share from n where src = 1""")
+def reference_ambiguity(spark, sf_dir):
+    """How many references of a country share a reference's name and address."""
+    k = F.col("p_partkey")
+    n = table(spark, sf_dir, "part").select(k.alias("uid"), F.when(k % 4 == 0, 1).otherwise(2).alias("src"), F.col("p_brand").alias("country"), F.col("p_name").alias("name_core_sorted"), (F.col("p_size") % 5 == 0).alias("addr_missing"), F.col("p_type").alias("addr_key"))
+    return blocking.reference_stats(n)
+
+
 # ---------------------------------------------------------------- mining and classes
 
 

@@ -292,3 +292,9 @@ def test_expected_selection_in_batches(spark):
         e = decide.expected_f_half(np.clip([m["q"] for m in can], 1e-6, 1 - 1e-6), g) if can else np.array([1 - min(max(g, 1e-6), 1.0)])
         k = int(e.argmax())
         assert got[i][0] == [m["rec_uid"] for m in can[:k]] and got[i][1] == pytest.approx(e[k])
+
+
+def test_entity_sample_keeps_whole_entities(spark):
+    e = spark.createDataFrame([(i, 100 * i + j) for i in range(50) for j in range(i % 5 + 1)], "s1_uid long, rec_uid long")
+    got = context.entity_sample(e, 40).groupBy("s1_uid").count().collect()
+    assert 20 <= sum(r["count"] for r in got) <= 40 and all(r["count"] == r.s1_uid % 5 + 1 for r in got)
