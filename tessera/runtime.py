@@ -10,14 +10,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: the one that the context has, else ``spark.checkpoint.dir``, which has to be set."""
+    """The shared folder for cut lineage: the one that the context has, else ``spark.checkpoint.dir``.
+
+    Where neither is set a session of one process, as in tests, gets a temporary folder; a cluster, whose machines wouldn't
+    share it, has to be given one.
+    """
     sc = spark.sparkContext
     here = sc._jsc.sc().getCheckpointDir()
     if here.isDefined():
         return here.get()
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not sc._jsc.sc().isLocal():
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="checkpoint-")
     sc.setCheckpointDir(folder)
     return sc._jsc.sc().getCheckpointDir().get()
 
